@@ -132,7 +132,7 @@ def randomised_svd(rows: DataFrame, word: dict[str, int], idf: np.ndarray, rank:
                     y = v @ basis[cols]
                     for c, x in enumerate(np.outer(y, y)) if gram else zip(cols.tolist(), np.outer(v, y), strict=True):
                         out[c] = out[c] + x if c in out else x
-            yield pd.DataFrame({"c": list(out), "x": list(out.values())})
+            yield pd.DataFrame({"c": list(out), "x": pd.Series(list(out.values()), dtype=object)})
 
         parts = rows.select("words").mapInPandas(run, "c long, x array<double>")
         width = basis.shape[1]

@@ -171,7 +171,7 @@ def partners(rows: pd.DataFrame, t: Fraction, all_of_them: bool) -> pd.DataFrame
         total = size[i] + size[j]
         need = least_overlap(total, t)
         fits = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
-        bits = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
+        bits = np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).astype(np.int64)
         fits &= bits <= total - 2 * need
         if fits.any():
             found.append(np.stack([i[fits], j[fits], bits[fits]]))

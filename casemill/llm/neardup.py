@@ -90,7 +90,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": [np.unique(shingle_hashes(bytes(t), SHINGLE)).view(np.int64) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "s": pd.Series([np.unique(shingle_hashes(bytes(t), SHINGLE)).view(np.int64) for t in b["text"]], dtype=object)})
 
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).join(ends, F.col("id") == F.col("end"), "left_semi")
