@@ -26,10 +26,8 @@ on by remove_lines and aren't read; no rows give no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from functools import reduce
-from operator import xor
 from zlib import crc32
 
 import numpy as np
@@ -40,10 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import ready, stash, utf8
 
-BUCKETS = 1 << 16
-CELL_ROWS = 20_000
-#: Words that a worker remembers.
-MEMO_ENTRIES = 300_000
+BUCKETS = 1 << 20
+#: Hash buckets of words whose postings are counted, and postings of one that meet in a task.
+CELL_BUCKETS, CELL_ROWS = 1 << 16, 20_000
 LINE_SCHEMA = "doc_id long, line int, key binary, size int, parity long, prefix binary"
 POSTING_SCHEMA = "word long, cell int, doc_id long, line int, size int, pos int, parity long, open boolean"
 
@@ -58,66 +55,79 @@ def least_overlap(total, t: Fraction):
     return -(-a * total // b)
 
 
-def prefix_size(n: int, t: Fraction) -> int:
-    return n - -(-t.numerator * n // t.denominator) + 1
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same words, by a multiply-and-shift finaliser; sums of them tell sets apart."""
+    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def bucket(word: bytes) -> int:
-    return crc32(word) % BUCKETS
-
-
-def word_counts(docs: DataFrame) -> list[int]:
+def word_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of words in each of BUCKETS hash buckets; at most BUCKETS numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
+            seen: Counter = Counter()
             for text in b["text"]:
-                seen = Counter(bytes(text).lower().split())
-                np.add.at(total, np.fromiter(map(bucket, seen), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
+                seen.update(bytes(text).lower().split())
+            np.add.at(total, np.fromiter(map(crc32, seen), np.int64, len(seen)) % BUCKETS, np.fromiter(seen.values(), np.int64, len(seen)))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
     rows = docs.select(utf8().alias("text")).mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = [0] * BUCKETS
-    for r in rows.collect():
-        out[r["bucket"]] = r["n"]
+    got = rows.toArrow()  # at most BUCKETS rows of two numbers
+    out = np.zeros(BUCKETS, np.int64)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
+def line_sets(doc_ids: np.ndarray, texts: Iterable[bytes], rarity: np.ndarray, t: Fraction) -> pd.DataFrame:
+    """A batch's lines with words, as line_rows gives them."""
+    words: list[bytes] = []
+    doc, line, n = [], [], []
+    for d, text in zip(doc_ids.tolist(), texts, strict=True):
+        for k, x in enumerate(bytes(text).lower().split(b"\n")):
+            if own := x.split():
+                words += own
+                doc.append(d)
+                line.append(k)
+                n.append(len(own))
+    if not words:
+        return pd.DataFrame({c: [] for c in ("doc_id", "line", "key", "size", "parity", "prefix")}, dtype=object)
+    number = dict.fromkeys(words)
+    number = dict(zip(number, range(len(number)), strict=True))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    rare = rarity[np.fromiter(map(crc32, number), np.int64, len(number)) % BUCKETS]
+    order = np.lexsort((h, rare))
+    rank = np.empty(len(number), np.int64)
+    rank[order] = np.arange(len(number))
+    h = h[order]
+    code = np.repeat(np.arange(len(n)), n) * len(number) + rank[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
+    code = np.unique(code)  # each line's distinct words, the rarest first
+    at, h = code // len(number), h[code % len(number)]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    size = np.diff(np.r_[starts, len(at)])
+    keys = np.stack([np.add.reduceat(mixed(h, k), starts) for k in (0, 1)], axis=1)
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), starts).view(np.int64)
+    raw, digest = h.astype(">u8").tobytes(), keys.astype(">u8").tobytes()
+    take = size - -(-t.numerator * size // t.denominator) + 1
+    out = pd.DataFrame({"doc_id": doc, "line": line, "k0": keys[:, 0], "k1": keys[:, 1], "size": size, "parity": parity})
+    again = out.duplicated(["doc_id", "k0", "k1"]).to_numpy()
+    out["key"] = [None if g else digest[16 * i : 16 * i + 16] for i, g in enumerate(again)]
+    out["prefix"] = [None if g else raw[8 * s : 8 * (s + p)] for g, s, p in zip(again, starts.tolist(), take.tolist(), strict=True)]
+    return out[["doc_id", "line", "key", "size", "parity", "prefix"]]
+
+
 def line_rows(docs: DataFrame, t: Fraction) -> DataFrame:
     """A row for each line with words; key is null if the document has had the set before."""
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(np.minimum(np.array(word_counts(docs), np.int64), (1 << 32) - 1).astype(">u4"))
+    counts = spark.sparkContext.broadcast(np.minimum(word_counts(docs), (1 << 32) - 1).astype(np.uint32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rarity, known = counts.value, {}
-
-        def look_up(word: bytes) -> tuple[bytes, int]:
-            h = xxhash.xxh64_intdigest(word)
-            known[word] = out = (rarity[bucket(word)].tobytes() + h.to_bytes(8, "big"), 1 << (h & 63))
-            return out
-
         for b in batches:
-            if len(known) > MEMO_ENTRIES:
-                known.clear()
-            rows = []
-            for doc_id, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
-                had = set()
-                for k, line in enumerate(bytes(text).lower().split(b"\n")):
-                    if not (own := set(line.split())):
-                        continue
-                    pairs = [known.get(w) or look_up(w) for w in own]
-                    order = sorted(p[0] for p in pairs)
-                    key = xxhash.xxh3_128_digest(b"".join(order))
-                    if key in had:
-                        rows.append((doc_id, k, None, 0, 0, None))
-                        continue
-                    had.add(key)
-                    parity = reduce(xor, (p[1] for p in pairs))
-                    prefix = b"".join(x[4:] for x in order[: prefix_size(len(order), t)])
-                    rows.append((doc_id, k, key, len(order), parity - (1 << 64) if parity >> 63 else parity, prefix))
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "key", "size", "parity", "prefix"])
+            yield line_sets(b["doc_id"].to_numpy(), b["text"], counts.value, t)
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInPandas(run, LINE_SCHEMA)
 
@@ -142,7 +152,7 @@ def postings(sets: DataFrame, cells: np.ndarray | None) -> DataFrame:
             pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             cell = np.zeros(len(row), np.int64)
             if cells is not None:
-                parts = cells[word % BUCKETS]
+                parts = cells[word % CELL_BUCKETS]
                 own = (b["doc_id"].to_numpy()[row] * 31 + b["line"].to_numpy()[row]) * 0x9E3779B1 % (1 << 31) % parts
                 take = np.repeat(np.arange(len(row)), parts)
                 other = np.arange(len(take)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -229,8 +239,8 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
 def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
     """doc_id, line of the first places that have an earlier match."""
     open_all = sets.withColumn("open", F.lit(True))
-    load = postings(open_all, None).groupBy(F.pmod("word", F.lit(BUCKETS)).alias("bucket")).count().collect()  # at most BUCKETS rows
-    cells = np.ones(BUCKETS, np.int64)
+    load = postings(open_all, None).groupBy(F.pmod("word", F.lit(CELL_BUCKETS)).alias("bucket")).count().collect()  # at most CELL_BUCKETS rows
+    cells = np.ones(CELL_BUCKETS, np.int64)
     for r in load:
         cells[r["bucket"]] = -(-r["count"] // CELL_ROWS)
     cells = None if cells.max() == 1 else cells

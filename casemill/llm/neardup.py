@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from .common import ready, stash, utf8
 from .components import components
+from .lines import mixed
 from .simhash import majority, masks, shingle_hashes, signed, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -37,14 +38,6 @@ TABLES, BITS = 6, 32
 NEAR = 22
 
 
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes for another fingerprint, by a multiply-and-shift finaliser."""
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_fingerprints(text: bytes) -> list[int]:
     """TABLES fingerprints of BITS bits, two from each 64 bits."""
     h = np.fromiter((xxhash.xxh64_intdigest(w) for w in set(words(text))), "<u8")
