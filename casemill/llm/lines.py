@@ -36,13 +36,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, stash, utf8
+from .common import ready, small, stash, utf8
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
+#: Documents that are split at once: their words fit a CPU's cache.
+CHUNK = 100
 #: Hash buckets of words whose postings are counted, and postings of one that meet in a task.
 CELL_BUCKETS, CELL_ROWS = 1 << 16, 20_000
 LINE_SCHEMA = "doc_id long, line int, key binary, size int, parity long, prefix binary"
-POSTING_SCHEMA = "word long, cell int, doc_id long, line int, size int, pos int, parity long, open boolean"
+#: meet: the word, mixed with its cell. info: size * 2**31 + pos, negative (by ~) if not open.
+POSTING_SCHEMA = "meet long, doc_id long, line int, info long, parity long"
+#: Bytes of a word's hash in a prefix. Words that share one only meet more often.
+WORD_BYTES = 5
 
 
 def fraction(threshold: float) -> Fraction:
@@ -105,18 +110,20 @@ def line_sets(doc_ids: np.ndarray, texts: Iterable[bytes], rarity: np.ndarray, t
     rank[order] = np.arange(len(number))
     h = h[order]
     code = np.repeat(np.arange(len(n)), n) * len(number) + rank[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
-    code = np.unique(code)  # each line's distinct words, the rarest first
+    code.sort()
+    code = code[np.r_[True, code[1:] != code[:-1]]]  # each line's distinct words, the rarest first
     at, h = code // len(number), h[code % len(number)]
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     size = np.diff(np.r_[starts, len(at)])
     keys = np.stack([np.add.reduceat(mixed(h, k), starts) for k in (0, 1)], axis=1)
     parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), starts).view(np.int64)
-    raw, digest = h.astype(">u8").tobytes(), keys.astype(">u8").tobytes()
+    raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+    digest = keys.astype(">u8").tobytes()
     take = size - -(-t.numerator * size // t.denominator) + 1
     out = pd.DataFrame({"doc_id": doc, "line": line, "k0": keys[:, 0], "k1": keys[:, 1], "size": size, "parity": parity})
     again = out.duplicated(["doc_id", "k0", "k1"]).to_numpy()
     out["key"] = [None if g else digest[16 * i : 16 * i + 16] for i, g in enumerate(again)]
-    out["prefix"] = [None if g else raw[8 * s : 8 * (s + p)] for g, s, p in zip(again, starts.tolist(), take.tolist(), strict=True)]
+    out["prefix"] = [None if g else raw[WORD_BYTES * s : WORD_BYTES * (s + p)] for g, s, p in zip(again, starts.tolist(), take.tolist(), strict=True)]
     return out[["doc_id", "line", "key", "size", "parity", "prefix"]]
 
 
@@ -127,7 +134,9 @@ def line_rows(docs: DataFrame, t: Fraction) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield line_sets(b["doc_id"].to_numpy(), b["text"], counts.value, t)
+            for i in range(0, len(b), CHUNK):
+                part = b.iloc[i : i + CHUNK]
+                yield line_sets(part["doc_id"].to_numpy(), part["text"], counts.value, t)
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInPandas(run, LINE_SCHEMA)
 
@@ -146,35 +155,39 @@ def postings(sets: DataFrame, cells: np.ndarray | None) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            n = b["prefix"].map(len).to_numpy() // 8
+            n = b["prefix"].map(len).to_numpy() // WORD_BYTES
             row = np.repeat(np.arange(len(b)), n)
-            word = np.frombuffer(b"".join(map(bytes, b["prefix"])), ">i8").astype(np.int64)
+            full = np.zeros((len(row), 8), np.uint8)
+            full[:, :WORD_BYTES] = np.frombuffer(b"".join(map(bytes, b["prefix"])), np.uint8).reshape(-1, WORD_BYTES)
+            word = full.view(np.int64).ravel()
             pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            cell = np.zeros(len(row), np.int64)
             if cells is not None:
                 parts = cells[word % CELL_BUCKETS]
                 own = (b["doc_id"].to_numpy()[row] * 31 + b["line"].to_numpy()[row]) * 0x9E3779B1 % (1 << 31) % parts
                 take = np.repeat(np.arange(len(row)), parts)
                 other = np.arange(len(take)) - np.repeat(np.cumsum(parts) - parts, parts)
                 own = own[take]
-                cell = np.minimum(own, other) * 46_000 + np.maximum(own, other)
-                row, word, pos = row[take], word[take], pos[take]
-            out = b[["doc_id", "line", "size", "parity", "open"]].iloc[row]
-            yield out.assign(word=word, cell=cell, pos=pos)[["word", "cell", "doc_id", "line", "size", "pos", "parity", "open"]]
+                cell = np.minimum(own, other) * (1 << 31) + np.maximum(own, other)
+                row, pos = row[take], pos[take]
+                word = word[take] ^ np.where(cell, mixed(cell.astype(np.uint64), 2).view(np.int64), 0)
+            info = b["size"].to_numpy(np.int64)[row] * (1 << 31) + pos
+            info = np.where(b["open"].to_numpy(bool)[row], info, ~info)
+            yield b[["doc_id", "line", "parity"]].iloc[row].assign(meet=word, info=info)[["meet", "doc_id", "line", "info", "parity"]]
 
     return sets.select("doc_id", "line", "size", "parity", "open", "prefix").mapInPandas(run, POSTING_SCHEMA)
 
 
 def partners(rows: pd.DataFrame, t: Fraction, all_of_them: bool) -> pd.DataFrame:
-    """Of postings sorted by (word, cell, doc_id, line): for each open line an earlier one that
+    """Of postings sorted by (meet, doc_id, line): for each open line an earlier one that
     may reach t, the nearest or all of them, with the bits of their parities that differ."""
     n = len(rows)
-    word, cell = rows["word"].to_numpy(), rows["cell"].to_numpy()
+    meet, info = rows["meet"].to_numpy(), rows["info"].to_numpy()
     starts = np.ones(n, bool)
-    starts[1:] = (word[1:] != word[:-1]) | (cell[1:] != cell[:-1])
+    starts[1:] = meet[1:] != meet[:-1]
     depth = np.arange(n) - np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    size, pos, parity = rows["size"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64), rows["parity"].to_numpy()
-    j = np.flatnonzero((depth > 0) & rows["open"].to_numpy(bool))
+    size, pos = np.divmod(np.where(info < 0, ~info, info), 1 << 31)
+    parity = rows["parity"].to_numpy()
+    j = np.flatnonzero((depth > 0) & (info >= 0))
     found, d = [], 1
     while len(j):
         i = j - d
@@ -200,9 +213,9 @@ def candidates(posts: DataFrame, t: Fraction, all_of_them: bool) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            last = (b["word"].iat[-1], b["cell"].iat[-1])
-            tail = (b["word"] == last[0]) & (b["cell"] == last[1])
-            if held and tail.all() and last == (held[-1]["word"].iat[-1], held[-1]["cell"].iat[-1]):
+            last = b["meet"].iat[-1]
+            tail = b["meet"] == last
+            if held and tail.all() and last == held[-1]["meet"].iat[-1]:
                 held.append(b)
                 continue
             done = pd.concat([*held, b[~tail]])
@@ -212,7 +225,7 @@ def candidates(posts: DataFrame, t: Fraction, all_of_them: bool) -> DataFrame:
         if held:
             yield partners(pd.concat(held), t, all_of_them)
 
-    dealt = posts.repartition("word", "cell").sortWithinPartitions("word", "cell", "doc_id", "line")
+    dealt = posts.repartition("meet").sortWithinPartitions("meet", "doc_id", "line")
     return dealt.mapInPandas(run, "j_doc long, j_line int, bits long, i_doc long, i_line int")
 
 
@@ -226,7 +239,7 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
     ends = pairs.select(F.col("i_doc").alias("d"), F.col("i_line").alias("l")).union(pairs.select("j_doc", "j_line")).distinct()
     wanted = ends.groupBy("d").agg(F.collect_list("l").alias("ls"))
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    split = own.join(wanted, F.col("id") == F.col("d")).select("d", "ls", F.split("text", "\n").alias("all"))
+    split = own.join(small(wanted, pairs.count()), F.col("id") == F.col("d")).select("d", "ls", F.split("text", "\n").alias("all"))
     texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", _word_set(F.get("all", F.col("l"))).alias("w"))
     texts = stash(texts, "pair-lines")
     a, b = texts.select(F.col("d").alias("i_doc"), F.col("l").alias("i_line"), F.col("w").alias("wi")), texts.select(F.col("d").alias("j_doc"), F.col("l").alias("j_line"), F.col("w").alias("wj"))
@@ -239,7 +252,7 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
 def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
     """doc_id, line of the first places that have an earlier match."""
     open_all = sets.withColumn("open", F.lit(True))
-    load = postings(open_all, None).groupBy(F.pmod("word", F.lit(CELL_BUCKETS)).alias("bucket")).count().collect()  # at most CELL_BUCKETS rows
+    load = postings(open_all, None).groupBy(F.pmod("meet", F.lit(CELL_BUCKETS)).alias("bucket")).count().collect()  # at most CELL_BUCKETS rows
     cells = np.ones(CELL_BUCKETS, np.int64)
     for r in load:
         cells[r["bucket"]] = -(-r["count"] // CELL_ROWS)
@@ -253,8 +266,8 @@ def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
         still = failed.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"), F.lit(True).alias("fails"))
         marked = sets.join(still, ["doc_id", "line"], "left").withColumn("open", F.coalesce("fails", F.lit(False)))
         marked = stash(marked.drop("fails"), "line-sets")
-        words = postings(marked.filter("open"), None).select("word").distinct()
-        again = postings(marked, cells).join(words, "word", "left_semi")
+        words = postings(marked.filter("open"), cells).select("meet").distinct()
+        again = postings(marked, cells).join(words, "meet", "left_semi")
         pairs = stash(candidates(again, t, True).drop("bits").distinct(), "line-pairs")
         good = good.unionByName(verified(pairs, docs, t).select("j_doc", "j_line")).distinct()
     return good.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"))

@@ -45,6 +45,11 @@ def word_fingerprints(text: bytes) -> list[int]:
     return [x >> s & 0xFFFFFFFF for x in full for s in (0, 32)][:TABLES]
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    h = np.sort(hashes)
+    return h[np.r_[len(h) > 0, h[1:] != h[:-1]][: len(h)]].view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key of the word sequence, shingle fingerprint, word fingerprints."""
 
@@ -83,7 +88,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": pd.Series([np.unique(shingle_hashes(bytes(t), SHINGLE)).view(np.int64) for t in b["text"]], dtype=object)})
+            yield pd.DataFrame({"id": b["id"], "s": pd.Series([distinct(shingle_hashes(bytes(t), SHINGLE)) for t in b["text"]], dtype=object)})
 
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).join(ends, F.col("id") == F.col("end"), "left_semi")
