@@ -10,9 +10,9 @@ threshold, equal sets included.
 3. Two sets reach the threshold only if their prefixes, of n - ceil(t * n) + 1 of the rarest
    words, share one. Postings meet at the shared word; lengths, positions and a 64-bit parity
    of the words (its differing bits never exceed the differing words) drop nearly all others.
-4. A line proposes one partner for each word, so a group of n near copies costs n rows. The
-   best is verified on the texts; a line whose partner fails proposes all its partners, so
-   nothing is lost.
+4. A line proposes its nearest PARTNERS partners for each word, so a group of n near copies
+   costs n rows. They are verified on the texts; a line that had more and found none true
+   proposes all its partners, so nothing is lost.
 
 A word's postings beyond CELL_ROWS are dealt to cells of pairs of parts, so none meets in
 one task.
@@ -43,6 +43,7 @@ BUCKETS = 1 << 18
 CHUNK = 100
 #: Hash buckets of words whose postings are counted, and postings of one that meet in a task.
 CELL_BUCKETS, CELL_ROWS = 1 << 16, 20_000
+PARTNERS = 4
 LINE_SCHEMA = "doc_id long, line int, key binary, size int, parity long, prefix binary"
 #: meet: the word, mixed with its cell. info: size * 2**31 + pos, negative (by ~) if not open.
 POSTING_SCHEMA = "meet long, doc_id long, line int, info long, parity long"
@@ -178,8 +179,8 @@ def postings(sets: DataFrame, cells: np.ndarray | None) -> DataFrame:
 
 
 def partners(rows: pd.DataFrame, t: Fraction, all_of_them: bool) -> pd.DataFrame:
-    """Of postings sorted by (meet, doc_id, line): for each open line an earlier one that
-    may reach t, the nearest or all of them, with the bits of their parities that differ."""
+    """Of postings sorted by (meet, doc_id, line): for each open line the earlier ones that may
+    reach t, the nearest few or all of them; more: whether others were left."""
     n = len(rows)
     meet, info = rows["meet"].to_numpy(), rows["info"].to_numpy()
     starts = np.ones(n, bool)
@@ -188,6 +189,7 @@ def partners(rows: pd.DataFrame, t: Fraction, all_of_them: bool) -> pd.DataFrame
     size, pos = np.divmod(np.where(info < 0, ~info, info), 1 << 31)
     parity = rows["parity"].to_numpy()
     j = np.flatnonzero((depth > 0) & (info >= 0))
+    count = np.zeros(n, np.int64)
     found, d = [], 1
     while len(j):
         i = j - d
@@ -197,16 +199,17 @@ def partners(rows: pd.DataFrame, t: Fraction, all_of_them: bool) -> pd.DataFrame
         bits = np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).astype(np.int64)
         fits &= bits <= total - 2 * need
         if fits.any():
-            found.append(np.stack([i[fits], j[fits], bits[fits]]))
+            found.append(np.stack([i[fits], j[fits]]))
+            count[j[fits]] += 1
         d += 1
-        j = j[(depth[j] >= d) & (True if all_of_them else ~fits)]
-    i, j, bits = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        j = j[(depth[j] >= d) & (True if all_of_them else count[j] <= PARTNERS)]
+    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     doc, line = rows["doc_id"].to_numpy(), rows["line"].to_numpy()
-    return pd.DataFrame({"j_doc": doc[j], "j_line": line[j], "bits": bits, "i_doc": doc[i], "i_line": line[i]})
+    return pd.DataFrame({"j_doc": doc[j], "j_line": line[j], "i_doc": doc[i], "i_line": line[i], "more": count[j] > PARTNERS})
 
 
 def candidates(posts: DataFrame, t: Fraction, all_of_them: bool) -> DataFrame:
-    """j_doc, j_line, bits, i_doc, i_line from postings of any partitioning."""
+    """j_doc, j_line, i_doc, i_line, more from postings of any partitioning."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -226,7 +229,7 @@ def candidates(posts: DataFrame, t: Fraction, all_of_them: bool) -> DataFrame:
             yield partners(pd.concat(held), t, all_of_them)
 
     dealt = posts.repartition("meet").sortWithinPartitions("meet", "doc_id", "line")
-    return dealt.mapInPandas(run, "j_doc long, j_line int, bits long, i_doc long, i_line int")
+    return dealt.mapInPandas(run, "j_doc long, j_line int, i_doc long, i_line int, more boolean")
 
 
 def _word_set(line: Column) -> Column:
@@ -237,13 +240,14 @@ def _word_set(line: Column) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (i_doc, i_line, j_doc, j_line) whose texts reach t."""
     ends = pairs.select(F.col("i_doc").alias("d"), F.col("i_line").alias("l")).union(pairs.select("j_doc", "j_line")).distinct()
-    wanted = ends.groupBy("d").agg(F.collect_list("l").alias("ls"))
+    wanted = stash(ends.groupBy("d").agg(F.collect_list("l").alias("ls")), "pair-places")
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    split = own.join(small(wanted, pairs.count()), F.col("id") == F.col("d")).select("d", "ls", F.split("text", "\n").alias("all"))
-    texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", _word_set(F.get("all", F.col("l"))).alias("w"))
+    split = own.join(small(wanted, wanted.count()), F.col("id") == F.col("d")).select("d", "ls", F.split("text", "\n").alias("all"))
+    texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", F.get("all", F.col("l")).alias("w"))
     texts = stash(texts, "pair-lines")
     a, b = texts.select(F.col("d").alias("i_doc"), F.col("l").alias("i_line"), F.col("w").alias("wi")), texts.select(F.col("d").alias("j_doc"), F.col("l").alias("j_line"), F.col("w").alias("wj"))
     both = pairs.select("i_doc", "i_line", "j_doc", "j_line").join(a, ["i_doc", "i_line"]).join(b, ["j_doc", "j_line"])
+    both = both.withColumns({"wi": _word_set(F.col("wi")), "wj": _word_set(F.col("wj"))})
     shared = F.size(F.array_intersect("wi", "wj"))
     reaches = shared * t.denominator >= (F.size("wi") + F.size("wj") - shared) * t.numerator
     return both.filter(reaches).select("i_doc", "i_line", "j_doc", "j_line").distinct()
@@ -258,17 +262,17 @@ def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
         cells[r["bucket"]] = -(-r["count"] // CELL_ROWS)
     cells = None if cells.max() == 1 else cells
     proposed = candidates(postings(open_all, cells), t, False)
-    best = proposed.groupBy("j_doc", "j_line").agg(F.min(F.struct("bits", "i_doc", "i_line")).alias("best"))
-    best = stash(best.select("j_doc", "j_line", "best.i_doc", "best.i_line"), "line-pairs")
-    good = stash(verified(best, docs, t).select("j_doc", "j_line"), "line-matches")
-    failed = stash(best.select("j_doc", "j_line").join(good, ["j_doc", "j_line"], "left_anti"), "line-failures")
+    proposed = stash(proposed.groupBy("j_doc", "j_line", "i_doc", "i_line").agg(F.max("more").alias("more")), "line-pairs")
+    good = stash(verified(proposed, docs, t).select("j_doc", "j_line").distinct(), "line-matches")
+    failed = proposed.filter("more").select("j_doc", "j_line").distinct().join(good, ["j_doc", "j_line"], "left_anti")
+    failed = stash(failed, "line-failures")
     if failed.limit(1).count():
         still = failed.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"), F.lit(True).alias("fails"))
         marked = sets.join(still, ["doc_id", "line"], "left").withColumn("open", F.coalesce("fails", F.lit(False)))
         marked = stash(marked.drop("fails"), "line-sets")
         words = postings(marked.filter("open"), cells).select("meet").distinct()
         again = postings(marked, cells).join(words, "meet", "left_semi")
-        pairs = stash(candidates(again, t, True).drop("bits").distinct(), "line-pairs")
+        pairs = stash(candidates(again, t, True).drop("more").distinct(), "line-pairs")
         good = good.unionByName(verified(pairs, docs, t).select("j_doc", "j_line")).distinct()
     return good.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"))
 
