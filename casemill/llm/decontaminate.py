@@ -34,9 +34,10 @@ from .common import ready, stash
 
 PASSAGE = 40
 #: (length, stride) of the windows over documents, in words.
-WINDOWS = ((32, 8), (64, 16))
+WINDOWS = ((32, 12), (64, 24))
 RANK, OVERSAMPLE = 96, 16
-COSINE = 0.5
+#: Items that stand in a document whole, or with a fifth of their words changed, reach 0.8.
+COSINE = 0.7
 SURE, LIKELY = 0.8, 0.6
 #: Items that one pass over the documents compares.
 ITEMS_PER_PASS = 20_000
@@ -204,12 +205,12 @@ def hits(words: list[str], index: Index, cosine: float) -> dict[int, float]:
     found = {}
     for k, own in spans.items():
         _, item, reply = index.items[k]
-        bag = index.bags[k]
+        bag, need = index.bags[k], LIKELY * len(item)
         for s, e in own:
             for f in range(s, e, 2 * len(item) + 64):  # merged spans are read in overlapping parts
                 region = words[max(s, f - len(item)) : min(e, f + 3 * len(item) + 64)]
-                if (bag & Counter(region)).total() < LIKELY * len(item):
-                    continue
+                if sum(map(bag.__getitem__, bag.keys() & set(region))) < need:
+                    continue  # no subsequence can be longer
                 share = lcs(region, item) / len(item)
                 if share >= SURE or share >= LIKELY and lcs(region, reply) >= SURE * len(reply):
                     found[k] = max(found.get(k, 0.0), share)
