@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +41,10 @@ def splitter() -> Callable[[str], list[str]]:
 
 
 class Memo:
-    """Joins what `make` gives for a text's pre-tokens; remembers them up to a bound."""
+    """What `make` gives for a text's pre-tokens; remembers them up to a bound."""
 
-    def __init__(self, made: tuple[Callable[[list[str]], list], str, bytes]):
-        self.make, self.special, self.special_ids = made
+    def __init__(self, make: Callable[[list[str]], list]):
+        self.make = make
         self.split, self.seen = splitter(), {}
 
     def values(self, text: str) -> list:
@@ -57,19 +59,46 @@ class Memo:
                 del self.seen[w]
         return out
 
-    def join(self, text: str) -> bytes:
-        return self.special_ids.join(b"".join(self.values(part)) for part in text.split(self.special))
 
-
-def library_ids(name: str) -> tuple[Callable[[list[str]], list[bytes]], str, bytes]:
-    """Ids by the library as little-endian 32-bit words; special strings as by its default."""
-    import numpy as np
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(vocabulary_path(name))
-    special = next(x["content"] for x in json.loads(t.to_str())["added_tokens"])
-    ids = lambda e: np.array(e.ids, "<u4").tobytes()
-    return (lambda words: [ids(e) for e in t.encode_batch(words, add_special_tokens=False)]), special, ids(t.encode(special, add_special_tokens=False))
+class BatchIds:
+    """Ids by the library for many texts at once: each distinct pre-token goes to the library
+    once, and the ids of the texts are gathered from the results."""
+
+    def __init__(self, name: str):
+        from tokenizers import Tokenizer
+
+        self.library, self.split = Tokenizer.from_file(vocabulary_path(name)), splitter()
+        self.special = [x["content"] for x in json.loads(self.library.to_str())["added_tokens"]]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.end = array("I"), array("Q", [0])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        own = [not any(s in t for s in self.special) for t in texts]
+        split = [self.split(t) if plain else [] for t, plain in zip(texts, own, strict=True)]
+        words = [w for s in split for w in s]
+        number = dict.fromkeys(words)
+        if len(self.place) + len(number) > MEMO_ENTRIES:
+            self.forget()
+        new = [w for w in number if w not in self.place]
+        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.place[w] = len(self.place)
+            self.flat.extend(e.ids)
+            self.end.append(len(self.flat))
+        end, flat = np.array(self.end, np.int64), np.array(self.flat, "<u4")
+        place = np.fromiter(map(self.place.__getitem__, number), np.int64, len(number))
+        number = dict(zip(number, range(len(number)), strict=True))
+        at = place[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
+        n = end[at + 1] - end[at]
+        done = np.r_[0, np.cumsum(n)]
+        ids = flat[np.repeat(end[at] - done[:-1], n) + np.arange(done[-1])]
+        if len(new) and max(map(len, new)) > 4096:
+            self.forget()  # very long pre-tokens aren't kept
+        cuts = done[np.cumsum([0, *map(len, split)])]
+        plain = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [x if p else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for x, p, t in zip(plain, own, texts, strict=True)]
 
 
 def byte_symbols() -> dict[int, str]:
@@ -126,12 +155,12 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        merger = PairMerger.load(vocabulary)
-        memo = Memo((lambda words: [merger.count(w) for w in words], "<|endoftext|>", b""))
+        merger, special = PairMerger.load(vocabulary), "<|endoftext|>"
+        memo = Memo(lambda words: [merger.count(w) for w in words])
         for b in batches:
             n = []
             for text in b["text"]:
-                parts = bytes(text).decode("utf-8", "replace").split(memo.special)
+                parts = bytes(text).decode("utf-8", "replace").split(special)
                 n.append(len(parts) - 1 + sum(sum(memo.values(p)) for p in parts))
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["text"].map(len), "n_tokens": n})
 
