@@ -34,10 +34,12 @@ from .common import ready, stash
 
 PASSAGE = 40
 #: (length, stride) of the windows over documents, in words.
-WINDOWS = ((32, 12), (64, 24))
+WINDOWS = ((40, 16),)
 RANK, OVERSAMPLE = 96, 16
 #: Items that stand in a document whole, or with a fifth of their words changed, reach 0.8.
 COSINE = 0.7
+#: A window that holds most of a passage has a latent vector of this share of its length at least.
+LENGTH = 0.4
 SURE, LIKELY = 0.8, 0.6
 #: Items that one pass over the documents compares.
 ITEMS_PER_PASS = 20_000
@@ -84,6 +86,7 @@ class Index:
     latent: np.ndarray  # passages x rank, of length 1
     item_of: np.ndarray
     items: list[tuple[int, list[str], list[str]]]  # id, words, words of the answer
+    shortest: float = 0.0  # length of the shortest latent vector of a passage
     bags: list[Counter] = field(default_factory=list)
 
     def __post_init__(self):
@@ -163,8 +166,9 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK)
     v = randomised_svd(rows, word, idf, rank)
     projection = (v * idf[:, None]).astype(np.float32)
     latent = np.array([sum(projection[word[w]] for w in p) for _, p in cuts], np.float32)
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(word, projection, latent, np.array([k for k, _ in cuts]), split)
+    length = np.linalg.norm(latent, axis=1, keepdims=True)
+    latent /= np.maximum(length, 1e-9)
+    return Index(word, projection, latent, np.array([k for k, _ in cuts]), split, float(length.min()))
 
 
 def candidate_spans(ids: np.ndarray, index: Index, cosine: float) -> set[tuple[int, int, int]]:
@@ -181,7 +185,7 @@ def candidate_spans(ids: np.ndarray, index: Index, cosine: float) -> set[tuple[i
             end = np.minimum(start + size, len(part))
             window = run[end] - run[start]
             length = np.linalg.norm(window, axis=1)
-            busy = np.flatnonzero(length > 1e-6)
+            busy = np.flatnonzero(length > max(1e-6, LENGTH * index.shortest))
             near = (window[busy] / length[busy, None]) @ index.latent.T
             w, p = np.nonzero(near >= cosine)
             s, e = start[busy][w], end[busy][w]
