@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str) -> DataFrame:
     """Every document's pieces: ids by the library, then id 0 at the end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = BatchIds(vocabulary)
+        ids_of = BatchIds.of(vocabulary)
         for b in batches:
             rows = []
             for at in range(0, len(b), CHUNK):

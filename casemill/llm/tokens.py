@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import ready, utf8
 
 #: Pre-tokens that a worker remembers, and the longest of them in characters.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 800_000, 48
 
 
 def vocabulary_path(name: str) -> str:
@@ -64,7 +65,17 @@ class BatchIds:
     """Ids by the library for many texts at once: each distinct pre-token goes to the library
     once, and the ids of the texts are gathered from the results."""
 
+    made: dict[str, BatchIds] = {}
+
+    @classmethod
+    def of(cls, name: str) -> BatchIds:
+        """The worker's own, kept from task to task."""
+        if name not in cls.made:
+            cls.made[name] = cls(name)
+        return cls.made[name]
+
     def __init__(self, name: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         from tokenizers import Tokenizer
 
         self.library, self.split = Tokenizer.from_file(vocabulary_path(name)), splitter()
