@@ -33,7 +33,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, small, stash, utf8
@@ -232,9 +232,21 @@ def candidates(posts: DataFrame, t: Fraction, all_of_them: bool) -> DataFrame:
     return dealt.mapInPandas(run, "j_doc long, j_line int, i_doc long, i_line int, more boolean")
 
 
-def _word_set(line: Column) -> Column:
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.array_distinct(F.filter(F.split(F.translate(line, upper, upper.lower()), r"[ \t-\r]+"), lambda w: w != ""))
+def _reaches(t: Fraction):
+    """A UDF on two lines' bytes: whether their word sets reach t. Equal neighbours are split once."""
+
+    @F.pandas_udf("boolean")
+    def reaches(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, last, b = [], None, set()
+        for x, y in zip(left, right, strict=True):
+            if y != last:
+                last, b = y, set(bytes(y).lower().split())
+            a = set(bytes(x).lower().split())
+            shared = len(a & b)
+            out.append(shared * t.denominator >= (len(a) + len(b) - shared) * t.numerator)
+        return pd.Series(out, dtype=bool)
+
+    return reaches
 
 
 def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
@@ -243,14 +255,11 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
     wanted = stash(ends.groupBy("d").agg(F.collect_list("l").alias("ls")), "pair-places")
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     split = own.join(small(wanted, wanted.count()), F.col("id") == F.col("d")).select("d", "ls", F.split("text", "\n").alias("all"))
-    texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", F.get("all", F.col("l")).alias("w"))
+    texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", F.get("all", F.col("l")).cast("binary").alias("w")).filter("w is not null")  # rows that share a doc_id differ in lines
     texts = stash(texts, "pair-lines")
     a, b = texts.select(F.col("d").alias("i_doc"), F.col("l").alias("i_line"), F.col("w").alias("wi")), texts.select(F.col("d").alias("j_doc"), F.col("l").alias("j_line"), F.col("w").alias("wj"))
     both = pairs.select("i_doc", "i_line", "j_doc", "j_line").join(a, ["i_doc", "i_line"]).join(b, ["j_doc", "j_line"])
-    both = both.withColumns({"wi": _word_set(F.col("wi")), "wj": _word_set(F.col("wj"))})
-    shared = F.size(F.array_intersect("wi", "wj"))
-    reaches = shared * t.denominator >= (F.size("wi") + F.size("wj") - shared) * t.numerator
-    return both.filter(reaches).select("i_doc", "i_line", "j_doc", "j_line").distinct()
+    return both.filter(_reaches(t)("wi", "wj")).select("i_doc", "i_line", "j_doc", "j_line").distinct()
 
 
 def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
