@@ -255,8 +255,8 @@ def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
     wanted = stash(ends.groupBy("d").agg(F.collect_list("l").alias("ls")), "pair-places")
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     split = own.join(small(wanted, wanted.count()), F.col("id") == F.col("d")).select("d", "ls", F.split("text", "\n").alias("all"))
-    texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", F.get("all", F.col("l")).cast("binary").alias("w")).filter("w is not null")  # rows that share a doc_id differ in lines
-    texts = stash(texts, "pair-lines")
+    texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", F.get("all", F.col("l")).cast("binary").alias("w"))
+    texts = stash(texts.filter("w is not null"), "pair-lines")  # rows that share a doc_id may differ in lines
     a, b = texts.select(F.col("d").alias("i_doc"), F.col("l").alias("i_line"), F.col("w").alias("wi")), texts.select(F.col("d").alias("j_doc"), F.col("l").alias("j_line"), F.col("w").alias("wj"))
     both = pairs.select("i_doc", "i_line", "j_doc", "j_line").join(a, ["i_doc", "i_line"]).join(b, ["j_doc", "j_line"])
     return both.filter(_reaches(t)("wi", "wj")).select("i_doc", "i_line", "j_doc", "j_line").distinct()

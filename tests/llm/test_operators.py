@@ -179,6 +179,12 @@ def test_line_dedup_equals_brute_force(spark, cell, monkeypatch):
         assert got[d] == (x if x is None or d is None else "\n".join(y for k, y in enumerate(x.split("\n")) if (d, k) not in want))
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    df = spark.createDataFrame([(1, "one two three"), (1, f"four five six\n{line}"), (2, f"{line} other")], "doc_id long, text string")
+    assert removed(lines.removed_lines(df)) == {(2, 0)}
+
+
 def test_line_dedup_on_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     assert removed(lines.removed_lines(documents(spark))) == slow_line_dedup(rows, Fraction(4, 5))
