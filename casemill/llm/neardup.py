@@ -8,8 +8,13 @@ each distinct fingerprint of a table emits all its variants within one bit, and
 meet are linked to the least. Candidates must also have near shingle fingerprints, and are
 verified on their full shingle sets.
 
-Documents that share a fingerprint are linked to the least and the greatest id of their class
-by aggregates, so a class of n documents costs 2 n candidates.
+Documents that share a fingerprint are first proposed to the least and the greatest id of their
+class, and classes that meet to the least code, so n documents cost 2 n candidates. That
+finds all but those that are near to some member and not to these. So where documents of one
+class or meeting point are still in different components, those outside its most frequent
+component are open: they are proposed to PIVOTS random open members in turn, and at last to
+every member of another component, in cells of CELL_ROWS. No pair of a class or meeting point
+is left out then.
 
 Defined results: texts with equal word sequences (A-Z in lower case) are copies, those
 without words too; a text of fewer than five words is one shingle; of repeated rows one
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +41,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 TABLES, BITS = 6, 32
 #: Bits in which the 64-bit shingle fingerprints of a pair may differ.
 NEAR = 22
+#: Rounds in which open documents meet two members each, before they meet all.
+PIVOTS = 2
+#: Open documents of one class or meeting point that meet its members in one task.
+CELL_ROWS = 2000
 
 
 def word_fingerprints(text: bytes) -> list[int]:
@@ -51,36 +60,103 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the word sequence, shingle fingerprint, word fingerprints."""
+    """doc_id, key of the word sequence, fingerprint and number of the shingles, word fingerprints."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for t in map(bytes, b["text"]):
                 key = xxhash.xxh3_128_digest(b" ".join(words(t)))
-                rows.append((key, signed(majority(shingle_hashes(t, SHINGLE))), word_fingerprints(t)))
-            out = pd.DataFrame(rows, columns=["key", "fp", "fps"])
+                h = shingle_hashes(t, SHINGLE)
+                rows.append((key, signed(majority(h)), len(distinct(h)), word_fingerprints(t)))
+            out = pd.DataFrame(rows, columns=["key", "fp", "n", "fps"])
             out.insert(0, "doc_id", b["doc_id"])
             yield out
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, key binary, fp long, fps array<long>")
+    return rows.mapInPandas(run, "doc_id long, key binary, fp long, n long, fps array<long>")
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b) with a < b: distinct texts (rep, fp, fps) that may be near-duplicates."""
-    each = texts.select("rep", "fp", F.posexplode("fps").alias("t", "word_fp"))
-    each = each.select("rep", "fp", (F.col("t").cast("long") * (1 << BITS) + F.col("word_fp")).alias("code"))
-    low, high = F.min(F.struct("rep", "fp")).alias("low"), F.max(F.struct("rep", "fp")).alias("high")
-    classes = stash(each.groupBy("code").agg(low, high), "fp-classes")
-    inside = each.join(classes, "code").select(F.struct("rep", "fp").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+def coded(texts: DataFrame) -> DataFrame:
+    """code, x and the further columns of texts(rep, fp, n, fps): a row for each fingerprint."""
+    rest = [c for c in texts.columns if c not in ("rep", "fp", "n", "fps")]
+    each = texts.select(F.struct("rep", "fp", "n").alias("x"), *rest, F.posexplode("fps").alias("t", "word_fp"))
+    return each.select((F.col("t").cast("long") * (1 << BITS) + F.col("word_fp")).alias("code"), "x", *rest)
+
+
+def may_be_near(x: str, y: str) -> Column:
+    """Whether the fingerprints and the numbers of shingles allow the threshold."""
+    sizes = F.least(f"{x}.n", f"{y}.n") >= THRESHOLD * F.greatest(f"{x}.n", f"{y}.n")
+    return sizes & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= NEAR)
+
+
+def ordered_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) with a < b of rows(x, y)."""
+    pairs = rows.filter("x.rep <> y.rep").filter(may_be_near("x", "y"))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def meetings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(code, low, high) of each class, and (point, code, least) where several codes meet."""
+    classes = stash(coded(texts).groupBy("code").agg(F.min("x").alias("low"), F.max("x").alias("high")), "fp-classes")
     ball = F.array(*(F.lit(m).cast("long") for m in masks(2, BITS)))
-    met = classes.select("code", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("code")))).alias("variant"))
-    met = met.withColumn("least", F.min("code").over(Window.partitionBy("variant"))).filter("least <> code").select("code", "least").distinct()
+    met = classes.select("code", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("code")))).alias("point"))
+    w = Window.partitionBy("point")
+    met = met.withColumn("least", F.min("code").over(w)).withColumn("most", F.max("code").over(w)).filter("least <> most")
+    return classes, stash(met.select("point", "code", "least"), "meetings")
+
+
+def star_pairs(texts: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
+    """(a, b) with a < b: each text with the ends of its classes, and each class with the least it meets."""
+    inside = coded(texts).join(classes, "code").select("x", F.explode(F.array("low", "high")).alias("y"))
     other = classes.select(F.col("code").alias("least"), F.col("low").alias("low2"))
-    across = met.join(classes, "code").join(other, "least").select(F.explode(F.array("low", "high")).alias("x"), F.col("low2").alias("y"))
-    pairs = inside.union(across).filter("x.rep <> y.rep").filter(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= NEAR)
-    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    across = met.filter("least <> code").select("code", "least").distinct().join(classes, "code").join(other, "least")
+    return ordered_pairs(inside.union(across.select(F.explode(F.array("low", "high")).alias("x"), F.col("low2").alias("y"))))
+
+
+def open_points(texts: DataFrame, points: DataFrame, reached: DataFrame) -> DataFrame:
+    """(point, x, component, main, cells): the members of points whose members are in several
+    components; main is the most frequent one."""
+    joined = texts.join(reached, F.col("rep") == F.col("node"), "left")
+    each = coded(joined.select("rep", "fp", "n", "fps", F.coalesce("component", "rep").alias("component")))
+    span = each.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    still = points.join(span, "code").groupBy("point").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
+    members = stash(points.join(still.select("point"), "point", "left_semi").join(each, "code").select("point", "x", "component"), "open-members")
+    main = members.groupBy("point", "component").count().groupBy("point")
+    main = main.agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.ceil(F.sum("count") / CELL_ROWS).alias("cells"))
+    return members.join(main, "point")
+
+
+def pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the open members of each point with two of them."""
+    still = members.filter("component <> main").withColumn("at", F.struct(F.xxhash64("x.rep", F.lit(turn)), "x"))
+    ends = still.groupBy("point").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    return ordered_pairs(still.join(ends, "point").select("x", F.explode(F.array("low.x", "high.x")).alias("y")))
+
+
+def all_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): the open members of each point with every member of another component."""
+    left = members.filter("component <> main").select("point", "x", F.col("component").alias("c"), F.pmod(F.xxhash64("x.rep"), "cells").alias("cell"))
+    right = members.select("point", F.col("x").alias("y"), "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
+    return ordered_pairs(left.join(right, ["point", "cell"]).filter("c <> component").filter(may_be_near("x", "y")).select("x", "y"))
+
+
+def near_components(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, component of the texts that are near to another."""
+    classes, met = meetings(texts)
+    shared = classes.filter("low.rep <> high.rep").select(F.col("code").alias("point"), "code")
+    points = stash(met.select("point", "code").union(shared).distinct(), "points")
+    tried = stash(star_pairs(texts, classes, met), "pairs")
+    good = stash(verified(tried, docs), "near-pairs")
+    for turn in range(PIVOTS + 1):
+        members = stash(open_points(texts, points, components(good)), "open-points")
+        if not members.limit(1).count():
+            break
+        more = all_pairs(members) if turn == PIVOTS else pivot_pairs(members, turn)
+        more = stash(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.limit(1).count():
+            good, tried = good.union(stash(verified(more, docs), "near-pairs")), tried.union(more)
+    return components(good)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -103,10 +179,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of all documents, and (key, rep, component) of the distinct texts."""
     ready(docs.sparkSession)
     each = stash(sketches(docs), "sketches")
-    first = F.min(F.struct("doc_id", "fp", "fps")).alias("first")
-    texts = stash(each.groupBy("key").agg(first).select("key", F.col("first.doc_id").alias("rep"), "first.fp", "first.fps"), "texts")
-    pairs = stash(candidate_pairs(texts), "pairs")
-    reached = components(stash(verified(pairs, docs), "near-pairs"))
+    first = F.min(F.struct("doc_id", "fp", "n", "fps")).alias("first")
+    texts = stash(each.groupBy("key").agg(first).select("key", F.col("first.doc_id").alias("rep"), "first.fp", "first.n", "first.fps"), "texts")
+    reached = near_components(texts, docs)
     joined = texts.select("key", "rep").join(reached, F.col("rep") == F.col("node"), "left")
     return each.select("doc_id", "key"), joined.select("key", "rep", F.coalesce("component", "rep").alias("component"))
 

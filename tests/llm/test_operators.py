@@ -248,6 +248,40 @@ def test_near_duplicates_reach_recall(spark):
     assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == sorted(set(got.values()))
 
 
+def drifting(rng, n):
+    """Texts of 200 words; each has two words of the one before replaced by others of the text."""
+    vocabulary = [f"w{i}" for i in range(120)]
+    w, out = [rng.choice(vocabulary) for _ in range(200)], []
+    for _ in range(n):
+        out.append(" ".join(w))
+        w = list(w)
+        for _ in range(2):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+    return out
+
+
+@pytest.mark.parametrize("cell", [3, 2000])
+def test_near_duplicates_of_drifting_and_reordered_texts(spark, cell, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL_ROWS", cell)
+    rng = random.Random(9)
+    texts = drifting(rng, 30)
+    w = texts[0].split(" ")
+    for _ in range(15):  # pairs of copies among texts of the same words
+        rng.shuffle(w)
+        copy = list(w)
+        copy[100], copy[101] = copy[101], copy[100]
+        texts += [" ".join(w), " ".join(copy)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    s = [shingles(x) for x in texts]
+    codes = [neardup.word_fingerprints(x.encode()) for x in texts]
+    true = [(i, j) for j in range(len(texts)) for i in range(j) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) and any((x ^ y).bit_count() <= 2 for x, y in zip(codes[i], codes[j]))]
+    each, found = neardup.groups(frame(spark, texts))
+    got = {r["doc_id"]: r["component"] for r in each.join(found, "key").collect()}
+    assert got == slow_components(range(len(texts)), true) and len(set(got.values())) < 20
+
+
 def test_decontamination_finds_items_and_paraphrases(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     plain = [r["text"] for r in documents(spark).collect()][:60]
