@@ -5,8 +5,11 @@ is at least 0.8. One 64-bit fingerprint of the shingles differs in 5 to 10 bits
 pairs, beyond any ball that can be emitted. So the ball hashing of `simhash` runs on TABLES
 independent fingerprints of BITS bits of the distinct words, which differ in about 2 bits:
 each distinct fingerprint of a table emits all its variants within one bit, and those that
-meet are linked to the least. Candidates must also have near shingle fingerprints, and are
-verified on their full shingle sets.
+meet are linked to the least. An added block of other words changes up to a sixth of the
+distinct words, and more bits than that. So texts also meet that have an equal band of minimum
+hashes of their shingles: with BANDS bands of ROWS, a pair of similarity 0.8 shares one with a
+probability of 0.995, whatever the edit and the length. Candidates must also have near shingle
+fingerprints, and are verified on their full shingle sets.
 
 Documents that share a fingerprint are first proposed to the least and the greatest id of their
 class, and classes that meet to the least code, so n documents cost 2 n candidates. That
@@ -39,6 +42,10 @@ from .simhash import majority, masks, shingle_hashes, signed, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 TABLES, BITS = 6, 32
+#: Bands of minimum hashes of the shingles, and hashes of one band.
+BANDS, ROWS = 10, 4
+#: Shingles whose hashes are permuted at once: 8 * BANDS * ROWS bytes each.
+CHUNK = 1 << 12
 #: Bits in which the 64-bit shingle fingerprints of a pair may differ.
 NEAR = 22
 #: Rounds in which open documents meet two members each, before they meet all.
@@ -54,13 +61,26 @@ def word_fingerprints(text: bytes) -> list[int]:
     return [x >> s & 0xFFFFFFFF for x in full for s in (0, 32)][:TABLES]
 
 
+FACTORS, OFFSETS = np.random.default_rng(13).integers(1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """BANDS codes of BITS bits; two texts share one with probability similarity ** ROWS. Without shingles, none."""
+    if not len(hashes):
+        return []
+    h = hashes.view(np.uint64)[:, None]
+    least = np.min([(h[i : i + CHUNK] * FACTORS + OFFSETS).min(axis=0) for i in range(0, len(h), CHUNK)], axis=0)
+    return [int(x) & 0xFFFFFFFF for x in mixed(least, 3).reshape(BANDS, ROWS) @ np.uint64([1, 3, 5, 7]) >> np.uint64(32)]
+
+
 def distinct(hashes: np.ndarray) -> np.ndarray:
     h = np.sort(hashes)
     return h[np.r_[len(h) > 0, h[1:] != h[:-1]][: len(h)]].view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the word sequence, fingerprint and number of the shingles, word fingerprints."""
+    """doc_id, key of the word sequence, fingerprint and number of the shingles, and as fps the
+    word fingerprints and bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -68,7 +88,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             for t in map(bytes, b["text"]):
                 key = xxhash.xxh3_128_digest(b" ".join(words(t)))
                 h = shingle_hashes(t, SHINGLE)
-                rows.append((key, signed(majority(h)), len(distinct(h)), word_fingerprints(t)))
+                one = distinct(h)
+                rows.append((key, signed(majority(h)), len(one), word_fingerprints(t) + bands(one)))
             out = pd.DataFrame(rows, columns=["key", "fp", "n", "fps"])
             out.insert(0, "doc_id", b["doc_id"])
             yield out
@@ -78,7 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def coded(texts: DataFrame) -> DataFrame:
-    """code, x and the further columns of texts(rep, fp, n, fps): a row for each fingerprint."""
+    """code, x and the further columns of texts(rep, fp, n, fps): a row for each fingerprint and band."""
     rest = [c for c in texts.columns if c not in ("rep", "fp", "n", "fps")]
     each = texts.select(F.struct("rep", "fp", "n").alias("x"), *rest, F.posexplode("fps").alias("t", "word_fp"))
     return each.select((F.col("t").cast("long") * (1 << BITS) + F.col("word_fp")).alias("code"), "x", *rest)
@@ -100,7 +121,8 @@ def meetings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(code, low, high) of each class, and (point, code, least) where several codes meet."""
     classes = stash(coded(texts).groupBy("code").agg(F.min("x").alias("low"), F.max("x").alias("high")), "fp-classes")
     ball = F.array(*(F.lit(m).cast("long") for m in masks(2, BITS)))
-    met = classes.select("code", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("code")))).alias("point"))
+    balls = classes.filter(F.col("code") < TABLES << BITS)
+    met = balls.select("code", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("code")))).alias("point"))
     w = Window.partitionBy("point")
     met = met.withColumn("least", F.min("code").over(w)).withColumn("most", F.max("code").over(w)).filter("least <> most")
     return classes, stash(met.select("point", "code", "least"), "meetings")

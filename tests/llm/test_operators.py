@@ -248,6 +248,45 @@ def test_near_duplicates_reach_recall(spark):
     assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_with_added_blocks_meet():
+    """Recall of candidates by band of similarity, kind of edit and length, over texts of sf0.1."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(10)
+    texts = [w for x in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist() if x and len(w := x.split()) >= 40]
+    pool = [w for x in texts[:300] for w in x]
+    for least, most in ((40, 150), (150, 600), (600, 2500), (2500, 10**9)):
+        own = [x for x in texts if least <= len(x) < most]
+        for kind in ("appended", "prepended", "scattered"):
+            met = defaultdict(list)
+            for _ in range(4000):
+                if min(len(met[0.80]), len(met[0.85])) >= 60:
+                    break
+                w = rng.choice(own)[: 2 * least + 2000]
+                share = rng.uniform(0.12, 0.25)
+                at = rng.randrange(len(pool) - len(w))
+                block = pool[at : at + int(share * len(w))]
+                v = w + block if kind == "appended" else block + w
+                if kind == "scattered":
+                    v = list(w)
+                    for _ in range(max(1, int(share * len(w) / 11))):
+                        v[rng.randrange(len(v))] = rng.choice(pool)
+                a, b = (" ".join(x).encode() for x in (w, v))
+                ha, hb = (neardup.distinct(simhash.shingle_hashes(x, 5)) for x in (a, b))
+                n = len(np.intersect1d(ha, hb))
+                near = n / (len(ha) + len(hb) - n)
+                band = 0.80 if 0.80 <= near < 0.85 else 0.85 if 0.85 <= near < 0.9 else None
+                if band is None or len(met[band]) >= 60:
+                    continue
+                words = any((x ^ y).bit_count() <= 2 for x, y in zip(neardup.word_fingerprints(a), neardup.word_fingerprints(b)))
+                shingled = any(x == y for x, y in zip(neardup.bands(ha), neardup.bands(hb)))
+                close = (simhash.majority(simhash.shingle_hashes(a, 5)) ^ simhash.majority(simhash.shingle_hashes(b, 5))).bit_count() <= neardup.NEAR
+                met[band].append((close and (words or shingled), close and words))
+            for band, found in sorted((k, v) for k, v in met.items() if k):
+                print(least, kind, band, len(found), "found", np.mean([x for x, _ in found]), "by words only", np.mean([x for _, x in found]))
+                assert len(found) >= 20 and np.mean([x for x, _ in found]) >= 0.9
+
+
 def drifting(rng, n):
     """Texts of 200 words; each has two words of the one before replaced by others of the text."""
     vocabulary = [f"w{i}" for i in range(120)]
