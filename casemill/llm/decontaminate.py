@@ -33,18 +33,17 @@ from pyspark.sql import functions as F
 from .common import ready, stash
 
 PASSAGE = 40
-#: (length, stride) of the windows over documents, in words.
-WINDOWS = ((40, 16),)
-RANK, OVERSAMPLE = 96, 16
-#: Items that stand in a document whole, or with a fifth of their words changed, reach 0.8.
-COSINE = 0.7
-#: A window that holds most of a passage has a latent vector of this share of its length at least.
-LENGTH = 0.4
+#: (length, stride) of the windows over documents, in words: of about a passage's own length.
+WINDOWS = ((20, 8), (40, 16))
+#: The rank is RANK, or one for each PASSAGES_PER_RANK passages if those are more.
+RANK, PASSAGES_PER_RANK, OVERSAMPLE = 96, 4, 16
+#: Reached by the best window over an item with an eighth of its words changed and other words around it.
+COSINE = 0.5
 SURE, LIKELY = 0.8, 0.6
-#: Items that one pass over the documents compares.
-ITEMS_PER_PASS = 20_000
-#: Words of a document that are projected at once.
-CHUNK = 20_000
+#: Passages that one pass over the documents compares, if an item has no more.
+PASSAGES_PER_PASS = 4_000
+#: Numbers that the projection of a document holds at once.
+CHUNK = 2_000_000
 word_list = re.compile(r"\w+").findall
 
 
@@ -82,15 +81,15 @@ class Index:
     """What a worker needs; bounded by the benchmark."""
 
     word: dict[str, int]
-    projection: np.ndarray  # words x rank, IDF included
+    projection: np.ndarray  # words x rank, IDF included; a row of zeros for other words is put last
     latent: np.ndarray  # passages x rank, of length 1
     item_of: np.ndarray
     items: list[tuple[int, list[str], list[str]]]  # id, words, words of the answer
-    shortest: float = 0.0  # length of the shortest latent vector of a passage
     bags: list[Counter] = field(default_factory=list)
 
     def __post_init__(self):
         self.bags = [Counter(w) for _, w, _ in self.items]
+        self.projection = np.vstack([self.projection, np.zeros((1, self.projection.shape[1]), np.float32)])
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
@@ -134,15 +133,26 @@ def randomised_svd(rows: DataFrame, word: dict[str, int], idf: np.ndarray, rank:
                 for words in b["words"]:
                     cols, v = weights(list(words), word, idf)
                     y = v @ basis[cols]
-                    for c, x in enumerate(np.outer(y, y)) if gram else zip(cols.tolist(), np.outer(v, y), strict=True):
-                        out[c] = out[c] + x if c in out else x
+                    if gram:
+                        out[0] = out.get(0, 0) + np.outer(y, y)
+                    else:
+                        for c, x in zip(cols.tolist(), np.outer(v, y), strict=True):
+                            out[c] = out[c] + x if c in out else x
+            if gram:
+                out = dict(enumerate(out[0])) if out else {}
             yield pd.DataFrame({"c": list(out), "x": pd.Series(list(out.values()), dtype=object)})
 
-        parts = rows.select("words").mapInPandas(run, "c long, x array<double>")
+        def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out: dict[int, np.ndarray] = {}
+            for b in batches:
+                for c, x in zip(b["c"].tolist(), b["x"], strict=True):
+                    out[c] = out[c] + x if c in out else x
+            yield pd.DataFrame({"c": list(out), "x": pd.Series(list(out.values()), dtype=object)})
+
+        parts = rows.select("words").mapInPandas(run, "c long, x array<double>").repartition("c")
         width = basis.shape[1]
-        total = parts.groupBy("c").agg(F.array(*(F.sum(F.col("x")[i]) for i in range(width))).alias("x")).collect()
         made = np.zeros((width if gram else len(word), width))
-        for r in total:
+        for r in parts.mapInPandas(added, "c long, x array<double>").toLocalIterator():
             made[r["c"]] = r["x"]
         return made
 
@@ -155,6 +165,7 @@ def randomised_svd(rows: DataFrame, word: dict[str, int], idf: np.ndarray, rank:
 
 
 def build_index(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> Index:
+    """The index of items; its rank is at least `rank`, and grows with the passages."""
     spark = docs.sparkSession
     split = [(i, tokens(t), answer(t)) for i, t in items]
     cuts = [(k, p) for k, (_, w, _) in enumerate(split) for p in passages(w)]
@@ -163,21 +174,20 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK)
     n, found = document_frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + np.array([found.get(w, 0) for w in vocabulary]))) + 1
     rows = spark.createDataFrame([(p,) for _, p in cuts], "words array<string>")
-    v = randomised_svd(rows, word, idf, rank)
+    v = randomised_svd(rows, word, idf, max(rank, -(-len(cuts) // PASSAGES_PER_RANK)))
     projection = (v * idf[:, None]).astype(np.float32)
     latent = np.array([sum(projection[word[w]] for w in p) for _, p in cuts], np.float32)
-    length = np.linalg.norm(latent, axis=1, keepdims=True)
-    latent /= np.maximum(length, 1e-9)
-    return Index(word, projection, latent, np.array([k for k, _ in cuts]), split, float(length.min()))
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    return Index(word, projection, latent, np.array([k for k, _ in cuts]), split)
 
 
 def candidate_spans(ids: np.ndarray, index: Index, cosine: float) -> set[tuple[int, int, int]]:
     """(item, from, to): windows of one document near a passage. ids: column of each word or -1."""
     out = set()
-    table = np.vstack([index.projection, np.zeros((1, index.projection.shape[1]), np.float32)])
-    longest = WINDOWS[-1][0]
-    for at in range(0, len(ids), CHUNK):
-        part = ids[at : at + CHUNK + longest]
+    table = index.projection
+    longest, chunk = WINDOWS[-1][0], max(1, CHUNK // table.shape[1])
+    for at in range(0, len(ids), chunk):
+        part = ids[at : at + chunk + longest]
         run = np.zeros((len(part) + 1, table.shape[1]), np.float32)
         np.cumsum(table[part], axis=0, out=run[1:], dtype=np.float32)
         for size, stride in WINDOWS:
@@ -185,7 +195,7 @@ def candidate_spans(ids: np.ndarray, index: Index, cosine: float) -> set[tuple[i
             end = np.minimum(start + size, len(part))
             window = run[end] - run[start]
             length = np.linalg.norm(window, axis=1)
-            busy = np.flatnonzero(length > max(1e-6, LENGTH * index.shortest))
+            busy = np.flatnonzero(length > 1e-6)
             near = (window[busy] / length[busy, None]) @ index.latent.T
             w, p = np.nonzero(near >= cosine)
             s, e = start[busy][w], end[busy][w]
@@ -221,14 +231,28 @@ def hits(words: list[str], index: Index, cosine: float) -> dict[int, float]:
     return found
 
 
+def passes(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Consecutive parts of at most PASSAGES_PER_PASS passages, or of one item."""
+    part, n = [], 0
+    for item in items:
+        own = -(-len(tokens(item[1])) // PASSAGE)
+        if part and n + own > PASSAGES_PER_PASS:
+            yield part
+            part, n = [], 0
+        part.append(item)
+        n += own
+    if part:
+        yield part
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
     """doc_id, item_ids (sorted), share (the highest) for documents with hits."""
     spark = ready(docs.sparkSession)
     named = benchmark.filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     items = [(r["item_id"], r["text"]) for r in named.orderBy("item_id").toLocalIterator() if tokens(r["text"])]
     out = None
-    for at in range(0, len(items), ITEMS_PER_PASS):
-        index = spark.sparkContext.broadcast(build_index(docs, items[at : at + ITEMS_PER_PASS], rank))
+    for part_of_items in passes(items):
+        index = spark.sparkContext.broadcast(build_index(docs, part_of_items, rank))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             known = index.value

@@ -346,6 +346,33 @@ def test_decontamination_finds_items_and_paraphrases(spark):
     assert all(full[i] for i in got if got[i]["contaminated"])
 
 
+@pytest.mark.parametrize("n_items", [40, 200, 2000])
+def test_decontamination_reaches_recall_by_item_length(spark, n_items):
+    """Items whole, or with an eighth of the words changed, within real text, against brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rng = random.Random(12)
+    texts = [w for r in docs.select("text").limit(6000).collect() if len(w := decontaminate.tokens(r["text"])) >= 250]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect()][:n_items]
+    own, others = texts[::2], texts[1::2]
+    while len(items) < n_items:
+        w, n = rng.choice(own), rng.randint(15, 59)
+        at = rng.randrange(len(w) - n)
+        items.append((10**6 + len(items), " ".join(w[at : at + n])))
+    index = decontaminate.build_index(docs, items)
+    found = defaultdict(list)
+    for k in [k % n_items for k in range(max(1200, n_items))]:
+        item, w = index.items[k][1], rng.choice(others)
+        at = rng.randrange(len(w) - 220)
+        for kind in ("whole", "edited"):
+            p = [rng.choice(w) if kind == "edited" and rng.random() < 0.12 else x for x in item]
+            text = w[at : at + 100] + p + w[at + 100 : at + 200]
+            if decontaminate.lcs(text, item) >= decontaminate.SURE * len(item):
+                found[kind, min(4, (len(item) - 1) // 10)].append(k in decontaminate.hits(text, index, decontaminate.COSINE))
+    for key, hit in sorted(found.items()):
+        print(n_items, "items, rank", index.latent.shape[1], key[0], f"{10 * key[1] + 1}+ words", np.mean(hit), "of", len(hit))
+    assert all(np.mean(hit) >= 0.97 for hit in found.values())
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(200):
