@@ -1,7 +1,7 @@
 """Line dedup (operator 8): an exact set-similarity join of lines; later matches are removed.
 
 A line is the set of its distinct words (A-Z in lower case, split at \\x20 and \\x09-\\x0D).
-A line goes if an earlier one, by (doc_id, line), has Jaccard similarity of at least the
+A line goes if an earlier one, by (doc_id, row, line), has Jaccard similarity of at least the
 threshold, equal sets included.
 
 1. Word counts, in a fixed number of hash buckets, order each line's words by rarity. Any
@@ -18,8 +18,8 @@ A word's postings beyond CELL_ROWS are dealt to cells of pairs of parts, so none
 one task.
 
 Defined results: a null text has no lines and stays null; lines without words stay; rows
-with a null doc_id stay whole and match nothing; rows that share a doc_id are one document to
-the join, and lose the lines at the same places; columns beside doc_id and text are passed
+with a null doc_id stay whole and match nothing; rows that share a doc_id are told apart by a
+row number that follows their texts, and of equal rows the lines of one stay; columns beside doc_id and text are passed
 on by remove_lines and aren't read; no rows give no rows.
 """
 
@@ -33,10 +33,10 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, small, stash, utf8
+from .common import numbered, ready, small, stash, utf8
 
 BUCKETS = 1 << 18
 #: Documents that are split at once: their words fit a CPU's cache.
@@ -44,9 +44,11 @@ CHUNK = 100
 #: Hash buckets of words whose postings are counted, and postings of one that meet in a task.
 CELL_BUCKETS, CELL_ROWS = 1 << 16, 20_000
 PARTNERS = 4
-LINE_SCHEMA = "doc_id long, line int, key binary, size int, parity long, prefix binary"
+#: line: the place of a line in its row, and above LINE_BITS bits the number of the row among those of its doc_id.
+LINE_BITS = 32
+LINE_SCHEMA = "doc_id long, line long, key binary, size int, parity long, prefix binary"
 #: meet: the word, mixed with its cell. info: size * 2**31 + pos, negative (by ~) if not open.
-POSTING_SCHEMA = "meet long, doc_id long, line int, info long, parity long"
+POSTING_SCHEMA = "meet long, doc_id long, line long, info long, parity long"
 #: Bytes of a word's hash in a prefix. Words that share one only meet more often.
 WORD_BYTES = 5
 
@@ -89,15 +91,16 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def line_sets(doc_ids: np.ndarray, texts: Iterable[bytes], rarity: np.ndarray, t: Fraction) -> pd.DataFrame:
+def line_sets(doc_ids: np.ndarray, row_numbers: np.ndarray, texts: Iterable[bytes], rarity: np.ndarray, t: Fraction) -> pd.DataFrame:
     """A batch's lines with words, as line_rows gives them."""
     words: list[bytes] = []
-    doc, line, n = [], [], []
-    for d, text in zip(doc_ids.tolist(), texts, strict=True):
-        for k, x in enumerate(bytes(text).lower().split(b"\n")):
+    doc, row, line, n = [], [], [], []
+    for d, r, text in zip(doc_ids.tolist(), row_numbers.tolist(), texts, strict=True):
+        for k, x in enumerate(bytes(text).lower().split(b"\n"), r << LINE_BITS):
             if own := x.split():
                 words += own
                 doc.append(d)
+                row.append(r)
                 line.append(k)
                 n.append(len(own))
     if not words:
@@ -121,15 +124,15 @@ def line_sets(doc_ids: np.ndarray, texts: Iterable[bytes], rarity: np.ndarray, t
     raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
     digest = keys.astype(">u8").tobytes()
     take = size - -(-t.numerator * size // t.denominator) + 1
-    out = pd.DataFrame({"doc_id": doc, "line": line, "k0": keys[:, 0], "k1": keys[:, 1], "size": size, "parity": parity})
-    again = out.duplicated(["doc_id", "k0", "k1"]).to_numpy()
+    out = pd.DataFrame({"doc_id": doc, "row": row, "line": line, "k0": keys[:, 0], "k1": keys[:, 1], "size": size, "parity": parity})
+    again = out.duplicated(["doc_id", "row", "k0", "k1"]).to_numpy()
     out["key"] = [None if g else digest[16 * i : 16 * i + 16] for i, g in enumerate(again)]
     out["prefix"] = [None if g else raw[WORD_BYTES * s : WORD_BYTES * (s + p)] for g, s, p in zip(again, starts.tolist(), take.tolist(), strict=True)]
     return out[["doc_id", "line", "key", "size", "parity", "prefix"]]
 
 
 def line_rows(docs: DataFrame, t: Fraction) -> DataFrame:
-    """A row for each line with words; key is null if the document has had the set before."""
+    """Of docs(doc_id, __row, text): a row for each line with words; key is null if the row has had the set before."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(np.minimum(word_counts(docs), (1 << 32) - 1).astype(np.uint32))
 
@@ -137,9 +140,10 @@ def line_rows(docs: DataFrame, t: Fraction) -> DataFrame:
         for b in batches:
             for i in range(0, len(b), CHUNK):
                 part = b.iloc[i : i + CHUNK]
-                yield line_sets(part["doc_id"].to_numpy(), part["text"], counts.value, t)
+                yield line_sets(part["doc_id"].to_numpy(), part["row"].to_numpy(), part["text"], counts.value, t)
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInPandas(run, LINE_SCHEMA)
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), utf8().alias("text"))
+    return rows.mapInPandas(run, LINE_SCHEMA)
 
 
 def first_places(lines: DataFrame) -> DataFrame:
@@ -229,7 +233,7 @@ def candidates(posts: DataFrame, t: Fraction, all_of_them: bool) -> DataFrame:
             yield partners(pd.concat(held), t, all_of_them)
 
     dealt = posts.repartition("meet").sortWithinPartitions("meet", "doc_id", "line")
-    return dealt.mapInPandas(run, "j_doc long, j_line int, i_doc long, i_line int, more boolean")
+    return dealt.mapInPandas(run, "j_doc long, j_line long, i_doc long, i_line long, more boolean")
 
 
 def _reaches(t: Fraction):
@@ -249,14 +253,22 @@ def _reaches(t: Fraction):
     return reaches
 
 
+def row_of(line: str) -> Column:
+    return F.shiftright(F.col(line), LINE_BITS).cast("int")
+
+
+def place_of(line: str) -> Column:
+    return F.col(line).bitwiseAND((1 << LINE_BITS) - 1).cast("int")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (i_doc, i_line, j_doc, j_line) whose texts reach t."""
     ends = pairs.select(F.col("i_doc").alias("d"), F.col("i_line").alias("l")).union(pairs.select("j_doc", "j_line")).distinct()
-    wanted = stash(ends.groupBy("d").agg(F.collect_list("l").alias("ls")), "pair-places")
-    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    split = own.join(small(wanted, wanted.count()), F.col("id") == F.col("d")).select("d", "ls", F.split("text", "\n").alias("all"))
-    texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", F.get("all", F.col("l")).cast("binary").alias("w"))
-    texts = stash(texts.filter("w is not null"), "pair-lines")  # rows that share a doc_id may differ in lines
+    wanted = stash(ends.groupBy("d", row_of("l").alias("r")).agg(F.collect_list("l").alias("ls")), "pair-places")
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "__row", "text")
+    split = own.join(small(wanted, wanted.count()), (F.col("id") == F.col("d")) & (F.col("__row") == F.col("r"))).select("d", "ls", F.split("text", "\n").alias("all"))
+    texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", F.get("all", place_of("l")).cast("binary").alias("w"))
+    texts = stash(texts, "pair-lines")
     a, b = texts.select(F.col("d").alias("i_doc"), F.col("l").alias("i_line"), F.col("w").alias("wi")), texts.select(F.col("d").alias("j_doc"), F.col("l").alias("j_line"), F.col("w").alias("wj"))
     both = pairs.select("i_doc", "i_line", "j_doc", "j_line").join(a, ["i_doc", "i_line"]).join(b, ["j_doc", "j_line"])
     return both.filter(_reaches(t)("wi", "wj")).select("i_doc", "i_line", "j_doc", "j_line").distinct()
@@ -287,22 +299,26 @@ def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, removed: the places (from 0) of the lines that go, for documents that lose any."""
+    """doc_id, row, removed: the places (from 0) of the lines that go, for rows that lose any.
+    row is the __row of `numbered`, which is added if docs lacks it."""
     ready(docs.sparkSession)
+    docs = docs if "__row" in docs.columns else numbered(docs)
     t = fraction(threshold)
     lines = stash(line_rows(docs, t), "lines")
     sets = stash(first_places(lines), "line-sets")
     matched = similar_sets(sets, docs, t).withColumn("matched", F.lit(True))
     judged = sets.select("key", "n", "doc_id", "line").join(matched, ["doc_id", "line"], "left").filter("matched or n > 1")
-    judged = judged.select(F.col("key").alias("k"), F.col("doc_id").alias("first_doc"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    gone = lines.filter("key is not null").select("key", "doc_id", "line").join(judged, F.col("key") == F.col("k")).filter("matched or doc_id <> first_doc")
+    judged = judged.select(F.col("key").alias("k"), F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    gone = lines.filter("key is not null").select("key", "doc_id", "line").join(judged, F.col("key") == F.col("k"))
+    gone = gone.filter("matched or doc_id <> first_doc or line <> first_line")
     gone = gone.select("doc_id", "line").unionByName(lines.filter("key is null").select("doc_id", "line"))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed"))
+    return gone.groupBy("doc_id", row_of("line").alias("row")).agg(F.collect_set(place_of("line")).alias("removed"))
 
 
 def _rewritten(docs: DataFrame, threshold: float) -> DataFrame:
     """docs with __rest, the remaining lines, and __gone, the places of the others or null."""
-    gone = removed_lines(docs, threshold).select(F.col("doc_id").alias("__gone_id"), F.col("removed").alias("__gone"))
+    docs = numbered(docs)
+    gone = removed_lines(docs, threshold).select(F.col("doc_id").alias("__gone_id"), F.col("row").alias("__gone_row"), F.col("removed").alias("__gone"))
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -314,7 +330,7 @@ def _rewritten(docs: DataFrame, threshold: float) -> DataFrame:
 
         return pd.Series([one(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
-    joined = docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left")
+    joined = docs.join(gone, (F.col("doc_id") == F.col("__gone_id")) & (F.col("__row") == F.col("__gone_row")), "left")
     return joined.withColumn("__rest", rest(docs["text"], F.col("__gone")))
 
 

@@ -185,6 +185,20 @@ def test_line_dedup_of_rows_that_share_an_id(spark):
     assert removed(lines.removed_lines(df)) == {(2, 0)}
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_line_dedup_keeps_one_of_equal_rows(spark, parts):
+    """In one batch and in two; later rows of the id lose only their own lines."""
+    text = "alpha beta gamma\n\ndelta epsilon zeta eta"
+    rows = [(1, text, 0), (1, "theta iota\nkappa lambda\nalpha beta gamma", 0), (1, text, parts - 1), (2, "mu nu xi\nkappa lambda", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int").repartitionByRange(parts, "part")
+    assert df.rdd.getNumPartitions() == parts
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(df).collect())
+    assert got[-1] == (2, "mu nu xi", 1)
+    kept = Counter(x for _, one, _ in got for x in one.split("\n") if x)
+    assert kept == Counter(["alpha beta gamma", "delta epsilon zeta eta", "theta iota", "kappa lambda", "mu nu xi"])
+    assert sorted(n for _, _, n in got) in ([0, 1, 1, 2], [0, 1, 1, 3])
+
+
 def test_line_dedup_on_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     assert removed(lines.removed_lines(documents(spark))) == slow_line_dedup(rows, Fraction(4, 5))
