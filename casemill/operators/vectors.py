@@ -73,7 +73,7 @@ def exact_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def ivf_top_k(corpus: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 8, seed: int = 5) -> DataFrame:
+def ivf_top_k(corpus: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 12, seed: int = 5) -> DataFrame:
     """Top-k by k-means cells: each query meets the rows of its nearest cells, an equi-join on
     the cell. With probes = cells it is exact."""
     spark = corpus.sparkSession

@@ -102,6 +102,15 @@ def test_clustered_search_with_all_cells_is_exact(spark):
     assert len(some & exact) > 0.5 * len(exact)
 
 
+def test_clustered_search_reaches_recall(spark):
+    e = vectors.as_double(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    q = pairs.queries_of(e)
+    exact = {(r["query_id"], r["case_id"]) for r in vectors.exact_top_k(e, q, 10).collect()}
+    found = {(r["query_id"], r["case_id"]) for r in vectors.ivf_top_k(e, q, 10).collect()}
+    print("recall@10", len(found & exact) / len(exact))
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     good = [json.dumps({"case_id": i, "fact": "f", "meta": {"accusation": ["b", "a", None, "a"]}}) for i in (1, 2)]
     (tmp_path / "bad.jsonl").write_text("\n".join([good[0], "", "{oops", good[1]]))
