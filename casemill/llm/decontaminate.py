@@ -14,8 +14,9 @@ The factorised passages are the benchmark's: directions that no benchmark passag
 tell one from another, so the corpus adds its statistics and its windows, not its directions.
 
 Defined results: a null or wordless text is clean; benchmark rows with a null id or without
-words are left out; repeated items are one; an empty benchmark leaves all clean; a null
-doc_id is carried; repeated rows are judged alike; further columns are passed on by clean().
+words are left out; repeated rows of it are one, and all texts of an item_id are searched
+for; an empty benchmark leaves all clean; verdicts are by text, whatever the doc_id, so rows that
+share one or have none are judged by their own text; further columns are passed on by clean().
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, stash
+from .common import ready, small, stash
 
 PASSAGE = 40
 #: (length, stride) of the windows over documents, in words: of about a passage's own length.
@@ -245,11 +246,16 @@ def passes(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
+def text_key() -> Column:
+    """What equal texts share; null for a null text."""
+    return F.sha2("text", 256).alias("text_key")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
-    """doc_id, item_ids (sorted), share (the highest) for documents with hits."""
+    """text_key, item_ids (sorted), share (the highest) for distinct texts with hits."""
     spark = ready(docs.sparkSession)
-    named = benchmark.filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    items = [(r["item_id"], r["text"]) for r in named.orderBy("item_id").toLocalIterator() if tokens(r["text"])]
+    named = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
+    items = [(r["item_id"], r["text"]) for r in named.orderBy("item_id", "text").toLocalIterator() if tokens(r["text"])]
     out = None
     for part_of_items in passes(items):
         index = spark.sparkContext.broadcast(build_index(docs, part_of_items, rank))
@@ -258,28 +264,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
             known = index.value
             for b in batches:
                 rows = []
-                for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                for key, text in zip(b["text_key"], b["text"], strict=True):
                     if found := hits(tokens(text), known, cosine):
-                        rows.append((doc_id, sorted(known.items[k][0] for k in found), max(found.values())))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_ids", "share"])
+                        rows.append((key, sorted({known.items[k][0] for k in found}), max(found.values())))
+                yield pd.DataFrame(rows, columns=["text_key", "item_ids", "share"])
 
-        part = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, item_ids array<long>, share double")
+        part = docs.select(text_key(), "text").mapInPandas(run, "text_key string, item_ids array<long>, share double")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, item_ids array<long>, share double")
-    by_doc = out.groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    return by_doc.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("share").alias("share"))
+        return spark.createDataFrame([], "text_key string, item_ids array<long>, share double")
+    return out.groupBy("text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("share").alias("share"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float) -> DataFrame:
+    """__key, item_ids, share of the texts with hits."""
+    found = stash(contaminated(docs, benchmark, cosine), "leaks").withColumnRenamed("text_key", "__key")
+    return small(found, found.count())
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, contaminated, item_ids, share for every document."""
-    found = stash(contaminated(docs, benchmark, cosine), "leaks").withColumnRenamed("doc_id", "__id")
-    joined = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    found = leaks(docs, benchmark, cosine)
+    joined = docs.select("doc_id", text_key()).join(found, F.col("text_key") == F.col("__key"), "left")
     return joined.select("doc_id", F.col("share").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """The documents without hits, with all their columns. A null doc_id is kept unless some
-    text without an id has a hit: then those texts are judged as one document."""
-    found = stash(contaminated(docs, benchmark, cosine), "leaks").select(F.col("doc_id").alias("__id"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")
+    """The documents without hits, with all their columns."""
+    return docs.join(leaks(docs, benchmark, cosine).select("__key"), F.sha2(docs["text"], 256) == F.col("__key"), "left_anti")

@@ -21,7 +21,7 @@ is left out then.
 
 Defined results: texts with equal word sequences (A-Z in lower case) are copies, those
 without words too; a text of fewer than five words is one shingle; of repeated rows one
-stays; rows with a null doc_id stay; all columns are passed on; no rows give no rows.
+stays, and rows that share a doc_id are documents of their own; rows with a null doc_id stay; all columns are passed on; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ready, stash, utf8
+from .common import numbered, ready, stash, utf8
 from .components import components
 from .lines import mixed
 from .simhash import majority, masks, shingle_hashes, signed, words
@@ -79,7 +79,7 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the word sequence, fingerprint and number of the shingles, and as fps the
+    """node (doc_id and __row), key of the word sequence, fingerprint and number of the shingles, and as fps the
     word fingerprints and bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,10 +92,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows.append((key, signed(majority(h)), len(one), word_fingerprints(t) + bands(one)))
             out = pd.DataFrame(rows, columns=["key", "fp", "n", "fps"])
             out.insert(0, "doc_id", b["doc_id"])
+            out.insert(1, "row", b["row"])
             yield out
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, key binary, fp long, n long, fps array<long>")
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), utf8().alias("text"))
+    made = rows.mapInPandas(run, "doc_id long, row int, key binary, fp long, n long, fps array<long>")
+    return made.select(F.struct("doc_id", "row").alias("node"), "key", "fp", "n", "fps")
 
 
 def coded(texts: DataFrame) -> DataFrame:
@@ -186,34 +188,45 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": pd.Series([distinct(shingle_hashes(bytes(t), SHINGLE)) for t in b["text"]], dtype=object)})
+            yield pd.DataFrame({"id": pd.Series(b["id"], dtype=object), "s": pd.Series([distinct(shingle_hashes(bytes(t), SHINGLE)) for t in b["text"]], dtype=object)})
 
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).join(ends, F.col("id") == F.col("end"), "left_semi")
-    sets = stash(texts.mapInPandas(run, "id long, s array<long>"), "shingles")
+    texts = docs.filter("doc_id is not null").select(node().alias("id"), utf8().alias("text")).join(ends, F.col("id") == F.col("end"), "left_semi")
+    sets = stash(texts.mapInPandas(run, "id struct<doc_id: long, row: int>, s array<long>"), "shingles")
     one, two = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
-def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of all documents, and (key, rep, component) of the distinct texts."""
+def node() -> Column:
+    """What tells rows apart: doc_id and the number of `numbered`; the least is of the least doc_id."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"))
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, key) of all documents of numbered docs, and (key, rep, component) of the distinct
+    texts; rep and component are nodes."""
     ready(docs.sparkSession)
     each = stash(sketches(docs), "sketches")
-    first = F.min(F.struct("doc_id", "fp", "n", "fps")).alias("first")
-    texts = stash(each.groupBy("key").agg(first).select("key", F.col("first.doc_id").alias("rep"), "first.fp", "first.n", "first.fps"), "texts")
+    first = F.min(F.struct("node", "fp", "n", "fps")).alias("first")
+    texts = stash(each.groupBy("key").agg(first).select("key", F.col("first.node").alias("rep"), "first.fp", "first.n", "first.fps"), "texts")
     reached = near_components(texts, docs)
     joined = texts.select("key", "rep").join(reached, F.col("rep") == F.col("node"), "left")
-    return each.select("doc_id", "key"), joined.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    return each.select("node", "key"), joined.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
+
+def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of all documents, and (key, rep, component) of the distinct texts, as doc_ids."""
+    each, texts = grouped(numbered(docs))
+    return each.select("node.doc_id", "key"), texts.select("key", F.col("rep.doc_id").alias("rep"), F.col("component.doc_id").alias("component"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document of least doc_id of each group, and rows with a null doc_id."""
-    each, texts = groups(docs)
-    kept = texts.filter("rep = component").select(F.col("rep").alias("__kept"))
-    known = docs.filter("doc_id is not null")
-    known = known.join(kept, known["doc_id"] == kept["__kept"], "left_semi")
-    if each.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        known = known.dropDuplicates(["doc_id"])
+    rows = numbered(docs)
+    _, texts = grouped(rows)
+    kept = texts.filter("rep = component").select(F.col("rep.doc_id").alias("__kept"), F.col("rep.row").alias("__kept_row"))
+    known = rows.filter("doc_id is not null")
+    known = known.join(kept, (known["doc_id"] == kept["__kept"]) & (known["__row"] == kept["__kept_row"]), "left_semi").select(docs.columns)
     return known.unionByName(docs.filter("doc_id is null"))

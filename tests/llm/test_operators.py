@@ -387,6 +387,20 @@ def test_decontamination_reaches_recall_by_item_length(spark, n_items):
     assert all(np.mean(hit) >= 0.97 for hit in found.values())
 
 
+def test_rows_that_share_an_id_or_have_none_are_filtered_by_their_own_text(spark):
+    rng = random.Random(14)
+    leak, other, third = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(20)) for c in "abc")
+    plain = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3)]
+    benchmark = spark.createDataFrame([(1, leak), (1, third), (2, other)], "item_id long, text string")
+    docs = frame(spark, [(None, f"{plain[0]} {leak}"), (None, plain[0]), (5, f"{plain[1]} {third}"), (5, plain[1]), (6, plain[2]), (6, f"{other} {plain[0]}")])
+    got = Counter((r["doc_id"], r["contaminated"], tuple(r["item_ids"])) for r in decontaminate.judge(docs, benchmark).collect())
+    assert got == Counter([(None, True, (1,)), (None, False, ()), (5, True, (1,)), (5, False, ()), (6, False, ()), (6, True, (2,))])
+    assert sorted(r["text"] for r in decontaminate.clean(docs, benchmark).collect()) == sorted(plain)
+    docs = frame(spark, [(1, plain[0]), (1, plain[1]), (1, plain[0]), (2, plain[1] + " x"), (3, plain[2]), (None, plain[2])])
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in neardup.keep_one(docs).collect())
+    assert kept == sorted([(1, plain[0]), (1, plain[1]), (3, plain[2]), (0, plain[2])])
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(200):
