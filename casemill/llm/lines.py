@@ -8,49 +8,59 @@ threshold, equal sets included.
    total order gives the same result; rarity only keeps the postings short.
 2. Lines with equal sets become one, at its first place; only the first places are joined.
 3. Two sets reach the threshold only if their prefixes, of n - ceil(t * n) + 1 of the rarest
-   words, share one. Postings meet at the shared word; lengths, positions and a 64-bit parity
-   of the words (its differing bits never exceed the differing words) drop nearly all others.
-4. A line proposes its nearest PARTNERS partners for each word, so a group of n near copies
-   costs n rows. They are verified on the texts; a line that had more and found none true
-   proposes all its partners, so nothing is lost.
+   words, share one. Postings meet at the shared word; lengths, positions and two 64-bit
+   parities of the words (neither differs in more bits than there are differing words) drop
+   nearly all others.
+4. A line proposes its nearest partner, by differing bits. The pairs are verified on the texts.
+   Lines without a true one propose their next TRIES partners, then more in each round, until
+   one is true or none is left. So a group of n near copies costs n pairs, and no link is lost.
 
-A word's postings beyond CELL_ROWS are dealt to cells of pairs of parts, so none meets in
-one task.
+Postings travel in bundles: a row for each task and bucket of words. A word with more than
+CELL_ROWS postings is dealt to cells of pairs of parts, so none meets in one task; no other
+word is copied.
 
 Defined results: a null text has no lines and stays null; lines without words stay; rows
 with a null doc_id stay whole and match nothing; rows that share a doc_id are told apart by a
-row number that follows their texts, and of equal rows the lines of one stay; columns beside doc_id and text are passed
-on by remove_lines and aren't read; no rows give no rows.
+row number that follows their texts, and of equal rows the lines of one stay; columns beside
+doc_id and text are passed on by remove_lines and aren't read; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, ready, small, stash, utf8
-
-BUCKETS = 1 << 18
-#: Documents that are split at once: their words fit a CPU's cache.
-CHUNK = 100
-#: Hash buckets of words whose postings are counted, and postings of one that meet in a task.
-CELL_BUCKETS, CELL_ROWS = 1 << 16, 20_000
-PARTNERS = 4
+from .common import Scratch, numbered, ready, small, stash, utf8
+from .hashing import mixed, words_of
+
+#: Buckets of words, by the leading bits of their hashes, that are counted for rarity.
+BUCKET_BITS = 20
+#: Postings of one word that meet in a task.
+CELL_ROWS = 20_000
+#: Hot words that are told to all tasks; if there are more, the cells grow.
+MOST_HOT = 1_000_000
+#: Partners of a line that the second round tries; each later one tries four times as many.
+TRIES = 8
+#: Words that are told to all tasks, to leave others out.
+MOST_WORDS = 2_000_000
+#: Postings that a task bundles at once, and those of one bucket on average.
+FLUSH, BUCKET_POSTINGS = 250_000, 100_000
 #: line: the place of a line in its row, and above LINE_BITS bits the number of the row among those of its doc_id.
 LINE_BITS = 32
-LINE_SCHEMA = "doc_id long, line long, key binary, size int, parity long, prefix binary"
-#: meet: the word, mixed with its cell. info: size * 2**31 + pos, negative (by ~) if not open.
-POSTING_SCHEMA = "meet long, doc_id long, line long, info long, parity long"
 #: Bytes of a word's hash in a prefix. Words that share one only meet more often.
 WORD_BYTES = 5
+LINE_SCHEMA = "doc_id long, line long, key binary, size int, even long, odd long, hot int, prefix binary"
+#: What a posting holds beside the word at which it meets others.
+PARTS = {"doc_id": "<i8", "line": "<i8", "size": "<i8", "pos": "<i8", "even": "<u8", "odd": "<u8"}
+#: The last partner that an open line has tried; far is -1 for lines that aren't open.
+TRIED = {"far": "<i8", "last_doc": "<i8", "last_line": "<i8"}
 
 
 def fraction(threshold: float) -> Fraction:
@@ -63,189 +73,305 @@ def least_overlap(total, t: Fraction):
     return -(-a * total // b)
 
 
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Other hashes of the same words, by a multiply-and-shift finaliser; sums of them tell sets apart."""
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words in each of BUCKETS hash buckets; at most BUCKETS numbers."""
+    """Occurrences of words in each bucket; at most 2 ** BUCKET_BITS numbers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
-            seen: Counter = Counter()
-            for text in b["text"]:
-                seen.update(bytes(text).lower().split())
-            np.add.at(total, np.fromiter(map(crc32, seen), np.int64, len(seen)) % BUCKETS, np.fromiter(seen.values(), np.int64, len(seen)))
+            for _, _, h in words_of(x.as_buffer() for x in b["text"]):
+                total += np.bincount(h >> np.uint64(64 - BUCKET_BITS), minlength=len(total))
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+        yield pa.record_batch({"bucket": at, "n": total[at]})
 
-    rows = docs.select(utf8().alias("text")).mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = rows.toArrow()  # at most BUCKETS rows of two numbers
-    out = np.zeros(BUCKETS, np.int64)
+    rows = docs.select(utf8().alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = rows.toArrow()  # at most 2 ** BUCKET_BITS rows of two numbers
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def line_sets(doc_ids: np.ndarray, row_numbers: np.ndarray, texts: Iterable[bytes], rarity: np.ndarray, t: Fraction) -> pd.DataFrame:
+def whole_lines(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """words_of in batches that end at the ends of lines."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for got in words_of(texts):
+        text, line, _ = got
+        if held and (text[-1], line[-1]) == (held[-1][0][-1], held[-1][1][-1]):
+            held.append(got)
+            continue
+        text, line, h = (np.concatenate(x) for x in zip(*held, got, strict=True))
+        keep = len(text) - int(np.argmax((text[::-1] != text[-1]) | (line[::-1] != line[-1])))
+        if keep == len(text):
+            held = [(text, line, h)]
+            continue
+        yield text[:keep], line[:keep], h[:keep]
+        held = [(text[keep:], line[keep:], h[keep:])]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def binaries(data: np.ndarray, counts: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """An Arrow column of byte strings: data cut into pieces of counts bytes."""
+    ends = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=ends[1:])
+    valid = None if missing is None else pa.py_buffer(np.packbits(~missing, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(counts), [valid, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def line_sets(doc: np.ndarray, row: np.ndarray, batch, counts: np.ndarray, rank: np.ndarray, t: Fraction, cell_rows: int) -> pa.RecordBatch:
     """A batch's lines with words, as line_rows gives them."""
-    words: list[bytes] = []
-    doc, row, line, n = [], [], [], []
-    for d, r, text in zip(doc_ids.tolist(), row_numbers.tolist(), texts, strict=True):
-        for k, x in enumerate(bytes(text).lower().split(b"\n"), r << LINE_BITS):
-            if own := x.split():
-                words += own
-                doc.append(d)
-                row.append(r)
-                line.append(k)
-                n.append(len(own))
-    if not words:
-        return pd.DataFrame({c: [] for c in ("doc_id", "line", "key", "size", "parity", "prefix")}, dtype=object)
-    number = dict.fromkeys(words)
-    number = dict(zip(number, range(len(number)), strict=True))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-    rare = rarity[np.fromiter(map(crc32, number), np.int64, len(number)) % BUCKETS]
-    order = np.lexsort((h, rare))
-    rank = np.empty(len(number), np.int64)
-    rank[order] = np.arange(len(number))
-    h = h[order]
-    code = np.repeat(np.arange(len(n)), n) * len(number) + rank[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
-    code.sort()
-    code = code[np.r_[True, code[1:] != code[:-1]]]  # each line's distinct words, the rarest first
-    at, h = code // len(number), h[code % len(number)]
+    text, line, h = batch
+    at = np.zeros(len(h), np.int64)
+    np.cumsum((text[1:] != text[:-1]) | (line[1:] != line[:-1]), out=at[1:])
+    bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    code = at << 44 | rank[bucket].astype(np.int64) << 24 | (h & np.uint64(0xFFFFFF)).astype(np.int64)
+    order = np.argsort(code)
+    if ((np.diff(code[order]) == 0) & (np.diff(h[order]) != 0)).any():  # other words of one code
+        order = np.lexsort((h, code))
+    own, at = h[order], code[order] >> 44
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
+    h, at = own[new], at[new]  # each line's distinct words, the rarest first
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     size = np.diff(np.r_[starts, len(at)])
     keys = np.stack([np.add.reduceat(mixed(h, k), starts) for k in (0, 1)], axis=1)
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), starts).view(np.int64)
-    raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
-    digest = keys.astype(">u8").tobytes()
-    take = size - -(-t.numerator * size // t.denominator) + 1
-    out = pd.DataFrame({"doc_id": doc, "row": row, "line": line, "k0": keys[:, 0], "k1": keys[:, 1], "size": size, "parity": parity})
-    again = out.duplicated(["doc_id", "row", "k0", "k1"]).to_numpy()
-    out["key"] = [None if g else digest[16 * i : 16 * i + 16] for i, g in enumerate(again)]
-    out["prefix"] = [None if g else raw[WORD_BYTES * s : WORD_BYTES * (s + p)] for g, s, p in zip(again, starts.tolist(), take.tolist(), strict=True)]
-    return out[["doc_id", "line", "key", "size", "parity", "prefix"]]
-
-
-def line_rows(docs: DataFrame, t: Fraction) -> DataFrame:
-    """Of docs(doc_id, __row, text): a row for each line with words; key is null if the row has had the set before."""
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(np.minimum(word_counts(docs), (1 << 32) - 1).astype(np.uint32))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    even, odd = (np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(s) & np.uint64(63)), starts) for s in (0, 6))
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
+    text, line = text[first], line[first]
+    again = pd.DataFrame({"t": text, "a": keys[:, 0], "b": keys[:, 1]}).duplicated().to_numpy()
+    take = np.where(again, 0, size - -(-t.numerator * size // t.denominator) + 1)
+    chosen = np.arange(len(h)) - np.repeat(starts, size) < np.repeat(take, size)
+    prefix = h[chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+    often = counts[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > cell_rows
+    return pa.record_batch({
+        "doc_id": doc[text], "line": row[text] << LINE_BITS | line, "key": binaries(keys[~again].astype(">u8").view(np.uint8), np.where(again, 0, 16), again),
+        "size": size.astype(np.int32), "even": even.view(np.int64), "odd": odd.view(np.int64),
+        "hot": np.add.reduceat((often & chosen).astype(np.int32), starts, dtype=np.int32), "prefix": binaries(prefix, take * WORD_BYTES),
+    })
+
+
+def line_rows(docs: DataFrame, t: Fraction, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Of docs(doc_id, __row, text): a row for each line with words; key is null if the row has had the set before.
+    hot: the words of the prefix, its last ones, whose bucket has more than cell_rows words."""
+    counts = word_counts(docs)
+    rank = np.empty(len(counts), np.uint32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    known = docs.sparkSession.sparkContext.broadcast((np.minimum(counts, (1 << 32) - 1).astype(np.uint32), rank))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), CHUNK):
-                part = b.iloc[i : i + CHUNK]
-                yield line_sets(part["doc_id"].to_numpy(), part["row"].to_numpy(), part["text"], counts.value, t)
+            doc, row = b["doc_id"].to_numpy(), b["row"].to_numpy().astype(np.int64)
+            for got in whole_lines(x.as_buffer() for x in b["text"]):
+                yield line_sets(doc, row, got, *known.value, t, cell_rows)
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), utf8().alias("text"))
-    return rows.mapInPandas(run, LINE_SCHEMA)
+    return rows.mapInArrow(run, LINE_SCHEMA)
 
 
 def first_places(lines: DataFrame) -> DataFrame:
-    """key, n, and the doc_id, line, size, parity and prefix of each set's first place."""
-    first = F.min(F.struct("doc_id", "line", "size", "parity", "prefix")).alias("first")
+    """key, n, and the doc_id, line, size, even, odd, hot and prefix of each set's first place."""
+    first = F.min(F.struct("doc_id", "line", "size", "even", "odd", "hot", "prefix")).alias("first")
     return lines.filter("key is not null").groupBy("key").agg(first, F.count("*").alias("n")).select("key", "n", "first.*")
 
 
-def postings(sets: DataFrame, cells: np.ndarray | None) -> DataFrame:
-    """A row for each word of each prefix; sets has `open`, true for lines that still look
-    for a partner. cells: parts of the words of each bucket; none if each has one."""
+def prefix_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each prefix, all words)."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    n = np.diff(ends) // WORD_BYTES
+    full = np.zeros((int(n.sum()), 8), np.uint8)
+    if len(full):
+        full[:, :WORD_BYTES] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, WORD_BYTES)
+    return n, full.view("<u8").ravel()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def hot_words(sets: DataFrame, cell_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, in order, with more than cell_rows postings, the parts of each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, word = prefix_words(b["prefix"])
+            after = np.repeat(np.cumsum(n), n) - np.arange(len(word))
+            word, count = np.unique(word[after <= np.repeat(b["hot"].to_numpy(), n)], return_counts=True)
+            yield pa.record_batch({"word": word.view(np.int64), "n": count})
+
+    rows = sets.filter("hot > 0").select("hot", "prefix").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    while (found := rows.filter(F.col("n") > cell_rows)).limit(MOST_HOT + 1).count() > MOST_HOT:
+        cell_rows *= 4
+    got = found.toArrow()  # at most MOST_HOT rows of two numbers
+    word, n = got["word"].to_numpy().view("<u8"), got["n"].to_numpy()
+    order = np.argsort(word)
+    return word[order], -(-n[order] // cell_rows)
+
+
+def bundled(sets: DataFrame, n_buckets: int, hot: Broadcast, wanted: Broadcast | None, names: dict[str, str]) -> DataFrame:
+    """bucket and, as byte planes, the columns of its postings: one row for each task and bucket.
+    wanted: the words, in order, whose postings are made; none for all."""
+
+    def rows(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        all_of = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        bucket = (mixed(all_of["meet"], 5) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else order
+        n = np.diff(np.r_[starts, len(order)])
+        out = {"bucket": bucket[order[starts]]}
+        for c, a in all_of.items():
+            a = np.ascontiguousarray(a[order])
+            out[c] = pa.array([a[s : s + k].view(np.uint8).reshape(k, -1).T.tobytes() for s, k in zip(starts.tolist(), n.tolist(), strict=True)], pa.binary())
+        return pa.record_batch(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_word, parts = hot.value
+        held, size = [], 0
         for b in batches:
-            if not len(b):
+            n, word = prefix_words(b["prefix"])
+            if not len(word):
                 continue
-            n = b["prefix"].map(len).to_numpy() // WORD_BYTES
-            row = np.repeat(np.arange(len(b)), n)
-            full = np.zeros((len(row), 8), np.uint8)
-            full[:, :WORD_BYTES] = np.frombuffer(b"".join(map(bytes, b["prefix"])), np.uint8).reshape(-1, WORD_BYTES)
-            word = full.view(np.int64).ravel()
+            row = np.repeat(np.arange(len(n)), n)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            if cells is not None:
-                parts = cells[word % CELL_BUCKETS]
-                own = (b["doc_id"].to_numpy()[row] * 31 + b["line"].to_numpy()[row]) * 0x9E3779B1 % (1 << 31) % parts
-                take = np.repeat(np.arange(len(row)), parts)
-                other = np.arange(len(take)) - np.repeat(np.cumsum(parts) - parts, parts)
-                own = own[take]
-                cell = np.minimum(own, other) * (1 << 31) + np.maximum(own, other)
+            if wanted is not None:
+                at = np.minimum(np.searchsorted(wanted.value, word), len(wanted.value) - 1)
+                keep = wanted.value[at] == word
+                row, pos, word = row[keep], pos[keep], word[keep]
+            if len(hot_word):
+                at = np.minimum(np.searchsorted(hot_word, word), len(hot_word) - 1)
+                k = np.where(hot_word[at] == word, parts[at], 1)
+                place = b["doc_id"].to_numpy()[row] * 31 + b["line"].to_numpy()[row]
+                own = (mixed(place.view(np.uint64), 6) % k.astype(np.uint64)).astype(np.int64)
+                take = np.repeat(np.arange(len(row)), k)
+                other, own = np.arange(len(take)) - np.repeat(np.cumsum(k) - k, k), own[take]
+                cell = np.minimum(own, other) << 31 | np.maximum(own, other)
+                word = np.where(k[take] > 1, mixed(word[take] + mixed(cell.view(np.uint64), 2), 7), word[take])
                 row, pos = row[take], pos[take]
-                word = word[take] ^ np.where(cell, mixed(cell.astype(np.uint64), 2).view(np.int64), 0)
-            info = b["size"].to_numpy(np.int64)[row] * (1 << 31) + pos
-            info = np.where(b["open"].to_numpy(bool)[row], info, ~info)
-            yield b[["doc_id", "line", "parity"]].iloc[row].assign(meet=word, info=info)[["meet", "doc_id", "line", "info", "parity"]]
-
-    return sets.select("doc_id", "line", "size", "parity", "open", "prefix").mapInPandas(run, POSTING_SCHEMA)
-
-
-def partners(rows: pd.DataFrame, t: Fraction, all_of_them: bool) -> pd.DataFrame:
-    """Of postings sorted by (meet, doc_id, line): for each open line the earlier ones that may
-    reach t, the nearest few or all of them; more: whether others were left."""
-    n = len(rows)
-    meet, info = rows["meet"].to_numpy(), rows["info"].to_numpy()
-    starts = np.ones(n, bool)
-    starts[1:] = meet[1:] != meet[:-1]
-    depth = np.arange(n) - np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    size, pos = np.divmod(np.where(info < 0, ~info, info), 1 << 31)
-    parity = rows["parity"].to_numpy()
-    j = np.flatnonzero((depth > 0) & (info >= 0))
-    count = np.zeros(n, np.int64)
-    found, d = [], 1
+            got = {c: b[c].to_numpy().astype(kind, copy=False)[row] if c != "pos" else pos.astype(kind) for c, kind in names.items()}
+            held.append({"meet": word} | got)
+            size += len(row)
+            if size >= FLUSH:
+                yield rows(held)
+                held, size = [], 0
+        if size:
+            yield rows(held)
+
+    made = sets.select(*(c for c in names if c != "pos"), "prefix").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in ("meet", *names)))
+    return made.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def unbundled(batches: Iterator[pa.RecordBatch], names: dict[str, str]) -> Iterator[dict[str, np.ndarray]]:
+    """The postings of one bucket after another, from rows sorted by bucket."""
+    kinds = {"meet": "<u8"} | names
+    held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
+    last = None
+    for b in batches:
+        for k, bucket in enumerate(b["bucket"].to_pylist()):
+            if last is not None and bucket != last:
+                yield {c: np.concatenate(x) for c, x in held.items()}
+                held = {c: [] for c in kinds}
+            last = bucket
+            for c, kind in kinds.items():
+                planes = np.frombuffer(b[c][k].as_buffer(), np.uint8).reshape(8, -1)
+                held[c].append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    if last is not None:
+        yield {c: np.concatenate(x) for c, x in held.items()}
+
+
+def meeting(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The postings whose word has others, by word and size; age: their order by place."""
+    order = np.lexsort((x["size"], x["meet"]))
+    meet = x["meet"][order]
+    same = meet[1:] == meet[:-1]
+    order = order[np.r_[False, same] | np.r_[same, False]]
+    out = {c: a[order] for c, a in x.items()}
+    age = np.empty(len(order), np.int64)
+    age[np.lexsort((out["line"], out["doc_id"]))] = np.arange(len(order))
+    return out | {"age": age}
+
+
+def near_pairs(x: dict[str, np.ndarray], t: Fraction, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(later, earlier, differing bits) of the pairs that may reach t, each index once on either side
+    in a turn: pairs (j - d, j) for d = 1, 2, ... of postings sorted by word and size. wanted: whether
+    a posting looks for partners."""
+    meet, size, rest, even, odd, age = x["meet"], x["size"], x["size"] - x["pos"], x["even"], x["odd"], x["age"]
+    starts = np.r_[True, meet[1:] != meet[:-1]] if len(meet) else np.zeros(0, bool)
+    depth = np.arange(len(meet)) - np.maximum.accumulate(np.where(starts, np.arange(len(meet)), 0))
+    j, d = np.flatnonzero(depth > 0), 1
     while len(j):
+        i = j - d
+        j = j[size[i] * t.denominator >= size[j] * t.numerator]
         i = j - d
         total = size[i] + size[j]
         need = least_overlap(total, t)
-        fits = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
-        bits = np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).astype(np.int64)
-        fits &= bits <= total - 2 * need
-        if fits.any():
-            found.append(np.stack([i[fits], j[fits]]))
-            count[j[fits]] += 1
+        fits = np.minimum(rest[i], rest[j]) >= need
+        a, b, most = i[fits], j[fits], (total - 2 * need)[fits]
+        one, two = np.bitwise_count(even[a] ^ even[b]).astype(np.int64), np.bitwise_count(odd[a] ^ odd[b]).astype(np.int64)
+        fits = np.maximum(one, two) <= most
+        a, b, far = a[fits], b[fits], (one + two)[fits]
+        swap = age[a] > age[b]
+        late, early = np.where(swap, a, b), np.where(swap, b, a)
+        for turn in (~swap, swap):
+            if wanted is not None:
+                turn = turn & wanted[late]
+            if turn.any():
+                yield late[turn], early[turn], far[turn]
         d += 1
-        j = j[(depth[j] >= d) & (True if all_of_them else count[j] <= PARTNERS)]
-    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    doc, line = rows["doc_id"].to_numpy(), rows["line"].to_numpy()
-    return pd.DataFrame({"j_doc": doc[j], "j_line": line[j], "i_doc": doc[i], "i_line": line[i], "more": count[j] > PARTNERS})
-
-
-def candidates(posts: DataFrame, t: Fraction, all_of_them: bool) -> DataFrame:
-    """j_doc, j_line, i_doc, i_line, more from postings of any partitioning."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            if not len(b):
-                continue
-            last = b["meet"].iat[-1]
-            tail = b["meet"] == last
-            if held and tail.all() and last == held[-1]["meet"].iat[-1]:
-                held.append(b)
-                continue
-            done = pd.concat([*held, b[~tail]])
-            held = [b[tail]]
-            if len(done):
-                yield partners(done, t, all_of_them)
-        if held:
-            yield partners(pd.concat(held), t, all_of_them)
-
-    dealt = posts.repartition("meet").sortWithinPartitions("meet", "doc_id", "line")
-    return dealt.mapInPandas(run, "j_doc long, j_line long, i_doc long, i_line long, more boolean")
+        j = j[depth[j] >= d]
+
+
+PAIR_SCHEMA = "j_doc long, j_line long, far long, i_doc long, i_line long, more boolean"
+
+
+def pair_rows(x: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, far: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    doc, line = x["doc_id"], x["line"]
+    return pa.record_batch({"j_doc": doc[late], "j_line": line[late], "far": far, "i_doc": doc[early], "i_line": line[early], "more": more})
+
+
+def nearest(x: dict[str, np.ndarray], t: Fraction) -> pa.RecordBatch:
+    """For each posting the nearest earlier one at its word; more: whether there are others."""
+    x = meeting(x)
+    n = len(x["meet"])
+    none = np.iinfo(np.int64).max
+    best, count = np.full(n, none), np.zeros(n, np.int64)
+    for late, early, far in near_pairs(x, t):
+        best[late] = np.minimum(best[late], far * n + early)
+        count[late] += 1
+    late = np.flatnonzero(count)
+    return pair_rows(x, late, best[late] % max(n, 1), best[late] // max(n, 1), count[late] > 1)
+
+
+def next_nearest(x: dict[str, np.ndarray], t: Fraction, tries: int) -> pa.RecordBatch:
+    """For each open posting the nearest `tries` earlier ones after the last that its line has tried."""
+    x = meeting(x)
+    held, size = [np.zeros((3, 0), np.int64)], 0
+    more = np.zeros(len(x["meet"]), bool)
+
+    def least() -> np.ndarray:
+        late, early, far = np.concatenate(held, axis=1)
+        order = np.lexsort((x["age"][early], far, late))
+        late, early, far = late[order], early[order], far[order]
+        starts = np.flatnonzero(np.r_[True, late[1:] != late[:-1]]) if len(late) else late
+        keep = np.arange(len(late)) - np.repeat(starts, np.diff(np.r_[starts, len(late)])) < tries
+        more[late[~keep]] = True
+        return np.stack([late[keep], early[keep], far[keep]])
+
+    for late, early, far in near_pairs(x, t, x["far"] >= 0):
+        doc, line = x["doc_id"][early], x["line"][early]
+        last, last_doc, last_line = (x[c][late] for c in TRIED)
+        new = (far > last) | (far == last) & ((doc > last_doc) | (doc == last_doc) & (line > last_line))
+        held.append(np.stack([late[new], early[new], far[new]]))
+        size += int(new.sum())
+        if size > 1_000_000:
+            held = [least()]
+            size = held[0].shape[1] // 2  # what must stay isn't counted in full, or a large group would be sorted each turn
+    late, early, far = least()
+    return pair_rows(x, late, early, far, more[late])
 
 
 def _reaches(t: Fraction):
-    """A UDF on two lines' bytes: whether their word sets reach t. Equal neighbours are split once."""
+    """A UDF on two lines' bytes: whether their word sets reach t."""
 
     @F.pandas_udf("boolean")
     def reaches(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, last, b = [], None, set()
+        out = []
         for x, y in zip(left, right, strict=True):
-            if y != last:
-                last, b = y, set(bytes(y).lower().split())
-            a = set(bytes(x).lower().split())
+            a, b = set(bytes(x).lower().split()), set(bytes(y).lower().split())
             shared = len(a & b)
             out.append(shared * t.denominator >= (len(a) + len(b) - shared) * t.numerator)
         return pd.Series(out, dtype=bool)
@@ -261,77 +387,100 @@ def place_of(line: str) -> Column:
     return F.col(line).bitwiseAND((1 << LINE_BITS) - 1).cast("int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (i_doc, i_line, j_doc, j_line) whose texts reach t."""
+def verified(pairs: DataFrame, docs: DataFrame, t: Fraction, keep: Scratch) -> DataFrame:
+    """(j_doc, j_line) of the pairs (i_doc, i_line, j_doc, j_line) whose texts reach t."""
     ends = pairs.select(F.col("i_doc").alias("d"), F.col("i_line").alias("l")).union(pairs.select("j_doc", "j_line")).distinct()
-    wanted = stash(ends.groupBy("d", row_of("l").alias("r")).agg(F.collect_list("l").alias("ls")), "pair-places")
+    wanted = keep(ends.groupBy("d", row_of("l").alias("r")).agg(F.collect_list("l").alias("ls")), "pair-places")
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "__row", "text")
     split = own.join(small(wanted, wanted.count()), (F.col("id") == F.col("d")) & (F.col("__row") == F.col("r"))).select("d", "ls", F.split("text", "\n").alias("all"))
     texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", F.get("all", place_of("l")).cast("binary").alias("w"))
-    texts = stash(texts, "pair-lines")
+    texts = keep(texts, "pair-lines")
     a, b = texts.select(F.col("d").alias("i_doc"), F.col("l").alias("i_line"), F.col("w").alias("wi")), texts.select(F.col("d").alias("j_doc"), F.col("l").alias("j_line"), F.col("w").alias("wj"))
     both = pairs.select("i_doc", "i_line", "j_doc", "j_line").join(a, ["i_doc", "i_line"]).join(b, ["j_doc", "j_line"])
-    return both.filter(_reaches(t)("wi", "wj")).select("i_doc", "i_line", "j_doc", "j_line").distinct()
+    return keep(both.filter(_reaches(t)("wi", "wj")).select("j_doc", "j_line").distinct(), "line-matches")
 
 
-def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction) -> DataFrame:
+def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction, keep: Scratch, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, line of the first places that have an earlier match."""
-    open_all = sets.withColumn("open", F.lit(True))
-    load = postings(open_all, None).groupBy(F.pmod("meet", F.lit(CELL_BUCKETS)).alias("bucket")).count().collect()  # at most CELL_BUCKETS rows
-    cells = np.ones(CELL_BUCKETS, np.int64)
-    for r in load:
-        cells[r["bucket"]] = -(-r["count"] // CELL_ROWS)
-    cells = None if cells.max() == 1 else cells
-    proposed = candidates(postings(open_all, cells), t, False)
-    proposed = stash(proposed.groupBy("j_doc", "j_line", "i_doc", "i_line").agg(F.max("more").alias("more")), "line-pairs")
-    good = stash(verified(proposed, docs, t).select("j_doc", "j_line").distinct(), "line-matches")
-    failed = proposed.filter("more").select("j_doc", "j_line").distinct().join(good, ["j_doc", "j_line"], "left_anti")
-    failed = stash(failed, "line-failures")
-    if failed.limit(1).count():
-        still = failed.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"), F.lit(True).alias("fails"))
-        marked = sets.join(still, ["doc_id", "line"], "left").withColumn("open", F.coalesce("fails", F.lit(False)))
-        marked = stash(marked.drop("fails"), "line-sets")
-        words = postings(marked.filter("open"), cells).select("meet").distinct()
-        again = postings(marked, cells).join(words, "meet", "left_semi")
-        pairs = stash(candidates(again, t, True).drop("more").distinct(), "line-pairs")
-        good = good.unionByName(verified(pairs, docs, t).select("j_doc", "j_line")).distinct()
-    return good.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"))
-
-
-def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    spark = sets.sparkSession
+    postings = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), postings // WORD_BYTES // BUCKET_POSTINGS)
+    hot = spark.sparkContext.broadcast(hot_words(sets, cell_rows))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in unbundled(batches, PARTS):
+            yield nearest(x, t)
+
+    near = F.min(F.struct("far", "i_doc", "i_line")).alias("best")
+    others = (F.max("more") | (F.min(F.struct("i_doc", "i_line")) != F.max(F.struct("i_doc", "i_line")))).alias("more")
+    tried = bundled(sets, n_buckets, hot, None, PARTS).mapInArrow(one, PAIR_SCHEMA).groupBy("j_doc", "j_line").agg(near, others)
+    tried = keep(tried.select("j_doc", "j_line", "best.*", "more"), "line-pairs")
+    good, tries = verified(tried, docs, t, keep), TRIES
+    still = tried.filter("more")
+    last = good
+    while True:
+        still = keep(still.join(last, ["j_doc", "j_line"], "left_anti"), "line-open")
+        n = still.count()
+        if not n:
+            return good.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"))
+        state = still.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"), "far", F.col("i_doc").alias("last_doc"), F.col("i_line").alias("last_line"))
+        marked = sets.join(small(state, n), ["doc_id", "line"], "left").withColumn("far", F.coalesce("far", F.lit(-1))).fillna(0, ["last_doc", "last_line"])
+        marked = keep(marked, "line-sets")
+        wanted = open_words(marked.filter("far >= 0"))
+        names = PARTS | TRIED
+
+        def more(batches: Iterator[pa.RecordBatch], tries: int = tries) -> Iterator[pa.RecordBatch]:
+            for x in unbundled(batches, names):
+                yield next_nearest(x, t, tries)
+
+        found = bundled(marked, n_buckets, hot, wanted, names).mapInArrow(more, PAIR_SCHEMA)
+        each = found.groupBy("j_doc", "j_line").agg(F.array_sort(F.collect_set(F.struct("far", "i_doc", "i_line"))).alias("all"), F.max("more").alias("more"))
+        end = F.least(F.size("all"), F.lit(tries))
+        each = keep(each.select("j_doc", "j_line", F.slice("all", F.lit(1), end).alias("all"), (F.col("more") | (F.size("all") > tries)).alias("more")), "line-pairs")
+        last = verified(each.select("j_doc", "j_line", F.explode("all").alias("p")).select("j_doc", "j_line", "p.*"), docs, t, keep)
+        good = good.unionByName(last)
+        still = each.filter("more").select("j_doc", "j_line", F.element_at("all", -1).alias("p")).select("j_doc", "j_line", "p.*")
+        tries *= 4
+
+
+def open_words(sets: DataFrame) -> Broadcast | None:
+    """The words of open lines, in order, or none if they are too many to tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"word": np.unique(prefix_words(b["prefix"])[1]).view(np.int64)})
+
+    words = sets.select("prefix").mapInArrow(run, "word long").distinct().limit(MOST_WORDS + 1).toArrow()["word"].to_numpy()
+    return None if len(words) > MOST_WORDS or not len(words) else sets.sparkSession.sparkContext.broadcast(np.sort(words.view("<u8")))
+
+
+def removed_lines(docs: DataFrame, threshold: float = 0.8, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, row, removed: the places (from 0) of the lines that go, for rows that lose any.
     row is the __row of `numbered`, which is added if docs lacks it."""
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     docs = docs if "__row" in docs.columns else numbered(docs)
     t = fraction(threshold)
-    lines = stash(line_rows(docs, t), "lines")
-    sets = stash(first_places(lines), "line-sets")
-    matched = similar_sets(sets, docs, t).withColumn("matched", F.lit(True))
-    judged = sets.select("key", "n", "doc_id", "line").join(matched, ["doc_id", "line"], "left").filter("matched or n > 1")
-    judged = judged.select(F.col("key").alias("k"), F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    gone = lines.filter("key is not null").select("key", "doc_id", "line").join(judged, F.col("key") == F.col("k"))
-    gone = gone.filter("matched or doc_id <> first_doc or line <> first_line")
-    gone = gone.select("doc_id", "line").unionByName(lines.filter("key is null").select("doc_id", "line"))
-    return gone.groupBy("doc_id", row_of("line").alias("row")).agg(F.collect_set(place_of("line")).alias("removed"))
+    with Scratch(spark) as keep:
+        lines = keep(line_rows(docs, t, cell_rows), "lines")
+        sets = keep(first_places(lines), "line-sets")
+        matched = similar_sets(sets.drop("key", "n"), docs, t, keep, cell_rows).withColumn("matched", F.lit(True))
+        judged = sets.select("key", "n", "doc_id", "line").join(matched, ["doc_id", "line"], "left").filter("matched or n > 1")
+        judged = judged.select(F.col("key").alias("k"), F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched"))
+        gone = lines.filter("key is not null").select("key", "doc_id", "line").join(judged, F.col("key") == F.col("k"))
+        gone = gone.filter("matched or doc_id <> first_doc or line <> first_line")
+        gone = gone.select("doc_id", "line").unionByName(lines.filter("key is null").select("doc_id", "line"))
+        return stash(gone.groupBy("doc_id", row_of("line").alias("row")).agg(F.collect_set(place_of("line")).alias("removed")), "removed-lines")
 
 
 def _rewritten(docs: DataFrame, threshold: float) -> DataFrame:
     """docs with __rest, the remaining lines, and __gone, the places of the others or null."""
     docs = numbered(docs)
     gone = removed_lines(docs, threshold).select(F.col("doc_id").alias("__gone_id"), F.col("row").alias("__gone_row"), F.col("removed").alias("__gone"))
-
-    @F.pandas_udf("string")
-    def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        def one(text: str | None, places) -> str | None:
-            if text is None or places is None:
-                return text
-            out = set(places)
-            return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in out)
-
-        return pd.Series([one(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
-
-    joined = docs.join(gone, (F.col("doc_id") == F.col("__gone_id")) & (F.col("__row") == F.col("__gone_row")), "left")
-    return joined.withColumn("__rest", rest(docs["text"], F.col("__gone")))
+    joined = docs.join(small(gone, gone.count()), (F.col("doc_id") == F.col("__gone_id")) & (F.col("__row") == F.col("__gone_row")), "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    rest = F.array_join(F.transform(places, lambda k: F.get("__lines", k)), "\n")
+    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
+    return joined.withColumn("__rest", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)).drop("__lines")
 
 
 def remove_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from .common import numbered, ready, stash, utf8
 from .components import components
-from .lines import mixed
+from .hashing import mixed
 from .simhash import majority, masks, shingle_hashes, signed, words
 
 SHINGLE, THRESHOLD = 5, 0.8

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from casemill.llm import decontaminate, interleave, licenses, lines, neardup, packing, quality, quality_rules, queries, simhash, tokens, url_filter
+from casemill.llm import decontaminate, hashing, interleave, licenses, lines, neardup, packing, quality, quality_rules, queries, simhash, tokens, url_filter
 from tokenizers import Tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -158,8 +158,7 @@ def removed(df):
 
 
 @pytest.mark.parametrize("cell", [3, 20_000])
-def test_line_dedup_equals_brute_force(spark, cell, monkeypatch):
-    monkeypatch.setattr(lines, "CELL_ROWS", cell)
+def test_line_dedup_equals_brute_force(spark, cell):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(40)]
     base = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 25))] for _ in range(12)]
@@ -173,12 +172,39 @@ def test_line_dedup_equals_brute_force(spark, cell, monkeypatch):
     rows = [(d, "\n".join(varied() for _ in range(rng.randint(0, 6)))) for d in range(80)] + [(None, varied()), (99, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = slow_line_dedup(rows, Fraction(4, 5))
-    assert removed(lines.removed_lines(df)) == want and want
+    assert removed(lines.removed_lines(df, cell_rows=cell)) == want and want
     got = {r["doc_id"]: r["text"] for r in lines.remove_lines(df).collect()}
     for d, x in rows:
         assert got[d] == (x if x is None or d is None else "\n".join(y for k, y in enumerate(x.split("\n")) if (d, k) not in want))
 
 
+def test_line_dedup_with_a_hot_word_and_failing_partners(spark):
+    """A word that fills several cells beside rare words, and lines whose nearest partners aren't true ones."""
+    rng = random.Random(15)
+    rows = []
+    for d in range(60):
+        own = [f"hot {rng.choice('abcdef')} {rng.choice('ghij')}" for _ in range(3)]
+        own.append(" ".join(["rare", f"r{rng.randrange(20)}", *rng.sample([f"x{k}" for k in range(14)], 11)]))
+        rows.append((d, "\n".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_line_dedup(rows, Fraction(4, 5))
+    assert removed(lines.removed_lines(df, cell_rows=8)) == want and len(want) > 60
+
+
+def test_words_of_pieces_and_lines(monkeypatch):
+    rng = random.Random(16)
+    texts = [b"", b"\n\n", b" a\x0bB\n c ", b"x" * 3000, *("".join(rng.choice("abAB \n\t\x1c\xa0\u00e9") for _ in range(rng.randint(0, 4000))).encode() for _ in range(30))]
+    want = [(i, k, w) for i, x in enumerate(texts) for k, y in enumerate(x.lower().split(b"\n")) for w in y.split()]
+    for size in (64, 1000, 1 << 18):
+        monkeypatch.setattr(hashing, "PIECE", size)
+        hashing._tables.cache_clear()
+        got = [x for b in hashing.words_of(texts) for x in zip(*(a.tolist() for a in b), strict=True)]
+        whole = [x for b in lines.whole_lines(texts) for x in zip(*(a.tolist() for a in b), strict=True)]
+        assert got == whole and [x[:2] for x in got] == [x[:2] for x in want]
+        assert len(set(zip((x[2] for x in got), (x[2] for x in want), strict=True))) == len({x[2] for x in got}) == len({x[2] for x in want})
+    hashing._tables.cache_clear()
+
+
 def test_line_dedup_of_rows_that_share_an_id(spark):
     line = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     df = spark.createDataFrame([(1, "one two three"), (1, f"four five six\n{line}"), (2, f"{line} other")], "doc_id long, text string")
