@@ -8,10 +8,10 @@ threshold, equal sets included.
    total order gives the same result; rarity only keeps the postings short.
 2. Lines with equal sets become one, at its first place; only the first places are joined.
 3. Two sets reach the threshold only if their prefixes, of n - ceil(t * n) + 1 of the rarest
-   words, share one. Postings meet at the shared word; lengths, positions and two 64-bit
-   parities of the words (neither differs in more bits than there are differing words) drop
-   nearly all others.
-4. A line proposes its nearest partner, by differing bits. The pairs are verified on the texts.
+   words, share one. Postings meet at the shared word; lengths, positions and the counts,
+   modulo 16, of a line's words in CELLS cells of hashes (which differ by no more than the
+   number of differing words) drop nearly all others.
+4. A line proposes its nearest partner, by those counts. The pairs are verified on the texts.
    Lines without a true one propose their next TRIES partners, then more in each round, until
    one is true or none is left. So a group of n near copies costs n pairs, and no link is lost.
 
@@ -40,14 +40,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, numbered, ready, small, stash, utf8
 from .hashing import mixed, words_of
 
-#: Buckets of words, by the leading bits of their hashes, that are counted for rarity.
-BUCKET_BITS = 20
+#: Buckets of words, by the leading bits of their hashes, that are counted for rarity, in slices.
+BUCKET_BITS, SLICE = 20, 1 << 14
+#: Cells of hashes in which a line's words are counted, 4 bits each.
+CELLS = 32
 #: Postings of one word that meet in a task.
 CELL_ROWS = 20_000
 #: Hot words that are told to all tasks; if there are more, the cells grow.
 MOST_HOT = 1_000_000
-#: Partners of a line that the second round tries; each later one tries four times as many.
-TRIES = 8
+#: Partners of a line that the second round tries; each later one tries eight times as many.
+TRIES = 16
 #: Words that are told to all tasks, to leave others out.
 MOST_WORDS = 2_000_000
 #: Postings that a task bundles at once, and those of one bucket on average.
@@ -63,6 +65,15 @@ PARTS = {"doc_id": "<i8", "line": "<i8", "size": "<i8", "pos": "<i8", "even": "<
 TRIED = {"far": "<i8", "last_doc": "<i8", "last_line": "<i8"}
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The first bytes of all of a's numbers, then the second ones, and so on: these compress well."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+
+
+def of_planes(data, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def fraction(threshold: float) -> Fraction:
     return Fraction(threshold).limit_denominator(1000)
 
@@ -76,18 +87,28 @@ def least_overlap(total, t: Fraction):
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of words in each bucket; at most 2 ** BUCKET_BITS numbers."""
 
+    def rows(total: np.ndarray) -> pa.RecordBatch:
+        slices = [(k, planes(x)) for k, x in enumerate(total.reshape(-1, SLICE)) if x.any()]
+        return pa.record_batch({"slice": pa.array([k for k, _ in slices], pa.int64()), "n": pa.array([x for _, x in slices], pa.binary())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
             for _, _, h in words_of(x.as_buffer() for x in b["text"]):
-                total += np.bincount(h >> np.uint64(64 - BUCKET_BITS), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"bucket": at, "n": total[at]})
+                np.add.at(total, h >> np.uint64(64 - BUCKET_BITS), 1)
+        yield rows(total)
 
-    rows = docs.select(utf8().alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = rows.toArrow()  # at most 2 ** BUCKET_BITS rows of two numbers
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for b in batches:
+            for k, x in zip(b["slice"].to_pylist(), b["n"], strict=True):
+                total[k * SLICE : (k + 1) * SLICE] += of_planes(x.as_buffer(), "<i8")
+        yield rows(total)
+
+    parts = docs.select(utf8().alias("text")).mapInArrow(run, "slice long, n binary").repartition("slice").mapInArrow(added, "slice long, n binary")
     out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    for r in parts.toLocalIterator():  # at most 2 ** BUCKET_BITS numbers
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = of_planes(r["n"], "<i8")
     return out
 
 
@@ -135,7 +156,9 @@ def line_sets(doc: np.ndarray, row: np.ndarray, batch, counts: np.ndarray, rank:
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     size = np.diff(np.r_[starts, len(at)])
     keys = np.stack([np.add.reduceat(mixed(h, k), starts) for k in (0, 1)], axis=1)
-    even, odd = (np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(s) & np.uint64(63)), starts) for s in (0, 6))
+    cell = np.repeat(np.arange(len(size)), size) * CELLS + (h & np.uint64(CELLS - 1)).astype(np.int64)
+    count = (np.bincount(cell, minlength=len(size) * CELLS) & 15).astype(np.uint8).reshape(-1, CELLS)
+    count = (count[:, 0::2] | count[:, 1::2] << 4).view("<i8")
     first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
     text, line = text[first], line[first]
     again = pd.DataFrame({"t": text, "a": keys[:, 0], "b": keys[:, 1]}).duplicated().to_numpy()
@@ -145,7 +168,7 @@ def line_sets(doc: np.ndarray, row: np.ndarray, batch, counts: np.ndarray, rank:
     often = counts[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > cell_rows
     return pa.record_batch({
         "doc_id": doc[text], "line": row[text] << LINE_BITS | line, "key": binaries(keys[~again].astype(">u8").view(np.uint8), np.where(again, 0, 16), again),
-        "size": size.astype(np.int32), "even": even.view(np.int64), "odd": odd.view(np.int64),
+        "size": size.astype(np.int32), "even": count[:, 0], "odd": count[:, 1],
         "hot": np.add.reduceat((often & chosen).astype(np.int32), starts, dtype=np.int32), "prefix": binaries(prefix, take * WORD_BYTES),
     })
 
@@ -205,7 +228,7 @@ def hot_words(sets: DataFrame, cell_rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 def bundled(sets: DataFrame, n_buckets: int, hot: Broadcast, wanted: Broadcast | None, names: dict[str, str]) -> DataFrame:
     """bucket and, as byte planes, the columns of its postings: one row for each task and bucket.
-    wanted: the words, in order, whose postings are made; none for all."""
+    wanted: what open_words gives, if only their postings are made."""
 
     def rows(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         all_of = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
@@ -215,8 +238,8 @@ def bundled(sets: DataFrame, n_buckets: int, hot: Broadcast, wanted: Broadcast |
         n = np.diff(np.r_[starts, len(order)])
         out = {"bucket": bucket[order[starts]]}
         for c, a in all_of.items():
-            a = np.ascontiguousarray(a[order])
-            out[c] = pa.array([a[s : s + k].view(np.uint8).reshape(k, -1).T.tobytes() for s, k in zip(starts.tolist(), n.tolist(), strict=True)], pa.binary())
+            a = a[order]
+            out[c] = pa.array([planes(a[s : s + k]) for s, k in zip(starts.tolist(), n.tolist(), strict=True)], pa.binary())
         return pa.record_batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +252,7 @@ def bundled(sets: DataFrame, n_buckets: int, hot: Broadcast, wanted: Broadcast |
             row = np.repeat(np.arange(len(n)), n)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             if wanted is not None:
-                at = np.minimum(np.searchsorted(wanted.value, word), len(wanted.value) - 1)
-                keep = wanted.value[at] == word
+                keep = among(word, wanted.value)
                 row, pos, word = row[keep], pos[keep], word[keep]
             if len(hot_word):
                 at = np.minimum(np.searchsorted(hot_word, word), len(hot_word) - 1)
@@ -267,54 +289,61 @@ def unbundled(batches: Iterator[pa.RecordBatch], names: dict[str, str]) -> Itera
                 held = {c: [] for c in kinds}
             last = bucket
             for c, kind in kinds.items():
-                planes = np.frombuffer(b[c][k].as_buffer(), np.uint8).reshape(8, -1)
-                held[c].append(np.ascontiguousarray(planes.T).view(kind).ravel())
+                held[c].append(of_planes(b[c][k].as_buffer(), kind))
     if last is not None:
         yield {c: np.concatenate(x) for c, x in held.items()}
 
 
 def meeting(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The postings whose word has others, by word and size; age: their order by place."""
+    """The postings whose word has others, by word and size. age: their order by place; rest: words
+    from the shared one on; count: the counts of the cells; first: where the word's postings begin."""
     order = np.lexsort((x["size"], x["meet"]))
     meet = x["meet"][order]
     same = meet[1:] == meet[:-1]
     order = order[np.r_[False, same] | np.r_[same, False]]
     out = {c: a[order] for c, a in x.items()}
-    age = np.empty(len(order), np.int64)
-    age[np.lexsort((out["line"], out["doc_id"]))] = np.arange(len(order))
-    return out | {"age": age}
-
-
-def near_pairs(x: dict[str, np.ndarray], t: Fraction, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(later, earlier, differing bits) of the pairs that may reach t, each index once on either side
-    in a turn: pairs (j - d, j) for d = 1, 2, ... of postings sorted by word and size. wanted: whether
-    a posting looks for partners."""
-    meet, size, rest, even, odd, age = x["meet"], x["size"], x["size"] - x["pos"], x["even"], x["odd"], x["age"]
-    starts = np.r_[True, meet[1:] != meet[:-1]] if len(meet) else np.zeros(0, bool)
-    depth = np.arange(len(meet)) - np.maximum.accumulate(np.where(starts, np.arange(len(meet)), 0))
+    n, meet = len(order), out["meet"]
+    out["age"] = np.empty(n, np.int64)
+    out["age"][np.lexsort((out["line"], out["doc_id"]))] = np.arange(n)
+    count = np.stack([out["even"], out["odd"]], axis=1).view(np.uint8)
+    out["count"] = np.concatenate([count & 15, count >> 4], axis=1)
+    out["first"] = np.maximum.accumulate(np.where(np.r_[True, meet[1:] != meet[:-1]][:n], np.arange(n), 0))
+    return out | {"rest": out["size"] - out["pos"]}
+
+
+def compared(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, difference of the counts) of the pairs that may reach t."""
+    total = x["size"][i] + x["size"][j]
+    need = least_overlap(total, t)
+    fits = np.minimum(x["rest"][i], x["rest"][j]) >= need
+    i, j, most = i[fits], j[fits], (total - 2 * need)[fits]
+    low = [np.bitwise_count((x[c][i] ^ x[c][j]) & LOWEST).astype(np.int64) for c in ("even", "odd")]
+    fits = low[0] + low[1] <= most
+    i, j, most = i[fits], j[fits], most[fits]
+    far = ROUND[(x["count"][i] - x["count"][j]) & 15].sum(axis=1, dtype=np.int64)
+    fits = far <= most
+    return i[fits], j[fits], far[fits]
+
+
+def near_pairs(x: dict[str, np.ndarray], t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(later, earlier, difference) of the pairs that may reach t, no later one twice in a turn: pairs
+    (j - d, j) for d = 1, 2, ... of postings sorted by word and size."""
+    size, age = x["size"], x["age"]
+    depth = np.arange(len(size)) - x["first"]
     j, d = np.flatnonzero(depth > 0), 1
     while len(j):
-        i = j - d
-        j = j[size[i] * t.denominator >= size[j] * t.numerator]
-        i = j - d
-        total = size[i] + size[j]
-        need = least_overlap(total, t)
-        fits = np.minimum(rest[i], rest[j]) >= need
-        a, b, most = i[fits], j[fits], (total - 2 * need)[fits]
-        one, two = np.bitwise_count(even[a] ^ even[b]).astype(np.int64), np.bitwise_count(odd[a] ^ odd[b]).astype(np.int64)
-        fits = np.maximum(one, two) <= most
-        a, b, far = a[fits], b[fits], (one + two)[fits]
+        j = j[size[j - d] * t.denominator >= size[j] * t.numerator]
+        a, b, far = compared(x, j - d, j, t)
         swap = age[a] > age[b]
-        late, early = np.where(swap, a, b), np.where(swap, b, a)
-        for turn in (~swap, swap):
-            if wanted is not None:
-                turn = turn & wanted[late]
+        for turn, late, early in ((~swap, b, a), (swap, a, b)):
             if turn.any():
                 yield late[turn], early[turn], far[turn]
         d += 1
         j = j[depth[j] >= d]
 
 
+#: The lowest bit of each count, and the least difference of two numbers by their difference modulo 16.
+LOWEST, ROUND = np.uint64(0x1111111111111111), np.minimum(np.arange(16), 16 - np.arange(16)).astype(np.uint8)
 PAIR_SCHEMA = "j_doc long, j_line long, far long, i_doc long, i_line long, more boolean"
 
 
@@ -324,43 +353,40 @@ def pair_rows(x: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, far
 
 
 def nearest(x: dict[str, np.ndarray], t: Fraction) -> pa.RecordBatch:
-    """For each posting the nearest earlier one at its word; more: whether there are others."""
+    """For each posting the nearest earlier one at its word, of equally near ones the first by place;
+    more: whether there are others."""
     x = meeting(x)
     n = len(x["meet"])
     none = np.iinfo(np.int64).max
     best, count = np.full(n, none), np.zeros(n, np.int64)
     for late, early, far in near_pairs(x, t):
-        best[late] = np.minimum(best[late], far * n + early)
+        best[late] = np.minimum(best[late], far * n + x["age"][early])
         count[late] += 1
     late = np.flatnonzero(count)
-    return pair_rows(x, late, best[late] % max(n, 1), best[late] // max(n, 1), count[late] > 1)
+    early = np.argsort(x["age"])[best[late] % max(n, 1)]
+    return pair_rows(x, late, early, best[late] // max(n, 1), count[late] > 1)
 
 
 def next_nearest(x: dict[str, np.ndarray], t: Fraction, tries: int) -> pa.RecordBatch:
     """For each open posting the nearest `tries` earlier ones after the last that its line has tried."""
     x = meeting(x)
-    held, size = [np.zeros((3, 0), np.int64)], 0
-    more = np.zeros(len(x["meet"]), bool)
-
-    def least() -> np.ndarray:
-        late, early, far = np.concatenate(held, axis=1)
-        order = np.lexsort((x["age"][early], far, late))
-        late, early, far = late[order], early[order], far[order]
-        starts = np.flatnonzero(np.r_[True, late[1:] != late[:-1]]) if len(late) else late
-        keep = np.arange(len(late)) - np.repeat(starts, np.diff(np.r_[starts, len(late)])) < tries
-        more[late[~keep]] = True
-        return np.stack([late[keep], early[keep], far[keep]])
-
-    for late, early, far in near_pairs(x, t, x["far"] >= 0):
-        doc, line = x["doc_id"][early], x["line"][early]
-        last, last_doc, last_line = (x[c][late] for c in TRIED)
-        new = (far > last) | (far == last) & ((doc > last_doc) | (doc == last_doc) & (line > last_line))
-        held.append(np.stack([late[new], early[new], far[new]]))
-        size += int(new.sum())
-        if size > 1_000_000:
-            held = [least()]
-            size = held[0].shape[1] // 2  # what must stay isn't counted in full, or a large group would be sorted each turn
-    late, early, far = least()
+    n, first, age = len(x["meet"]), x["first"], x["age"]
+    end = np.searchsorted(first, first, "right")
+    found, more = [np.zeros((3, 0), np.int64)], np.zeros(n, bool)
+    for k in np.flatnonzero(x["far"] >= 0).tolist():
+        i = np.arange(first[k], end[k])
+        i = i[age[i] < age[k]]
+        low, high = np.minimum(x["size"][i], x["size"][k]), np.maximum(x["size"][i], x["size"][k])
+        i = i[low * t.denominator >= high * t.numerator]
+        i, _, far = compared(x, i, np.full(len(i), k), t)
+        doc, line, last_doc = x["doc_id"][i], x["line"][i], x["last_doc"][k]
+        new = (far > x["far"][k]) | (far == x["far"][k]) & ((doc > last_doc) | (doc == last_doc) & (line > x["last_line"][k]))
+        i, far = i[new], far[new]
+        order = np.lexsort((age[i], far))
+        more[k] = len(order) > tries
+        order = order[:tries]
+        found.append(np.stack([np.full(len(order), k), i[order], far[order]]))
+    late, early, far = np.concatenate(found, axis=1)
     return pair_rows(x, late, early, far, more[late])
 
 
@@ -417,17 +443,17 @@ def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction, keep: Scratch, c
     tried = keep(tried.select("j_doc", "j_line", "best.*", "more"), "line-pairs")
     good, tries = verified(tried, docs, t, keep), TRIES
     still = tried.filter("more")
-    last = good
+    last, names = good, PARTS | TRIED
     while True:
         still = keep(still.join(last, ["j_doc", "j_line"], "left_anti"), "line-open")
         n = still.count()
         if not n:
             return good.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"))
         state = still.select(F.col("j_doc").alias("doc_id"), F.col("j_line").alias("line"), "far", F.col("i_doc").alias("last_doc"), F.col("i_line").alias("last_line"))
+        wanted = open_words(sets.join(small(state, n), ["doc_id", "line"], "left_semi"))
+        if wanted is not None:  # later rounds have fewer open lines, hence none but these sets to meet
+            sets = keep(having(sets, wanted), "line-sets")
         marked = sets.join(small(state, n), ["doc_id", "line"], "left").withColumn("far", F.coalesce("far", F.lit(-1))).fillna(0, ["last_doc", "last_line"])
-        marked = keep(marked, "line-sets")
-        wanted = open_words(marked.filter("far >= 0"))
-        names = PARTS | TRIED
 
         def more(batches: Iterator[pa.RecordBatch], tries: int = tries) -> Iterator[pa.RecordBatch]:
             for x in unbundled(batches, names):
@@ -440,18 +466,44 @@ def similar_sets(sets: DataFrame, docs: DataFrame, t: Fraction, keep: Scratch, c
         last = verified(each.select("j_doc", "j_line", F.explode("all").alias("p")).select("j_doc", "j_line", "p.*"), docs, t, keep)
         good = good.unionByName(last)
         still = each.filter("more").select("j_doc", "j_line", F.element_at("all", -1).alias("p")).select("j_doc", "j_line", "p.*")
-        tries *= 4
+        tries *= 8
 
 
 def open_words(sets: DataFrame) -> Broadcast | None:
-    """The words of open lines, in order, or none if they are too many to tell."""
+    """(words of the sets, in order, and which values of their last bits they have), or none if they are too many to tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch({"word": np.unique(prefix_words(b["prefix"])[1]).view(np.int64)})
 
     words = sets.select("prefix").mapInArrow(run, "word long").distinct().limit(MOST_WORDS + 1).toArrow()["word"].to_numpy()
-    return None if len(words) > MOST_WORDS or not len(words) else sets.sparkSession.sparkContext.broadcast(np.sort(words.view("<u8")))
+    if len(words) > MOST_WORDS or not len(words):
+        return None
+    bits = np.zeros(1 << 22, bool)
+    bits[words & len(bits) - 1] = True
+    return sets.sparkSession.sparkContext.broadcast((np.sort(words.view("<u8")), bits))
+
+
+def among(word: np.ndarray, wanted: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether each word is one of open_words."""
+    words, bits = wanted
+    out = bits[word & np.uint64(len(bits) - 1)]
+    at = np.flatnonzero(out)
+    out[at] = words[np.minimum(np.searchsorted(words, word[at]), len(words) - 1)] == word[at]
+    return out
+
+
+def having(sets: DataFrame, wanted: Broadcast) -> DataFrame:
+    """The sets whose prefixes have one of open_words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, word = prefix_words(b["prefix"])
+            if len(word):
+                hits = np.r_[0, np.cumsum(among(word, wanted.value))][np.r_[0, np.cumsum(n)]]
+                yield b.filter(pa.array(np.diff(hits) > 0))
+
+    return sets.mapInArrow(run, sets.schema)
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, cell_rows: int = CELL_ROWS) -> DataFrame:
