@@ -24,11 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, stash, utf8
-from .tokens import BatchIds
+from .tokens import Ids
 
 GROUP_PIECES = 20_000
-#: Documents whose distinct words go to the library together.
-CHUNK = 200
 PIECE_SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long, uid long"
 
 
@@ -75,7 +73,7 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
             room -= length
             if length == 0:
                 break
-        if room and len(inside) > 1 and have:
+        if room and have:
             smallest = lengths[inside[-1]]
             wide = room + smallest
             best, pair = smallest, None
@@ -103,16 +101,13 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str) -> DataFrame:
     """Every document's pieces: ids by the library, then id 0 at the end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = BatchIds.of(vocabulary)
+        encode = Ids.of(vocabulary).encode
         for b in batches:
             rows = []
-            for at in range(0, len(b), CHUNK):
-                part = b.iloc[at : at + CHUNK]
-                made = ids_of.encode([bytes(t).decode("utf-8", "replace") for t in part["text"]])
-                for doc_id, ids in zip(part["doc_id"], made, strict=True):
-                    raw = ids.tobytes() + bytes(4)
-                    for k, (s, n) in enumerate(cut(len(ids) + 1, capacity)):
-                        rows.append((doc_id, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])))
+            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                raw = encode(bytes(text).decode("utf-8", "replace")).tobytes() + bytes(4)
+                for k, (s, n) in enumerate(cut(len(raw) // 4, capacity)):
+                    rows.append((doc_id, k, s, n, zlib.crc32(memoryview(raw)[4 * s : 4 * (s + n)])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     made = docs.select(F.col("doc_id").cast("string").alias("doc_id"), utf8().alias("text")).mapInPandas(run, PIECE_SCHEMA.rpartition(",")[0])
