@@ -8,7 +8,9 @@
    subtraction a window) and compared by cosine with all passages, in blocks.
 3. Each candidate is checked by the longest common subsequence of words with the whole item:
    a hit needs SURE of the item's words, or LIKELY of them and SURE of its answer, taken to be
-   its last sentence.
+   its last sentence. Candidates near which too few of the item's rarest words stand for LIKELY
+   of them to match are left out first: of any LIKELY share of n places, RARE are among the
+   n - need + RARE rarest.
 
 The factorised passages are the benchmark's: directions that no benchmark passage has can't
 tell one from another, so the corpus adds its statistics and its windows, not its directions.
@@ -21,10 +23,12 @@ share one or have none are judged by their own text; further columns are passed
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, small, stash
+from .hashing import hashed, spans
 
 PASSAGE = 40
 #: (length, stride) of the windows over documents, in words: of about a passage's own length.
@@ -43,8 +48,10 @@ COSINE = 0.5
 SURE, LIKELY = 0.8, 0.6
 #: Passages that one pass over the documents compares, if an item has no more.
 PASSAGES_PER_PASS = 4_000
-#: Numbers that the projection of a document holds at once.
-CHUNK = 2_000_000
+#: Of an item's rarest words, those that must stand near a candidate.
+RARE = 4
+#: Numbers that the projection of windows holds at once, and characters that are split at once.
+CHUNK, PIECE = 2_000_000, 1 << 17
 word_list = re.compile(r"\w+").findall
 
 
@@ -63,9 +70,9 @@ def passages(words: list[str], size: int = PASSAGE) -> list[list[str]]:
     return [words[i * len(words) // k : (i + 1) * len(words) // k] for i in range(k)]
 
 
-def lcs(a: list[str], b: list[str]) -> int:
+def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence; b's matches are the bits of an integer."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, w in enumerate(b):
         places[w] = places.get(w, 0) | 1 << i
     full = (1 << len(b)) - 1
@@ -77,37 +84,132 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
+@cache
+def word_characters() -> np.ndarray:
+    """Whether each character is one of \\w."""
+    out = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+    out[ord("_")] = True
+    return out
+
+
+class Vocabulary:
+    """Numbers of known words in texts; words are looked up by 64-bit hashes."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        _, h = next(self.hashes(["\n".join(words)]), (None, np.zeros(0, np.uint64)))
+        self.bits = 8
+        while len(np.unique(h >> np.uint64(64 - self.bits))) < len(h):
+            self.bits += 1
+        self.known = np.zeros(1 << self.bits, np.uint64)
+        self.number = np.full(1 << self.bits, -1, np.int32)
+        self.known[h >> np.uint64(64 - self.bits)] = h
+        self.number[h >> np.uint64(64 - self.bits)] = np.arange(len(h))
+
+    @staticmethod
+    def hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of the text, hash) of each word, in order, in parts of about PIECE characters."""
+
+        def pieces() -> Iterator[tuple[int, str]]:
+            for k, text in enumerate(texts):
+                at = 0
+                while len(text) - at > PIECE:
+                    end = m.start() if (m := no_word(text, at + PIECE)) else len(text)
+                    yield k, text[at:end].lower()
+                    at = end
+                yield k, text[at:].lower()
+
+        def part(held: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+            codes = np.frombuffer("\n".join(x for _, x in held).encode("utf-32-le", "surrogatepass"), "<u4")
+            starts, ends = spans(~word_characters()[codes]) if len(codes) else (codes, codes)
+            first = np.cumsum([0, *(len(x) + 1 for _, x in held)])[:-1]
+            return np.array([k for k, _ in held])[np.searchsorted(first, starts, "right") - 1], hashed(codes, starts, ends)
+
+        held, size = [], 0
+        for k, x in pieces():
+            held.append((k, x))
+            size += len(x)
+            if size >= PIECE:
+                yield part(held)
+                held, size = [], 0
+        if held:
+            yield part(held)
+
+    def numbers(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of the text, number of the word or -1) of each word, in order, in parts."""
+        for k, h in self.hashes(texts):
+            at = h >> np.uint64(64 - self.bits)
+            yield k, np.where(self.known[at] == h, self.number[at], -1)
+
+    def whole(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """numbers() in parts that end at the ends of texts."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, ids in self.numbers(texts):
+            if not len(k):
+                continue
+            if held and held[-1][0][-1] == k[-1]:
+                held.append((k, ids))
+                continue
+            k, ids = (np.concatenate(x) for x in zip(*held, (k, ids), strict=True))
+            cut = np.searchsorted(k, k[-1])
+            if cut:
+                yield k[:cut], ids[:cut]
+            held = [(k[cut:], ids[cut:])]
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+no_word = re.compile(r"\W").search
+
+
 @dataclass
 class Index:
     """What a worker needs; bounded by the benchmark."""
 
-    word: dict[str, int]
-    projection: np.ndarray  # words x rank, IDF included; a row of zeros for other words is put last
+    vocabulary: Vocabulary
+    projection: np.ndarray  # words x rank, IDF included
     latent: np.ndarray  # passages x rank, of length 1
     item_of: np.ndarray
     items: list[tuple[int, list[str], list[str]]]  # id, words, words of the answer
-    bags: list[Counter] = field(default_factory=list)
+    frequency: np.ndarray  # documents with each word
 
     def __post_init__(self):
-        self.bags = [Counter(w) for _, w, _ in self.items]
-        self.projection = np.vstack([self.projection, np.zeros((1, self.projection.shape[1]), np.float32)])
-
-
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+        number = {w: k for k, w in enumerate(self.vocabulary.words)}
+        self.item_ids = [[number[w] for w in item] for _, item, _ in self.items]
+        self.reply_ids = [[number[w] for w in reply] for _, _, reply in self.items]
+        self.bags = [Counter(w) for w in self.item_ids]
+        self.size = np.array([len(w) for w in self.item_ids])
+        self.rare = np.zeros(len(self.items), np.int64)  # places of rare words that a candidate needs
+        pairs = set()
+        for k, ids in enumerate(self.item_ids):
+            need = math.ceil(LIKELY * len(ids) - 1e-9)
+            self.rare[k] = min(RARE, need)
+            places = sorted(ids, key=lambda w: (self.frequency[w], w))[: len(ids) - need + self.rare[k]]
+            pairs |= {(w, k) for w in places}
+        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.rare_items = pairs[:, 1]
+        self.rare_ends = np.searchsorted(pairs[:, 0], np.arange(len(number) + 1))
+
+
+def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """Documents, and documents with each word, over all of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, seen, n = shared.value, Counter(), 0
+        wanted, n = shared.value, 0
+        seen = np.zeros(len(wanted.words), np.int64)
         for b in batches:
-            for text in b["text"]:
-                seen.update(wanted.intersection(tokens(text)))
+            for k, ids in wanted.whole([x or "" for x in b["text"]]):
+                one = np.unique(k[ids >= 0] * len(seen) + ids[ids >= 0])
+                seen += np.bincount(one % len(seen), minlength=len(seen))
             n += len(b)
-        yield pd.DataFrame({"word": [*seen, None], "n": [*seen.values(), n]})
+        yield pd.DataFrame({"word": [*np.flatnonzero(seen), -1], "n": [*seen[seen > 0], n]})
 
-    rows = docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    found = {r["word"]: r["n"] for r in rows}
-    return found.pop(None, 0), found
+    rows = docs.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    found = np.zeros(len(vocabulary.words) + 1, np.int64)
+    for r in rows:
+        found[r["word"]] = r["n"]
+    return int(found[-1]), found[:-1]
 
 
 def weights(words: list[str], word: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,66 +272,102 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK)
     spark = docs.sparkSession
     split = [(i, tokens(t), answer(t)) for i, t in items]
     cuts = [(k, p) for k, (_, w, _) in enumerate(split) for p in passages(w)]
-    vocabulary = sorted({w for _, p in cuts for w in p})
-    word = {w: k for k, w in enumerate(vocabulary)}
+    vocabulary = Vocabulary(sorted({w for _, p in cuts for w in p}))
+    word = {w: k for k, w in enumerate(vocabulary.words)}
     n, found = document_frequencies(docs, vocabulary)
-    idf = np.log((1 + n) / (1 + np.array([found.get(w, 0) for w in vocabulary]))) + 1
+    idf = np.log((1 + n) / (1 + found)) + 1
     rows = spark.createDataFrame([(p,) for _, p in cuts], "words array<string>")
     v = randomised_svd(rows, word, idf, max(rank, -(-len(cuts) // PASSAGES_PER_RANK)))
     projection = (v * idf[:, None]).astype(np.float32)
     latent = np.array([sum(projection[word[w]] for w in p) for _, p in cuts], np.float32)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(word, projection, latent, np.array([k for k, _ in cuts]), split)
-
-
-def candidate_spans(ids: np.ndarray, index: Index, cosine: float) -> set[tuple[int, int, int]]:
-    """(item, from, to): windows of one document near a passage. ids: column of each word or -1."""
-    out = set()
-    table = index.projection
-    longest, chunk = WINDOWS[-1][0], max(1, CHUNK // table.shape[1])
-    for at in range(0, len(ids), chunk):
-        part = ids[at : at + chunk + longest]
-        run = np.zeros((len(part) + 1, table.shape[1]), np.float32)
-        np.cumsum(table[part], axis=0, out=run[1:], dtype=np.float32)
-        for size, stride in WINDOWS:
-            start = np.arange(0, max(1, len(part) - size + stride), stride)
-            end = np.minimum(start + size, len(part))
-            window = run[end] - run[start]
-            length = np.linalg.norm(window, axis=1)
-            busy = np.flatnonzero(length > 1e-6)
-            near = (window[busy] / length[busy, None]) @ index.latent.T
-            w, p = np.nonzero(near >= cosine)
-            s, e = start[busy][w], end[busy][w]
-            out.update(zip(index.item_of[p].tolist(), (s + at).tolist(), (e + at).tolist(), strict=True))
+    return Index(vocabulary, projection, latent, np.array([k for k, _ in cuts]), split, found)
+
+
+def windows(ends_of_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the windows of texts that follow one another, in order."""
+    begin = np.r_[0, ends_of_texts[:-1]]
+    starts, ends = [], []
+    for size, stride in WINDOWS:
+        n = np.maximum(1, -(-(ends_of_texts - begin - size) // stride) + 1)
+        s = np.repeat(begin, n) + stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        starts.append(s)
+        ends.append(np.minimum(s + size, np.repeat(ends_of_texts, n)))
+    s, e = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(s, kind="stable")
+    return s[order], e[order]
+
+
+def candidates(ids: np.ndarray, s: np.ndarray, e: np.ndarray, index: Index, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, from, to): windows near a passage. ids: number of each word or -1."""
+    out = [np.zeros((3, 0), np.int64)]
+    chunk, at = max(1, CHUNK // index.projection.shape[1]), 0
+    while at < len(s):
+        to = np.searchsorted(s, s[at] + chunk)
+        low, high = s[at], e[at:to].max()
+        known = ids[low:high] >= 0
+        run = np.zeros((int(known.sum()) + 1, index.projection.shape[1]), np.float32)
+        np.cumsum(index.projection[ids[low:high][known]], axis=0, out=run[1:], dtype=np.float32)
+        before = np.r_[0, np.cumsum(known)]
+        window = run[before[e[at:to] - low]] - run[before[s[at:to] - low]]
+        length = np.linalg.norm(window, axis=1)
+        busy = np.flatnonzero(length > 1e-6)
+        near = window[busy] @ index.latent.T
+        w, p = np.nonzero(near >= cosine * length[busy, None])
+        w = busy[w] + at
+        out.append(np.stack([index.item_of[p], s[w], e[w]]))
+        at = to
+    return tuple(np.concatenate(out, axis=1))
+
+
+def with_rare_words(ids: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, index: Index) -> np.ndarray:
+    """Whether enough of the item's rarest words stand in ids[low:high]."""
+    pos = np.flatnonzero(ids >= 0)
+    n = index.rare_ends[ids[pos] + 1] - index.rare_ends[ids[pos]]
+    at = np.repeat(index.rare_ends[ids[pos]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide = len(ids) + 1
+    key = np.sort(index.rare_items[at] * wide + np.repeat(pos, n))
+    return np.searchsorted(key, item * wide + high) - np.searchsorted(key, item * wide + low) >= index.rare[item]
+
+
+def found_in(text: np.ndarray, ids: np.ndarray, index: Index, cosine: float) -> dict[int, dict[int, float]]:
+    """text -> item -> share of its words in the longest common subsequence, of the items found.
+    text: the number of each word's text, in order."""
+    last = np.flatnonzero(np.r_[text[1:] != text[:-1], True]) + 1
+    s, e = windows(last)
+    item, s, e = candidates(ids, s, e, index, cosine)
+    k = np.searchsorted(last, s, "right")
+    low = np.maximum(np.r_[0, last[:-1]][k], s - index.size[item])
+    high = np.minimum(last[k], e + index.size[item])
+    keep = with_rare_words(ids, item, low, high, index)
+    item, low, high, k = item[keep], low[keep], high[keep], k[keep]
+    order = np.lexsort((low, item, k))
+    item, low, high, k = item[order], low[order], high[order], k[order]
+    out: dict[int, dict[int, float]] = {}
+    at = 0
+    while at < len(item):
+        one, s, e, own = int(item[at]), int(low[at]), int(high[at]), k[at]
+        at += 1
+        while at < len(item) and item[at] == one and k[at] == own and low[at] <= e:
+            e = max(e, int(high[at]))
+            at += 1
+        whole, reply, bag = index.item_ids[one], index.reply_ids[one], index.bags[one]
+        for f in range(s, e, 2 * len(whole) + 64):  # merged spans are read in overlapping parts
+            region = ids[max(s, f - len(whole)) : min(e, f + 3 * len(whole) + 64)].tolist()
+            if sum(map(bag.__getitem__, bag.keys() & set(region))) < LIKELY * len(whole):
+                continue  # no subsequence can be longer
+            share = lcs(region, whole) / len(whole)
+            if share >= SURE or share >= LIKELY and lcs(region, reply) >= SURE * len(reply):
+                found = out.setdefault(int(text[last[own] - 1]), {})
+                found[one] = max(found.get(one, 0.0), share)
     return out
 
 
 def hits(words: list[str], index: Index, cosine: float) -> dict[int, float]:
-    """item -> share of its words in the longest common subsequence, of the items found."""
-    word = index.word
-    ids = np.fromiter((word.get(w, -1) for w in words), np.int64, len(words))
-    spans: dict[int, list[list[int]]] = {}
-    for k, s, e in sorted(candidate_spans(ids, index, cosine)):
-        n = len(index.items[k][1])
-        s, e = max(0, s - n), min(len(words), e + n)
-        own = spans.setdefault(k, [])
-        if own and s <= own[-1][1]:
-            own[-1][1] = max(own[-1][1], e)
-        else:
-            own.append([s, e])
-    found = {}
-    for k, own in spans.items():
-        _, item, reply = index.items[k]
-        bag, need = index.bags[k], LIKELY * len(item)
-        for s, e in own:
-            for f in range(s, e, 2 * len(item) + 64):  # merged spans are read in overlapping parts
-                region = words[max(s, f - len(item)) : min(e, f + 3 * len(item) + 64)]
-                if sum(map(bag.__getitem__, bag.keys() & set(region))) < need:
-                    continue  # no subsequence can be longer
-                share = lcs(region, item) / len(item)
-                if share >= SURE or share >= LIKELY and lcs(region, reply) >= SURE * len(reply):
-                    found[k] = max(found.get(k, 0.0), share)
-    return found
+    """found_in of one text's words."""
+    number = {w: k for k, w in enumerate(index.vocabulary.words)}
+    ids = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+    return found_in(np.zeros(len(ids), np.int64), ids, index, cosine).get(0, {})
 
 
 def passes(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
@@ -263,10 +401,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             known = index.value
             for b in batches:
-                rows = []
-                for key, text in zip(b["text_key"], b["text"], strict=True):
-                    if found := hits(tokens(text), known, cosine):
-                        rows.append((key, sorted({known.items[k][0] for k in found}), max(found.values())))
+                rows, key = [], b["text_key"].tolist()
+                for text, ids in known.vocabulary.whole([x or "" for x in b["text"]]):
+                    for t, found in found_in(text, ids, known, cosine).items():
+                        rows.append((key[t], sorted({known.items[k][0] for k in found}), max(found.values())))
                 yield pd.DataFrame(rows, columns=["text_key", "item_ids", "share"])
 
         part = docs.select(text_key(), "text").mapInPandas(run, "text_key string, item_ids array<long>, share double")
