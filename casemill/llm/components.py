@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node that can be reached) for the nodes of edges(a, b)."""
+def components(edges: DataFrame, stash: Scratch) -> DataFrame:
+    """node, component (the least node that can be reached) for the nodes of edges(a, b).
+    It is one of the tables of stash."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = stash(both, "edges")
     labels = stash(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")

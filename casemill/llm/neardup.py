@@ -30,15 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import numbered, ready, stash, utf8
+from .common import Scratch, numbered, ready, small, stash, utf8
 from .components import components
-from .hashing import mixed
-from .simhash import majority, masks, shingle_hashes, signed, words
+from .hashing import mixed, powers, words_of
+from .simhash import majority, masks, signed
 
 SHINGLE, THRESHOLD = 5, 0.8
 TABLES, BITS = 6, 32
@@ -54,13 +53,52 @@ PIVOTS = 2
 CELL_ROWS = 2000
 
 
-def word_fingerprints(text: bytes) -> list[int]:
-    """TABLES fingerprints of BITS bits, two from each 64 bits."""
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in set(words(text))), "<u8")
+def word_hashes(texts: list) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the text, hashes of its words in order) of the texts that have any."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def whole() -> Iterator[tuple[int, np.ndarray]]:
+        text, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        cuts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        yield from zip(text[cuts].tolist(), np.split(h, cuts[1:]), strict=True)
+
+    for text, _, h in words_of(texts):
+        if held and held[-1][0][-1] != text[0]:
+            yield from whole()
+            held = []
+        held.append((text, h))
+        if text[0] != text[-1]:  # the last text may go on
+            cut = int(np.searchsorted(text, text[-1]))
+            held[-1] = (text[:cut], h[:cut])
+            yield from whole()
+            held = [(text[cut:], h[cut:])]
+    if held:
+        yield from whole()
+
+
+def shingled(h: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of a text's word hashes: SHINGLE words, or all if there are fewer."""
+    if not len(h):
+        return h
+    size = min(SHINGLE, len(h))
+    by = powers(FACTOR, size)
+    return mixed(sum(h[i : len(h) - size + 1 + i] * by[i] for i in range(size)), 8)
+
+
+def sequence_key(h: np.ndarray) -> bytes:
+    """128 bits of the sequence of words."""
+    by = powers(FACTOR, len(h))
+    return np.array([(h * by).sum(), (mixed(h, 9) * by).sum(), len(h)], np.uint64).tobytes()
+
+
+def word_fingerprints(h: np.ndarray) -> list[int]:
+    """TABLES fingerprints of BITS bits of the distinct words, two from each 64 bits."""
+    h = np.unique(h)
     full = [majority(mixed(h, k)) for k in range(-(-TABLES // 2))]
     return [x >> s & 0xFFFFFFFF for x in full for s in (0, 32)][:TABLES]
 
 
+FACTOR = 0xD1342543DE82EF95
 FACTORS, OFFSETS = np.random.default_rng(13).integers(1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -84,12 +122,12 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for t in map(bytes, b["text"]):
-                key = xxhash.xxh3_128_digest(b" ".join(words(t)))
-                h = shingle_hashes(t, SHINGLE)
+            none = np.zeros(0, np.uint64)
+            rows = [(sequence_key(none), 0, 0, word_fingerprints(none))] * len(b)
+            for k, words in word_hashes(list(b["text"])):
+                h = shingled(words)
                 one = distinct(h)
-                rows.append((key, signed(majority(h)), len(one), word_fingerprints(t) + bands(one)))
+                rows[k] = (sequence_key(words), signed(majority(h)), len(one), word_fingerprints(words) + bands(one))
             out = pd.DataFrame(rows, columns=["key", "fp", "n", "fps"])
             out.insert(0, "doc_id", b["doc_id"])
             out.insert(1, "row", b["row"])
@@ -119,15 +157,15 @@ def ordered_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
-def meetings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def meetings(texts: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     """(code, low, high) of each class, and (point, code, least) where several codes meet."""
-    classes = stash(coded(texts).groupBy("code").agg(F.min("x").alias("low"), F.max("x").alias("high")), "fp-classes")
+    classes = keep(coded(texts).groupBy("code").agg(F.min("x").alias("low"), F.max("x").alias("high")), "fp-classes")
     ball = F.array(*(F.lit(m).cast("long") for m in masks(2, BITS)))
     balls = classes.filter(F.col("code") < TABLES << BITS)
     met = balls.select("code", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("code")))).alias("point"))
     w = Window.partitionBy("point")
     met = met.withColumn("least", F.min("code").over(w)).withColumn("most", F.max("code").over(w)).filter("least <> most")
-    return classes, stash(met.select("point", "code", "least"), "meetings")
+    return classes, keep(met.select("point", "code", "least"), "meetings")
 
 
 def star_pairs(texts: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
@@ -138,14 +176,14 @@ def star_pairs(texts: DataFrame, classes: DataFrame, met: DataFrame) -> DataFram
     return ordered_pairs(inside.union(across.select(F.explode(F.array("low", "high")).alias("x"), F.col("low2").alias("y"))))
 
 
-def open_points(texts: DataFrame, points: DataFrame, reached: DataFrame) -> DataFrame:
+def open_points(texts: DataFrame, points: DataFrame, reached: DataFrame, keep: Scratch) -> DataFrame:
     """(point, x, component, main, cells): the members of points whose members are in several
     components; main is the most frequent one."""
     joined = texts.join(reached, F.col("rep") == F.col("node"), "left")
     each = coded(joined.select("rep", "fp", "n", "fps", F.coalesce("component", "rep").alias("component")))
     span = each.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     still = points.join(span, "code").groupBy("point").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
-    members = stash(points.join(still.select("point"), "point", "left_semi").join(each, "code").select("point", "x", "component"), "open-members")
+    members = keep(points.join(still.select("point"), "point", "left_semi").join(each, "code").select("point", "x", "component"), "open-members")
     main = members.groupBy("point", "component").count().groupBy("point")
     main = main.agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.ceil(F.sum("count") / CELL_ROWS).alias("cells"))
     return members.join(main, "point")
@@ -165,34 +203,37 @@ def all_pairs(members: DataFrame) -> DataFrame:
     return ordered_pairs(left.join(right, ["point", "cell"]).filter("c <> component").filter(may_be_near("x", "y")).select("x", "y"))
 
 
-def near_components(texts: DataFrame, docs: DataFrame) -> DataFrame:
+def near_components(texts: DataFrame, docs: DataFrame, keep: Scratch) -> DataFrame:
     """node, component of the texts that are near to another."""
-    classes, met = meetings(texts)
+    classes, met = meetings(texts, keep)
     shared = classes.filter("low.rep <> high.rep").select(F.col("code").alias("point"), "code")
-    points = stash(met.select("point", "code").union(shared).distinct(), "points")
-    tried = stash(star_pairs(texts, classes, met), "pairs")
-    good = stash(verified(tried, docs), "near-pairs")
+    points = keep(met.select("point", "code").union(shared).distinct(), "points")
+    tried = keep(star_pairs(texts, classes, met), "pairs")
+    good = keep(verified(tried, docs, keep), "near-pairs")
     for turn in range(PIVOTS + 1):
-        members = stash(open_points(texts, points, components(good)), "open-points")
+        members = keep(open_points(texts, points, components(good, keep), keep), "open-points")
         if not members.limit(1).count():
             break
         more = all_pairs(members) if turn == PIVOTS else pivot_pairs(members, turn)
-        more = stash(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = keep(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
-            good, tried = good.union(stash(verified(more, docs), "near-pairs")), tried.union(more)
-    return components(good)
+            good, tried = good.union(keep(verified(more, docs, keep), "near-pairs")), tried.union(more)
+    return components(good, keep)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, keep: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose shingle sets reach the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": pd.Series(b["id"], dtype=object), "s": pd.Series([distinct(shingle_hashes(bytes(t), SHINGLE)) for t in b["text"]], dtype=object)})
+            sets = [np.zeros(0, np.int64)] * len(b)
+            for k, words in word_hashes(list(b["text"])):
+                sets[k] = distinct(shingled(words))
+            yield pd.DataFrame({"id": pd.Series(b["id"], dtype=object), "s": pd.Series(sets, dtype=object)})
 
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
     texts = docs.filter("doc_id is not null").select(node().alias("id"), utf8().alias("text")).join(ends, F.col("id") == F.col("end"), "left_semi")
-    sets = stash(texts.mapInPandas(run, "id struct<doc_id: long, row: int>, s array<long>"), "shingles")
+    sets = keep(texts.mapInPandas(run, "id struct<doc_id: long, row: int>, s array<long>"), "shingles")
     one, two = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -207,13 +248,13 @@ def node() -> Column:
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, key) of all documents of numbered docs, and (key, rep, component) of the distinct
     texts; rep and component are nodes."""
-    ready(docs.sparkSession)
-    each = stash(sketches(docs), "sketches")
-    first = F.min(F.struct("node", "fp", "n", "fps")).alias("first")
-    texts = stash(each.groupBy("key").agg(first).select("key", F.col("first.node").alias("rep"), "first.fp", "first.n", "first.fps"), "texts")
-    reached = near_components(texts, docs)
-    joined = texts.select("key", "rep").join(reached, F.col("rep") == F.col("node"), "left")
-    return each.select("node", "key"), joined.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    with Scratch(ready(docs.sparkSession)) as keep:
+        each = keep(sketches(docs), "sketches")
+        first = F.min(F.struct("node", "fp", "n", "fps")).alias("first")
+        texts = keep(each.groupBy("key").agg(first).select("key", F.col("first.node").alias("rep"), "first.fp", "first.n", "first.fps"), "texts")
+        reached = near_components(texts, docs, keep)
+        joined = texts.select("key", "rep").join(reached, F.col("rep") == F.col("node"), "left")
+        return stash(each.select("node", "key"), "nodes"), stash(joined.select("key", "rep", F.coalesce("component", "rep").alias("component")), "components")
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -225,8 +266,8 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document of least doc_id of each group, and rows with a null doc_id."""
     rows = numbered(docs)
-    _, texts = grouped(rows)
-    kept = texts.filter("rep = component").select(F.col("rep.doc_id").alias("__kept"), F.col("rep.row").alias("__kept_row"))
-    known = rows.filter("doc_id is not null")
-    known = known.join(kept, (known["doc_id"] == kept["__kept"]) & (known["__row"] == kept["__kept_row"]), "left_semi").select(docs.columns)
-    return known.unionByName(docs.filter("doc_id is null"))
+    each, texts = grouped(rows)
+    gone = each.join(texts.select("key", "component"), "key").filter("node <> component")
+    gone = stash(gone.select(F.col("node.doc_id").alias("__gone"), F.col("node.row").alias("__gone_row")), "copies")
+    same = (rows["doc_id"] == gone["__gone"]) & (rows["__row"] == gone["__gone_row"])
+    return rows.join(small(gone, gone.count()), same, "left_anti").select(docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ready, stash, utf8
+from .common import Scratch, ready, stash, utf8
 from .components import components
 
 SEED = 42
@@ -98,9 +98,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     if radius % 2:
         raise ValueError("the radius must be even")
     fps = stash(fingerprints(docs, shingle), "fingerprints")
-    classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-classes")
-    reached = components(links(classes.select("fp"), radius))
-    grouped = classes.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = grouped.join(best, "component").select(F.col("fp").alias("__fp"), "component_id")
+    with Scratch(docs.sparkSession) as keep:
+        classes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-classes")
+        reached = components(links(classes.select("fp"), radius), keep)
+        grouped = classes.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+        best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+        by_fp = stash(grouped.join(best, "component").select(F.col("fp").alias("__fp"), "component_id"), "components")
     return fps.join(by_fp, F.col("fp") == F.col("__fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -312,15 +312,17 @@ def test_near_duplicates_with_added_blocks_meet():
                     for _ in range(max(1, int(share * len(w) / 11))):
                         v[rng.randrange(len(v))] = rng.choice(pool)
                 a, b = (" ".join(x).encode() for x in (w, v))
-                ha, hb = (neardup.distinct(simhash.shingle_hashes(x, 5)) for x in (a, b))
+                (_, wa), (_, wb) = neardup.word_hashes([a, b])
+                sa, sb = neardup.shingled(wa), neardup.shingled(wb)
+                ha, hb = neardup.distinct(sa), neardup.distinct(sb)
                 n = len(np.intersect1d(ha, hb))
                 near = n / (len(ha) + len(hb) - n)
                 band = 0.80 if 0.80 <= near < 0.85 else 0.85 if 0.85 <= near < 0.9 else None
                 if band is None or len(met[band]) >= 60:
                     continue
-                words = any((x ^ y).bit_count() <= 2 for x, y in zip(neardup.word_fingerprints(a), neardup.word_fingerprints(b)))
+                words = any((x ^ y).bit_count() <= 2 for x, y in zip(neardup.word_fingerprints(wa), neardup.word_fingerprints(wb)))
                 shingled = any(x == y for x, y in zip(neardup.bands(ha), neardup.bands(hb)))
-                close = (simhash.majority(simhash.shingle_hashes(a, 5)) ^ simhash.majority(simhash.shingle_hashes(b, 5))).bit_count() <= neardup.NEAR
+                close = (simhash.majority(sa) ^ simhash.majority(sb)).bit_count() <= neardup.NEAR
                 met[band].append((close and (words or shingled), close and words))
             for band, found in sorted((k, v) for k, v in met.items() if k):
                 print(least, kind, band, len(found), "found", np.mean([x for x, _ in found]), "by words only", np.mean([x for _, x in found]))
@@ -354,7 +356,7 @@ def test_near_duplicates_of_drifting_and_reordered_texts(spark, cell, monkeypatc
     rng.shuffle(order)
     texts = [texts[i] for i in order]
     s = [shingles(x) for x in texts]
-    codes = [neardup.word_fingerprints(x.encode()) for x in texts]
+    codes = [neardup.word_fingerprints(h) for _, h in neardup.word_hashes([x.encode() for x in texts])]
     true = [(i, j) for j in range(len(texts)) for i in range(j) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) and any((x ^ y).bit_count() <= 2 for x, y in zip(codes[i], codes[j]))]
     each, found = neardup.groups(frame(spark, texts))
     got = {r["doc_id"]: r["component"] for r in each.join(found, "key").collect()}
