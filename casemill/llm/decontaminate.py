@@ -52,6 +52,8 @@ PASSAGES_PER_PASS = 4_000
 RARE = 4
 #: Numbers that the projection of windows holds at once, and characters that are split at once.
 CHUNK, PIECE = 2_000_000, 1 << 17
+#: Leading bits of the hashes of known words that are looked at first.
+BITS = 20
 word_list = re.compile(r"\w+").findall
 
 
@@ -97,14 +99,11 @@ class Vocabulary:
 
     def __init__(self, words: list[str]):
         self.words = words
-        _, h = next(self.hashes(["\n".join(words)]), (None, np.zeros(0, np.uint64)))
-        self.bits = 8
-        while len(np.unique(h >> np.uint64(64 - self.bits))) < len(h):
-            self.bits += 1
-        self.known = np.zeros(1 << self.bits, np.uint64)
-        self.number = np.full(1 << self.bits, -1, np.int32)
-        self.known[h >> np.uint64(64 - self.bits)] = h
-        self.number[h >> np.uint64(64 - self.bits)] = np.arange(len(h))
+        h = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in self.hashes(["\n".join(words)]))])
+        self.order = np.argsort(h)
+        self.known = h[self.order]
+        self.maybe = np.zeros(1 << BITS, bool)
+        self.maybe[h >> np.uint64(64 - BITS)] = True
 
     @staticmethod
     def hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -138,8 +137,12 @@ class Vocabulary:
     def numbers(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(number of the text, number of the word or -1) of each word, in order, in parts."""
         for k, h in self.hashes(texts):
-            at = h >> np.uint64(64 - self.bits)
-            yield k, np.where(self.known[at] == h, self.number[at], -1)
+            out = np.full(len(h), -1, np.int64)
+            at = np.flatnonzero(self.maybe[h >> np.uint64(64 - BITS)])
+            if len(at):
+                place = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+                out[at] = np.where(self.known[place] == h[at], self.order[place], -1)
+            yield k, out
 
     def whole(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """numbers() in parts that end at the ends of texts."""
