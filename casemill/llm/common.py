@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of one Arrow batch, so long texts come few at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -53,7 +53,7 @@ TRIES = 16
 #: Words that are told to all tasks, to leave others out.
 MOST_WORDS = 2_000_000
 #: Postings that a task bundles at once, and those of one bucket on average.
-FLUSH, BUCKET_POSTINGS = 250_000, 100_000
+FLUSH, BUCKET_POSTINGS = 60_000, 100_000
 #: line: the place of a line in its row, and above LINE_BITS bits the number of the row among those of its doc_id.
 LINE_BITS = 32
 #: Bytes of a word's hash in a prefix. Words that share one only meet more often.
@@ -87,23 +87,24 @@ def least_overlap(total, t: Fraction):
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of words in each bucket; at most 2 ** BUCKET_BITS numbers."""
 
-    def rows(total: np.ndarray) -> pa.RecordBatch:
-        slices = [(k, planes(x)) for k, x in enumerate(total.reshape(-1, SLICE)) if x.any()]
-        return pa.record_batch({"slice": pa.array([k for k, _ in slices], pa.int64()), "n": pa.array([x for _, x in slices], pa.binary())})
+    def rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, x in enumerate(total.reshape(-1, SLICE)):
+            if x.any():
+                yield pa.record_batch({"slice": pa.array([k], pa.int64()), "n": pa.array([planes(x)], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
             for _, _, h in words_of(x.as_buffer() for x in b["text"]):
                 np.add.at(total, h >> np.uint64(64 - BUCKET_BITS), 1)
-        yield rows(total)
+        yield from rows(total)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
             for k, x in zip(b["slice"].to_pylist(), b["n"], strict=True):
                 total[k * SLICE : (k + 1) * SLICE] += of_planes(x.as_buffer(), "<i8")
-        yield rows(total)
+        yield from rows(total)
 
     parts = docs.select(utf8().alias("text")).mapInArrow(run, "slice long, n binary").repartition("slice").mapInArrow(added, "slice long, n binary")
     out = np.zeros(1 << BUCKET_BITS, np.int64)
