@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -92,6 +93,17 @@ class Rule:
         return f"CASE WHEN {hits} THEN 'true' END"
 
 
+def rules_from_json(text: str) -> dict[str, Rule]:
+    """A rule pack: field -> {type: keyword, regex or mapping, and keywords, patterns or mappings}."""
+    out = {}
+    for name, told in json.loads(text).items():
+        kind = told["type"]
+        if kind not in ("keyword", "regex", "mapping"):
+            raise ValueError(f"{name} has no known type: {kind}")
+        out[name] = Rule(name, kind, told.get("keywords") or told.get("patterns") or [], told.get("mappings") or {})
+    return out
+
+
 def _k(name: str, *values: str) -> Rule:
     return Rule(name, "keyword", list(values))
 

@@ -57,6 +57,15 @@ def round_robin(rows: DataFrame, group: str, order: Column, n: int) -> DataFrame
     return turn.orderBy("turn", seeded(group), group).limit(n)
 
 
+def seeded_caps(rows: DataFrame, group: str, most: int, parts: int = 16) -> DataFrame:
+    """At most `most` rows of each group, in seeded order of case_id. Each part of a group is cut first,
+    so no group meets whole in one task."""
+    salted = rows.withColumn("__part", F.pmod(F.xxhash64("case_id"), F.lit(parts)))
+    w = Window.partitionBy(group, "__part").orderBy(seeded("case_id"), "case_id")
+    few = salted.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n", "__part")
+    return few.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(seeded("case_id"), "case_id"))).filter(F.col("__n") <= most).drop("__n")
+
+
 def resume(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in the sink yet."""
     return rows.join(done.select(F.col(key).alias("__done")), F.col(key) == F.col("__done"), "left_anti")

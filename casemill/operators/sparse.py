@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FIELDS, LEXICON, ascii_tokens, one_line
+from ..functions.text import FIELDS, LEXICON, Rule, ascii_tokens, one_line
+from . import blocks
 
 
 def lexicon(spark, classes: dict[str, list[str]] | None = None) -> DataFrame:
@@ -25,10 +26,10 @@ def class_counts(counts: DataFrame, lex: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(lex), "keyword").groupBy("case_id", "class").agg(F.sum("n").alias("n"))
 
 
-def features(cases: DataFrame) -> DataFrame:
-    """case_id and the 27 rule fields, each a nullable string."""
+def features(cases: DataFrame, pack: dict[str, Rule] | None = None) -> DataFrame:
+    """case_id and the fields of a rule pack (the default one's 27), each a nullable string."""
     line = cases.select("case_id", one_line(F.col("fact")).alias("fact"))
-    return line.select("case_id", *(r.column(F.col("fact")).alias(name) for name, r in FIELDS.items()))
+    return line.select("case_id", *(r.column(F.col("fact")).alias(name) for name, r in (pack or FIELDS).items()))
 
 
 def long_features(wide: DataFrame) -> DataFrame:
@@ -53,9 +54,8 @@ def sparse_matrix(long: DataFrame, domain: DataFrame, counts: DataFrame) -> Data
 
 
 def sparse_top_k(matrix: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """query_id, case_id, score, rank by sparse dot product: an equi-join on the dimension."""
-    q = matrix.filter(is_query).select(F.col("case_id").alias("query_id"), F.col("dim").alias("q_dim"), F.col("weight").alias("q_weight"))
-    joined = q.join(matrix, (F.col("q_dim") == F.col("dim")) & (F.col("query_id") != F.col("case_id")))
-    scored = joined.groupBy("query_id", "case_id").agg(F.round(F.sum(F.col("q_weight") * F.col("weight")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "case_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("score") > 0))
+    """query_id, case_id, score, rank by sparse dot product: blocks of queries meet chunks of rows, so no
+    row is made for two cases that share a common dimension."""
+    rows = matrix.groupBy("case_id").agg(F.collect_list(F.struct(F.xxhash64("dim").alias("d"), F.col("weight").alias("w"))).alias("x"))
+    rows = rows.select("case_id", F.col("x.d").alias("dims"), F.col("x.w").alias("weights"))
+    return blocks.sparse_top_k(rows, rows.filter(is_query), k)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -11,8 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the corpus compares, as one broadcast matrix.
-QUERIES_PER_PASS = 10_000
+from . import blocks
 
 
 def norm(v: Column) -> Column:
@@ -36,41 +33,8 @@ def as_double(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -
 
 
 def exact_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, case_id, score, rank: exact cosine over (case_id, v), self excluded.
-
-    The queries meet every row in blocks: each task multiplies its rows with a broadcast block
-    and keeps its own best k of each query; a window merges the tasks' lists.
-    """
-    spark, parts = corpus.sparkSession, None
-    rows = queries.orderBy("case_id").toLocalIterator()
-    while block := [r for _, r in zip(range(QUERIES_PER_PASS), rows, strict=False)]:
-        ids = np.array([r["case_id"] for r in block])
-        m = np.array([r["v"] for r in block])
-        held = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, m = held.value
-            best = [np.zeros((0, 2))] * len(ids)
-            for b in batches:
-                if not len(b):
-                    continue
-                v = np.stack(b["v"].to_numpy())
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                own, scores = b["case_id"].to_numpy(), np.round(m @ v.T, 6) + 0.0
-                for q in range(len(ids)):
-                    take = own != ids[q]
-                    both = np.concatenate([best[q], np.stack([-scores[q][take], own[take]], axis=1)])
-                    best[q] = both[np.lexsort((both[:, 1], both[:, 0]))[:k]]
-            for q, rows in enumerate(best):
-                if len(rows):
-                    yield pd.DataFrame({"query_id": int(ids[q]), "case_id": rows[:, 1].astype(np.int64), "score": -rows[:, 0] + 0.0})
-
-        part = corpus.select("case_id", "v").mapInPandas(run, "query_id long, case_id long, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = spark.createDataFrame([], "query_id long, case_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "case_id")
-    return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """query_id, case_id, score, rank: exact cosine over (case_id, v), self excluded, in blocks."""
+    return blocks.exact_top_k(corpus, queries, k)
 
 
 def ivf_top_k(corpus: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 12, seed: int = 5) -> DataFrame:
