@@ -6,7 +6,8 @@ in the same way, with equal words at both ends of a gap matched first. Coverage
 of the template's words matched within one stretch of text not much longer than the template.
 
 Only a text that has at least the wanted share of a template's words is aligned with it: the
-coverage can't exceed that share.
+coverage can't exceed that share. The words that tell a license from its kin, such as the
+version, have to stand in the matched stretch.
 
 Defined results: a null or wordless text has no license; templates without words are left
 out; ties go to the longer template, then to the name; a null doc_id is carried; repeated rows are
@@ -34,8 +35,11 @@ TEMPLATES = {
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
 }
+#: Words of a template without which a text isn't of that license, whatever the coverage: its family
+#: and its version or kind. The BSD sentence is of all BSD licenses, hence its name.
+DISTINCT = {"Apache-2.0": ["apache", "2.0"], "Apache-2.0-header": ["apache", "2.0"], "MIT": ["mit"], "GPL-3.0": ["gnu", "general", "public", "3"], "CC-BY-NC-4.0": ["cc", "by-nc", "4.0"]}
 COVERAGE = 0.8
 words = re.compile(r"[\w.+-]*\w", re.UNICODE).findall
 
@@ -115,29 +119,31 @@ def coverage(text: list[str], template: list[str]) -> tuple[float, int, int]:
     return best
 
 
-def scan_text(text: str | None, templates: dict[str, list[str]], least: float) -> list[tuple[str, float, int, int]]:
+def scan_text(text: str | None, templates: dict[str, list[str]], least: float, must: dict[str, list[str]] | None = None) -> list[tuple[str, float, int, int]]:
     """(name, coverage, from, to) of the templates that are covered, the best first."""
     own = tokens(text)
     have = set(own)
     out = []
     for name, template in templates.items():
-        if sum(w in have for w in template) >= least * len(template):
+        if sum(w in have for w in template) >= least * len(template) and have.issuperset((must or {}).get(name, ())):
             share, s, e = coverage(own, template)
-            if share >= least:
+            if share >= least and set(own[s:e]).issuperset((must or {}).get(name, ())):
                 out.append((name, share, s, e))
     return sorted(out, key=lambda x: (-x[1], -len(templates[x[0]]), x[0]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
-    """doc_id, license (the best, or null), coverage, first_word, end_word, licenses."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE, must: dict[str, list[str]] | None = None) -> DataFrame:
+    """must: words that a template's stretch has to have; those of DISTINCT for the default templates.
+    Gives doc_id, license (the best, or null), coverage, first_word, end_word, licenses."""
     ready(docs.sparkSession)
+    must = DISTINCT if templates is None and must is None else must
     split = {k: w for k, v in (TEMPLATES if templates is None else templates).items() if (w := tokens(v))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                found = scan_text(text, split, least)
+                found = scan_text(text, split, least, must)
                 name, share, s, e = found[0] if found else (None, 0.0, None, None)
                 rows.append((doc_id, name, share, s, e, [x[0] for x in found]))
             out = pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "first_word", "end_word", "licenses"])

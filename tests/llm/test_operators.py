@@ -119,6 +119,51 @@ def test_license_alignment(spark):
     assert found == {r["doc_id"] for r in documents(spark).collect() if any(licenses.TEMPLATES[k] in r["text"] for k in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0"))}
 
 
+def test_licenses_of_kin_are_told_apart(spark):
+    texts = ["Licensed under CC BY 4.0.", "Licensed under CC BY-NC 3.0.", "Released under the BSD License.", "Released under the GPL License.", "This work is licensed under the GNU General Public License, version 2.",
+             "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", licenses.TEMPLATES["BSD"] + " 1. keep 2. keep 3. no endorsement"]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(9)] == [None] * 6 + ["CC-BY-NC-4.0", "MIT", "BSD"]
+
+
+def slow_pack(lengths, capacity):
+    waiting, bins = sorted(lengths, reverse=True), []
+    while waiting:
+        room, inside = capacity, []
+        while fits := [x for x in waiting if x <= room]:
+            inside.append(max(fits))
+            waiting.remove(inside[-1])
+            room -= inside[-1]
+        if room and waiting:
+            smallest = inside[-1]
+            best, pair = smallest, None
+            for i, a in enumerate(waiting):
+                for b in waiting[i + 1 :]:
+                    if best < a + b <= room + smallest:
+                        best, pair = a + b, (a, b)
+            if pair:
+                inside.remove(smallest)
+                for x in pair:
+                    waiting.remove(x)
+                waiting = sorted([*waiting, smallest], reverse=True)
+                inside += pair
+        bins.append(sorted(inside))
+    return bins
+
+
+def test_pack_equals_slow_best_two_fit():
+    rng = random.Random(17)
+    for _ in range(200):
+        n = sorted((rng.randint(1, 60) for _ in range(rng.randint(0, 30))), reverse=True)
+        assert [sorted(n[i] for i in b) for b in packing.pack(n, 60)] == slow_pack(n, 60)
+
+
+def test_ids_equal_the_library():
+    own, rng = tokens.Ids("byte_bpe_50k.json"), random.Random(18)
+    texts = ["", "<|endoftext|> x", "a" * 3000, " " * 3000, *("".join(rng.choice("aeiou tnrs'lld\n\t  .,09\u00e9\U0001f642\u4e2d\u3000\x85\u00b2\u00bd\x1c\xa0\u0301A_'S") for _ in range(rng.randint(0, 300))) for _ in range(500))]
+    assert own.fast and all(own.encode(x).tolist() == own.library.encode(x, add_special_tokens=False).ids for x in texts)
+
+
 def test_rules_in_any_order_give_one_verdict(spark):
     docs = documents(spark)
     rules = quality_rules.RULES
