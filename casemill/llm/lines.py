@@ -108,7 +108,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
     parts = docs.select(utf8().alias("text")).mapInArrow(run, "slice long, n binary").repartition("slice").mapInArrow(added, "slice long, n binary")
     out = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in parts.toLocalIterator():  # at most 2 ** BUCKET_BITS numbers
+    for r in parts.collect():  # at most 2 ** BUCKET_BITS numbers, as bytes
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = of_planes(r["n"], "<i8")
     return out
 
