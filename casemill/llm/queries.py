@@ -120,9 +120,9 @@ covered AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, un
 full_stats AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_upper, n_shouts, coalesce(n_repeat_words, 0) AS n_repeat_words FROM stats LEFT JOIN covered USING (rid)),
 base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM full_stats)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_words < 5 OR 10 * n_symbols > 3 * greatest(1, n_words) OR (2 * n_upper > n_words AND n_words >= 5)
+       NOT (base_failed OR 10 * n_symbols > 3 * greatest(1, n_words) OR (2 * n_upper > n_words AND n_words >= 5)
             OR (4 * n_shouts > n_words AND n_words >= 5) OR (n_words > 0 AND NOT word_chars BETWEEN 2 * n_words AND 20 * n_words)
-            OR 2 * n_dup_lines > greatest(1, n_lines) OR 2 * n_repeat_words > n_words) AS kept
+            OR 2 * n_dup_lines > greatest(1, n_lines)) AS kept
 FROM base
 """
 

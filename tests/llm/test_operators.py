@@ -170,8 +170,19 @@ def test_rules_in_any_order_give_one_verdict(spark):
     one = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs).collect()}
     two = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs, rules[::-1], {}).collect()}
     assert one == two and 0.7 < np.mean(list(one.values()))
-    costs = {"few_words": (1.0, 0.1), "symbols": (0.1, 0.1), "shouting": (1.0, 0.0)}
-    assert [r.name for r in quality_rules.ordered(rules[:3], costs)] == ["symbols", "few_words", "shouting"]
+    costs = {"symbols": (1.0, 0.1), "shouting": (0.1, 0.1), "exclamations": (1.0, 0.0)}
+    assert [r.name for r in quality_rules.ordered(rules[:3], costs)] == ["shouting", "symbols", "exclamations"]
+
+
+def test_rules_are_estimated_on_what_passes_the_base(spark):
+    plain = " ".join(f"word{i}" for i in range(30))
+    texts = [plain] * 3 + [plain + " #" * 20] + ["too short"] * 6 + ["again and again " * 20, "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    figures = quality_rules.estimate(docs, quality_rules.RULES)
+    assert {name: share for name, (_, share) in figures.items()} == {"symbols": 0.25, "shouting": 0, "exclamations": 0, "word_length": 0, "repeated_lines": 0}
+    assert all(cost >= 0 for cost, _ in figures.values())
+    assert quality_rules.estimate(docs.limit(0), quality_rules.RULES) == {}
+    assert [r["kept"] for r in quality_rules.apply_rules(docs).orderBy("doc_id").collect()] == [True] * 3 + [False] * 10
 
 
 def slow_repeats(words, size=8):
