@@ -258,8 +258,8 @@ def randomised_svd(rows: DataFrame, word: dict[str, int], idf: np.ndarray, rank:
         parts = rows.select("words").mapInPandas(run, "c long, x array<double>").repartition("c")
         width = basis.shape[1]
         made = np.zeros((width if gram else len(word), width))
-        for r in parts.mapInPandas(added, "c long, x array<double>").toLocalIterator():
-            made[r["c"]] = r["x"]
+        got = parts.mapInPandas(added, "c long, x array<double>").toArrow()  # a row for each of the benchmark's words
+        made[got["c"].to_numpy()] = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, width)
         return made
 
     basis = np.random.default_rng(seed).standard_normal((len(word), width))
@@ -396,7 +396,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     """text_key, item_ids (sorted), share (the highest) for distinct texts with hits."""
     spark = ready(docs.sparkSession)
     named = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
-    items = [(r["item_id"], r["text"]) for r in named.orderBy("item_id", "text").toLocalIterator() if tokens(r["text"])]
+    got = named.orderBy("item_id", "text").toArrow()
+    items = [(i, t) for i, t in zip(*(got[c].to_pylist() for c in ("item_id", "text")), strict=True) if tokens(t)]
     out = None
     for part_of_items in passes(items):
         index = spark.sparkContext.broadcast(build_index(docs, part_of_items, rank))
