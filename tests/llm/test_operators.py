@@ -176,7 +176,7 @@ def test_rules_in_any_order_give_one_verdict(spark):
 
 def test_rules_are_estimated_on_what_passes_the_base(spark):
     plain = " ".join(f"word{i}" for i in range(30))
-    texts = [plain] * 3 + [plain + " #" * 20] + ["too short"] * 6 + ["again and again " * 20, "", None]
+    texts = [plain] * 3 + [plain + " " + "#" * 20] + ["too short"] * 6 + ["again and again " * 20, "", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     figures = quality_rules.estimate(docs, quality_rules.RULES)
     assert {name: share for name, (_, share) in figures.items()} == {"symbols": 0.25, "shouting": 0, "exclamations": 0, "word_length": 0, "repeated_lines": 0}
