@@ -50,7 +50,21 @@ def sides(source: str) -> str:
     return f"SELECT q.case_id AS q_id, c.case_id AS c_id, {cols} {source}"
 
 
+def seeded(c: str) -> str:
+    return f"md5('7:' || {c})"
+
+
 PAIRS = f"pairs AS ({sides('FROM cases q JOIN cases c ON q.case_id % 20 = 0 AND q.case_id <> c.case_id AND list_has_any(q.accusation, c.accusation)')})"
+
+
+def capped(cap: int) -> str:
+    """pairs() with at most cap candidates for each query and label."""
+    return f"""labelled AS (SELECT case_id, unnest(accusation) AS label FROM cases),
+met AS (SELECT DISTINCT q_id, c_id FROM (SELECT q.case_id AS q_id, c.case_id AS c_id, row_number() OVER (PARTITION BY q.case_id, label ORDER BY {seeded('c.case_id')}, c.case_id) AS n
+  FROM labelled q JOIN labelled c USING (label) WHERE q.case_id % 20 = 0 AND q.case_id <> c.case_id) WHERE n <= {cap}),
+pairs AS ({sides('FROM met JOIN cases q ON q.case_id = q_id JOIN cases c ON c.case_id = c_id')})"""
+
+
 FLAGS = "(q_death = c_death AND q_life = c_life)"
 RATIO = "(abs(q_months - c_months) / greatest(q_months, 1))"
 SAME_ACC, SAME_ART, OVER_ACC, OVER_ART = "(q_accusation = c_accusation)", "(q_articles = c_articles)", "list_has_any(q_accusation, c_accusation)", "list_has_any(q_articles, c_articles)"
@@ -85,11 +99,13 @@ def with_kw(source: str, name: str) -> str:
 
 VPAIRS = "vpairs AS (SELECT p.*, round(list_cosine_similarity(a.v, b.v), 6) AS cos FROM pairs p JOIN emb a ON a.case_id = q_id JOIN emb b ON b.case_id = c_id)"
 TOTAL = f"round(({RAMP}) + {KW} + {LAW}, 6)"
-SCORED = f"{CASES}, {EMB}, {COUNTS}, {LEX}, {KSETS}, {PAIRS}, {VPAIRS}, {with_kw('vpairs', 'kpairs')}, scored AS (SELECT *, {TOTAL} AS total FROM kpairs)"
 
 
-def seeded(c: str) -> str:
-    return f"md5('7:' || {c})"
+def scored(cap: int) -> str:
+    return f"{CASES}, {EMB}, {COUNTS}, {LEX}, {KSETS}, {capped(cap)}, {VPAIRS}, {with_kw('vpairs', 'kpairs')}, scored AS (SELECT *, {TOTAL} AS total FROM kpairs)"
+
+
+SCORED = scored(2500)
 
 
 def topk(source: str, group: str, k: int, order: str, cols: str) -> str:
@@ -170,20 +186,20 @@ def oracles() -> dict[str, str]:
         "similarity_level": f"{pw}, {LEVELS} SELECT * FROM levels",
         "level_distribution": f"{pw}, {LEVELS} SELECT q_id, " + ", ".join(f"count(*) FILTER (level = {k}) AS level{k}" for k in range(1, 6)) + " FROM levels WHERE level > 0 GROUP BY q_id",
         "imprisonment_tolerance": f"{pw} SELECT q_id, c_id, {FLAGS} AND (q_death OR q_life OR abs(q_months - c_months) <= greatest(6.0, q_months * 0.2)) AS within FROM pairs",
-        "embedding_ramp": f"{pw}, {EMB}, {VPAIRS} SELECT q_id, c_id, round({RAMP}, 6)::DOUBLE AS score FROM vpairs",
-        "jaccard_score": f"{pw}, {COUNTS}, {LEX}, {KSETS}, {with_kw('pairs', 'kp')} SELECT q_id, c_id, round({KW}, 6)::DOUBLE AS score FROM kp",
+        "embedding_ramp": f"{w}{capped(2500)}, {EMB}, {VPAIRS} SELECT q_id, c_id, round({RAMP}, 6)::DOUBLE AS score FROM vpairs",
+        "jaccard_score": f"{w}{capped(2500)}, {COUNTS}, {LEX}, {KSETS}, {with_kw('pairs', 'kp')} SELECT q_id, c_id, round({KW}, 6)::DOUBLE AS score FROM kp",
         "legal_score": f"{pw} SELECT q_id, c_id, round({LAW}, 6)::DOUBLE AS score FROM pairs",
         "total_score": f"WITH {SCORED} SELECT q_id, c_id, total::DOUBLE AS total FROM scored",
         "tiered_gold": f"{pw}, {GOLD} SELECT * FROM gold",
-        "capped_candidates": f"""{w}x AS (SELECT q.case_id AS q_id, q.l AS label, c.case_id AS c_id FROM (SELECT case_id, unnest(accusation) AS l FROM cases WHERE case_id % 20 = 0) q JOIN (SELECT case_id, unnest(accusation) AS l FROM cases) c ON q.l = c.l AND q.case_id <> c.case_id)
-          SELECT DISTINCT q_id, c_id FROM (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY {seeded('c_id')}, c_id) AS n FROM x) WHERE n <= 40""",
+        "capped_candidates": f"{w}{capped(40)} SELECT q_id, c_id FROM pairs",
+        "gold_candidates": f"{w}{capped(2500)} SELECT q_id, c_id FROM pairs",
         "scored_gold": f"WITH {SCORED}, t AS ({topk('scored', 'q_id', 5, 'total DESC, c_id', 'q_id, c_id, total::DOUBLE AS total')}) {full('t', 'q_id', 5, 'q_id, c_id, total, rank')}",
         "label_set_sample": f"""{w}s AS (SELECT case_id, array_to_string(accusation, '|') AS label_set FROM cases WHERE length(fact) BETWEEN 300 AND 700 AND len(accusation) > 0)
           SELECT case_id, label_set FROM (SELECT *, row_number() OVER (PARTITION BY label_set ORDER BY {seeded('case_id')}, case_id) AS n FROM s) WHERE n = 1 ORDER BY {seeded('case_id')}, case_id LIMIT 100""",
         "recall_filter_rank": f"""{w}{EMB}, {dense(100)}, p AS ({sides(', d.rank AS found_rank FROM dense d JOIN cases q ON q.case_id = d.query_id JOIN cases c ON c.case_id = d.case_id')}),
           s AS (SELECT *, CASE WHEN {SAME_ACC} THEN 3 ELSE 0 END + CASE WHEN {SAME_ART} THEN 2 ELSE 0 END + CASE WHEN {OVER_ART} THEN 1 ELSE 0 END AS rule_score FROM p WHERE {COMPARABLE})
           {topk('s', 'q_id', 10, 'rule_score DESC, found_rank', 'q_id, c_id, rule_score::INTEGER AS rule_score')}""",
-        "cascade_sample": f"""WITH {SCORED}, co AS ({topk('(SELECT * FROM scored WHERE len(q_accusation) = 1)', 'q_id', 50, 'cos DESC, c_id', 'q_id, c_id, total')}),
+        "cascade_sample": f"""WITH {scored(10_000)}, co AS ({topk('(SELECT * FROM scored WHERE len(q_accusation) = 1)', 'q_id', 50, 'cos DESC, c_id', 'q_id, c_id, total')}),
           t AS ({topk('(SELECT q_id, c_id, total FROM co)', 'q_id', 5, 'total DESC, c_id', 'q_id, c_id, total')}), f AS ({full('t', 'q_id', 5, 'q_id, c_id, total, rank')}),
           b AS (SELECT q_id, round(avg(total), 6) AS quality FROM f GROUP BY q_id ORDER BY 2 DESC, q_id LIMIT 20)
           SELECT q_id, c_id, total::DOUBLE AS total, rank, quality::DOUBLE AS quality FROM f JOIN b USING (q_id)""",

@@ -157,38 +157,60 @@ def paired_lookup(spark, d):
     return j.select("case_id", F.when(both, F.col("n_features")).alias("n_features"), F.when(both, F.col("n_keywords")).alias("n_keywords"))
 
 
+#: Candidates of a query for each of its labels, for gold sets and for the cascade.
+GOLD_CAP, POOL_CAP = 2_500, 10_000
+
+
+def judged(spark, d, keep=None, **columns):
+    """Columns of each pair of cases that share a label, made once for each pair of profiles."""
+    c = cases(spark, d)
+    p = pairs.profile_pairs(c)
+    return pairs.expand((p if keep is None else p.filter(keep)).select("q_profile", "c_profile", *(x.alias(n) for n, x in columns.items())), c)
+
+
 @query
 def set_equal_join(spark, d):
-    p = pairs.label_pairs(cases(spark, d))
-    return p.filter(P.same_set(F.col("q_accusation"), F.col("c_accusation"))).select("q_id", "c_id")
+    """An equi-join on the label set; each pair comes out, so the rows grow with the square of a set's cases."""
+    c = cases(spark, d).filter(F.size("accusation") > 0).select("case_id", F.array_join("accusation", "|").alias("label_set"))
+    q = pairs.queries_of(c).withColumnRenamed("case_id", "q_id")
+    return q.join(c.withColumnRenamed("case_id", "c_id"), "label_set").filter("q_id <> c_id").select("q_id", "c_id")
 
 
 @query
 def legal_filter(spark, d):
-    return pairs.label_pairs(cases(spark, d)).filter(P.comparable("q", "c")).select("q_id", "c_id")
+    return judged(spark, d, P.comparable("q", "c"))
+
+
+def levels(spark, d):
+    """q_profile, c_profile, n, level of the pairs of profiles that have a level."""
+    p = pairs.profile_pairs(cases(spark, d))
+    return p.select("q_profile", "c_profile", "n", P.similarity_level("q", "c").alias("level")).filter("level > 0")
 
 
 @query
 def similarity_level(spark, d):
-    return pairs.label_pairs(cases(spark, d)).select("q_id", "c_id", P.similarity_level("q", "c").alias("level"))
+    return judged(spark, d, level=P.similarity_level("q", "c"))
 
 
 @query
 def level_distribution(spark, d):
-    p = similarity_level(spark, d).filter("level > 0")
-    return p.groupBy("q_id").agg(*(F.count_if(F.col("level") == k).alias(f"level{k}") for k in range(1, 6)))
+    """Counted over pairs of profiles, less the query itself, which is of level 1."""
+    q = pairs.queries_of(pairs.with_profile(cases(spark, d))).select(F.col("case_id").alias("q_id"), "profile")
+    n = levels(spark, d).groupBy("q_profile").agg(*(F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"level{k}") for k in range(1, 6)))
+    n = n.withColumn("level1", F.col("level1") - 1).filter(" + ".join(f"level{k}" for k in range(1, 6)) + " > 0")
+    return q.join(n, F.col("profile") == F.col("q_profile")).drop("profile", "q_profile")
 
 
 @query
 def imprisonment_tolerance(spark, d):
-    return pairs.label_pairs(cases(spark, d)).select("q_id", "c_id", P.within_tolerance("q", "c").alias("within"))
+    return judged(spark, d, within=P.within_tolerance("q", "c"))
 
 
-def vector_pairs(spark, d):
-    """Label pairs that both have vectors, with their cosine."""
+def vector_pairs(spark, d, cap=GOLD_CAP):
+    """Capped label pairs that both have vectors, with their cosine."""
     e = embeddings(spark, d)
     q, c = e.select(F.col("case_id").alias("qv_id"), F.col("v").alias("qv")), e.select(F.col("case_id").alias("cv_id"), F.col("v").alias("cv"))
-    p = pairs.label_pairs(cases(spark, d)).join(q, F.col("q_id") == F.col("qv_id")).join(c, F.col("c_id") == F.col("cv_id"))
+    p = pairs.label_pairs(cases(spark, d), cap).join(q, F.col("q_id") == F.col("qv_id")).join(c, F.col("c_id") == F.col("cv_id"))
     return p.withColumn("cos", F.round(vectors.cosine(F.col("qv"), F.col("cv")), 6)).drop("qv", "cv", "qv_id", "cv_id")
 
 
@@ -217,16 +239,16 @@ def keyword_part():
 
 @query
 def jaccard_score(spark, d):
-    return with_keywords(pairs.label_pairs(cases(spark, d)), spark, d).select("q_id", "c_id", F.round(keyword_part(), 6).alias("score"))
+    return with_keywords(pairs.label_pairs(cases(spark, d), GOLD_CAP), spark, d).select("q_id", "c_id", F.round(keyword_part(), 6).alias("score"))
 
 
 @query
 def legal_score(spark, d):
-    return pairs.label_pairs(cases(spark, d)).select("q_id", "c_id", F.round(S.law_score("q", "c"), 6).alias("score"))
+    return judged(spark, d, score=F.round(S.law_score("q", "c"), 6))
 
 
-def scored_pairs(spark, d):
-    p = with_keywords(vector_pairs(spark, d), spark, d)
+def scored_pairs(spark, d, cap=GOLD_CAP):
+    p = with_keywords(vector_pairs(spark, d, cap), spark, d)
     return p.withColumn("total", F.round(S.embedding_ramp(F.col("cos")) + keyword_part() + S.law_score("q", "c"), 6))
 
 
@@ -238,19 +260,20 @@ def total_score(spark, d):
 @query
 def tiered_gold(spark, d):
     """Waterfall: the closest levels first, seeded order within a level, full groups of 12."""
-    p = similarity_level(spark, d).filter("level > 0")
-    t = pairs.top(p, "q_id", 12, F.col("level"), pairs.seeded("c_id"))
+    t = pairs.level_top(levels(spark, d).drop("n"), cases(spark, d), 12)
     return pairs.full_groups(t, "q_id", 12).select("q_id", "c_id", "level", "rank")
 
 
 @query
 def capped_candidates(spark, d):
     """At most 40 candidates for each query and label, in seeded order."""
-    q = pairs.side(pairs.queries_of(cases(spark, d)), "q").select("q_id", F.explode("q_accusation").alias("label"))
-    c = pairs.side(cases(spark, d), "c").select("c_id", F.explode("c_accusation").alias("c_label"))
-    j = q.join(c, (F.col("label") == F.col("c_label")) & (F.col("q_id") != F.col("c_id")))
-    w = Window.partitionBy("q_id", "label").orderBy(pairs.seeded("c_id"), "c_id")
-    return j.withColumn("n", F.row_number().over(w)).filter("n <= 40").select("q_id", "c_id").distinct()
+    return pairs.label_pairs(cases(spark, d), 40).select("q_id", "c_id")
+
+
+@query
+def gold_candidates(spark, d):
+    """The candidates of gold sets: at most 2,500 for each query and label, in seeded order."""
+    return pairs.label_pairs(cases(spark, d), GOLD_CAP).select("q_id", "c_id")
 
 
 @query
@@ -282,7 +305,7 @@ def recall_filter_rank(spark, d):
 @query
 def cascade_sample(spark, d):
     """Single-label queries: best 50 by cosine, then best 5 by total, quality, 20 best queries."""
-    p = scored_pairs(spark, d).filter(F.size("q_accusation") == 1)
+    p = scored_pairs(spark, d, POOL_CAP).filter(F.size("q_accusation") == 1)
     coarse = pairs.top(p, "q_id", 50, F.desc("cos"), F.col("c_id")).drop("rank")
     fine = pairs.full_groups(pairs.top(coarse, "q_id", 5, F.desc("total"), F.col("c_id")), "q_id", 5)
     quality = fine.groupBy("q_id").agg(F.round(F.avg("total"), 6).alias("quality"))
@@ -425,7 +448,7 @@ def topbottom_classes(spark, d):
 @query
 def round_robin_pool(spark, d):
     c = cases(spark, d).filter((F.length("fact") >= 100) & (F.size("accusation") > 0)).withColumn("label", F.element_at("accusation", 1))
-    return pairs.round_robin(c, "label", pairs.seeded("case_id"), 50).select("case_id", "label", "turn")
+    return pairs.round_robin(c, "label", 50).select("case_id", "label", "turn")
 
 
 @query

@@ -1,5 +1,6 @@
 """Edge semantics of predicates, scores, text functions, sources and sinks."""
 
+import hashlib
 import json
 
 import pytest
@@ -129,3 +130,39 @@ def test_sources_and_sinks(spark, tmp_path):
     for n in (1, 2):
         append_available(spark, sink, spark.range(1).schema, str(tmp_path / "out"), str(tmp_path / "ckpt"), "id")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def crowded(spark, n=300):
+    """Cases of few profiles: one label in all of them."""
+    rows = [(i, ["a", "b"] if i % 7 == 0 else ["a"], ["r"] if i % 5 else ["r", "s"], False, i % 11 == 0, 10 + i % 3) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "case_id long, accusation array<string>, articles array<string>, death boolean, life boolean, months long")
+
+
+def turn(i):
+    return hashlib.md5(f"7:{i}".encode()).hexdigest()
+
+
+def test_candidates_are_capped_for_each_label(spark):
+    rows, cases = crowded(spark)
+    want = set()
+    for q in rows[::20]:
+        for label in q[1]:
+            others = sorted((c[0] for c in rows if label in c[1] and c[0] != q[0]), key=turn)
+            want |= {(q[0], c) for c in others[:9]}
+    got = [tuple(r) for r in pairs.label_pairs(cases, 9).select("q_id", "c_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_closest_by_profiles_equal_all_pairs(spark):
+    rows, cases = crowded(spark)
+    level = P.similarity_level("q", "c").alias("level")
+    near = pairs.profile_pairs(cases).select("q_profile", "c_profile", level).filter("level > 0")
+    got = [tuple(r) for r in pairs.level_top(near, cases, 12).collect()]
+    q, c = pairs.side(pairs.queries_of(cases), "q"), pairs.side(cases, "c")
+    every = [tuple(r) for r in q.join(c, F.col("q_id") != F.col("c_id")).select("q_id", "c_id", level).filter("level > 0").collect()]
+    want = []
+    for i in range(0, 300, 20):
+        best = sorted((x for x in every if x[0] == i), key=lambda x: (x[2], turn(x[1])))[:12]
+        want += [(*x, k + 1) for k, x in enumerate(best)]
+    assert sorted(got) == sorted(want)
+    assert pairs.level_top(near.limit(0), cases, 12).count() == 0 and pairs.label_pairs(cases.limit(0), 3).count() == 0
