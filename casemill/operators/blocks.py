@@ -7,7 +7,8 @@ these. Nothing goes through the driver, whatever the number of queries.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +30,38 @@ def list_of(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def chunked(rows: DataFrame, arrays: dict[str, str], size: int) -> DataFrame:
-    """ids, n (the length of each row's arrays) and the arrays of rows(case_id, arrays), end to
-    end: one row for at most `size` rows of a task. arrays: name -> type of the elements."""
+def cuts(b: pa.RecordBatch, keys: Sequence[str], size: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of at most `size` rows with equal keys."""
+    starts = np.zeros(b.num_rows, bool)
+    starts[:1] = True
+    for c in keys:
+        v = b[c].to_numpy()
+        starts[1:] |= v[1:] != v[:-1]
+    edges = [*np.flatnonzero(starts).tolist(), b.num_rows]
+    for a, e in pairwise(edges):
+        for at in range(a, e, size):
+            yield at, min(at + size, e)
+
+
+def chunked(rows: DataFrame, arrays: dict[str, str], size: int, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, ids, n (the length of each row's arrays) and the arrays of rows(case_id, arrays), end to
+    end: one row for at most `size` rows of a task that follow each other with equal keys (integers).
+    arrays: name -> type of the elements."""
     first = next(iter(arrays))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
+            for at, to in cuts(b, keys, size):
+                part = b.slice(at, to - at)
                 one = ends([part.num_rows])
-                out = {"ids": list_of(part["case_id"], one), "n": list_of(part[first].value_lengths().cast(pa.int32()), one)}
+                out = {c: part[c].slice(0, 1) for c in keys} | {"ids": list_of(part["case_id"], one), "n": list_of(part[first].value_lengths().cast(pa.int32()), one)}
                 for c in arrays:
                     flat = part[c].flatten()
                     out[c] = list_of(flat, ends([len(flat)]))
                 yield pa.record_batch(out)
 
-    schema = "ids array<long>, n array<int>, " + ", ".join(f"{c} array<{kind}>" for c, kind in arrays.items())
-    return rows.select("case_id", *arrays).mapInArrow(run, schema)
+    schema = "".join(f"{c} int, " for c in keys) + "ids array<long>, n array<int>, " + ", ".join(f"{c} array<{kind}>" for c, kind in arrays.items())
+    return rows.select(*keys, "case_id", *arrays).mapInArrow(run, schema)
 
 
 def query_blocks(rows: DataFrame, arrays: dict[str, str], size: int = BLOCK) -> DataFrame:

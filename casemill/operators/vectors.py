@@ -1,11 +1,7 @@
-"""Dense vectors: exact and clustered top-k, centroids, nearest centroid."""
+"""Dense vectors: exact top-k, centroids, nearest centroid."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,29 +33,6 @@ def exact_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return blocks.exact_top_k(corpus, queries, k)
 
 
-def ivf_top_k(corpus: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 12, seed: int = 5) -> DataFrame:
-    """Top-k by k-means cells: each query meets the rows of its nearest cells, an equi-join on
-    the cell. With probes = cells it is exact."""
-    spark = corpus.sparkSession
-    data = corpus.select("case_id", unit(F.col("v")).alias("v")).withColumn("features", array_to_vector("v"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(data.select("features"))
-    centres = spark.sparkContext.broadcast(np.array(model.clusterCenters()))
-
-    @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
-        m = np.stack(v.to_numpy())
-        d = ((m[:, None, :] - centres.value[None]) ** 2).sum(axis=2)
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    placed = model.transform(data).select("case_id", "v", F.col("prediction").alias("cell"))
-    probe = queries.select(F.col("case_id").alias("query_id"), unit(F.col("v")).alias("qv"))
-    probe = probe.withColumn("probe", F.explode(nearest("qv")))
-    pairs = probe.join(placed, (F.col("probe") == F.col("cell")) & (F.col("query_id") != F.col("case_id")))
-    scored = pairs.select("query_id", "case_id", F.round(cosine(F.col("qv"), F.col("v")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "case_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def centroids(rows: DataFrame) -> DataFrame:
     """label, dim, mean, std (population) of (label, v); partial sums only are shuffled."""
     each = rows.select("label", F.posexplode("v").alias("dim", "x"))

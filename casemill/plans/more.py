@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
-from ..operators import metrics, models, pairs, sparse, vectors
+from ..operators import ivf, metrics, models, pairs, sparse, vectors
 from ..schema import cases, table
+from ..session import new_folder
 from . import oracles as O
 from . import queries as Q
 
@@ -109,6 +110,14 @@ def ivf_recall(spark, d):
     return hits.agg(F.lit(10).alias("k"), F.count_distinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reaches"))
 
 
+@query(f"WITH {O.EMB}, {O.dense(10)} SELECT * FROM dense")
+def saved_index_search(spark, d):
+    """An index built, saved, loaded again and searched in all its cells, which is exact."""
+    e = Q.embeddings(spark, d)
+    index = ivf.load_or_build(e, new_folder(spark, "index"), cells=8)
+    return ivf.search(index, pairs.queries_of(e), 10, probes=8)
+
+
 @query(f"WITH {O.CASES}, {O.COUNTS} SELECT keyword, sum(n)::BIGINT AS total FROM counts GROUP BY keyword ORDER BY total DESC, keyword LIMIT 50")
 def top_keywords(spark, d):
     """The 50 most frequent keywords of the corpus."""

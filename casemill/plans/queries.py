@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import scoring as S
 from ..functions import text as X
-from ..operators import metrics, mining, models, pairs, sparse, vectors
+from ..operators import ivf, metrics, mining, models, pairs, sparse, vectors
 from ..schema import cases, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -537,7 +537,7 @@ def fuzzy_label_map(spark, d):
 @query
 def ivf_topk(spark, d):
     e = embeddings(spark, d)
-    return vectors.ivf_top_k(e, pairs.queries_of(e), 10)
+    return ivf.top_k(e, pairs.queries_of(e), 10)
 
 
 @query

@@ -7,7 +7,7 @@ import pytest
 from casemill.functions import predicates as P
 from casemill.functions import scoring as S
 from casemill.functions import text as X
-from casemill.operators import metrics, models, pairs, vectors
+from casemill.operators import ivf, metrics, models, pairs, vectors
 from casemill.schema import normalize_cases
 from casemill.sources import files
 from casemill.streaming.incremental import append_available
@@ -98,16 +98,29 @@ def test_clustered_search_with_all_cells_is_exact(spark):
     e = vectors.as_double(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
     q = pairs.queries_of(e)
     exact = {tuple(r) for r in vectors.exact_top_k(e, q, 5).collect()}
-    assert {tuple(r) for r in vectors.ivf_top_k(e, q, 5, cells=8, probes=8).collect()} == exact
-    some = {tuple(r) for r in vectors.ivf_top_k(e, q, 5, cells=8, probes=4).collect()}
+    assert {tuple(r) for r in ivf.top_k(e, q, 5, cells=8, probes=8).collect()} == exact
+    some = {tuple(r) for r in ivf.top_k(e, q, 5, cells=8, probes=4).collect()}
     assert len(some & exact) > 0.5 * len(exact)
 
 
+def test_saved_index_with_split_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ivf, "PART_ROWS", 10)
+    e = vectors.as_double(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+    same = e.unionByName(e.filter("case_id = 7").select(F.explode(F.sequence(F.lit(100_001).cast("long"), F.lit(100_060).cast("long"))).alias("case_id"), "v"))
+    q = pairs.queries_of(e)
+    made = ivf.load_or_build(same, str(tmp_path / "model-v1"), cells=4)
+    again = ivf.load_or_build(same.limit(0), str(tmp_path / "model-v1"), cells=4)
+    assert made.cells.agg(F.max("parts")).first()[0] > 5 and again.cells.count() == 4
+    exact = {tuple(r) for r in vectors.exact_top_k(same, q, 5).collect()}
+    assert {tuple(r) for r in ivf.search(again, q, 5, probes=4).collect()} == exact
+    assert ivf.search(again, q.limit(0), 5).count() == 0
+
+
 def test_clustered_search_reaches_recall(spark):
     e = vectors.as_double(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
     q = pairs.queries_of(e)
     exact = {(r["query_id"], r["case_id"]) for r in vectors.exact_top_k(e, q, 10).collect()}
-    found = {(r["query_id"], r["case_id"]) for r in vectors.ivf_top_k(e, q, 10).collect()}
+    found = {(r["query_id"], r["case_id"]) for r in ivf.top_k(e, q, 10).collect()}
     print("recall@10", len(found & exact) / len(exact))
     assert len(found & exact) >= 0.9 * len(exact)
 
