@@ -119,6 +119,20 @@ def test_license_alignment(spark):
     assert found == {r["doc_id"] for r in documents(spark).collect() if any(licenses.TEMPLATES[k] in r["text"] for k in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0"))}
 
 
+def test_full_license_texts(spark):
+    t = licenses.TEMPLATES
+    long = ["BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT-full", "Apache-2.0-header", *(f"{k}-notice" for k in licenses.KINDS)]
+    edited = [" ".join(w for i, w in enumerate(("Copyright 2020 Someone. " + t[k]).split()) if i % 23 != 20) for k in long]
+    texts = [f"first words\n{t[k]}\nlast words" for k in long] + edited
+    texts += ["This work is licensed under the GNU Lesser General Public License, version 3.", t["MIT-text"] + " something else", "x " * 5000 + t["ISC"] + " y" * 5000]
+    got = {r["doc_id"]: (r["license"], r["first_word"], r["licenses"]) for r in licenses.scan(frame(spark, texts)).collect()}
+    n = len(long)
+    assert [got[i][:2] for i in range(n)] == [(k, 2) for k in long]
+    for i, k in enumerate(long):  # a shorter template of the same license may be covered better than the full text
+        assert k in got[n + i][2] and got[n + i][0][:3] == k[:3]
+    assert got[2 * n][0] is None and got[2 * n + 1][0] == "MIT-text" and got[2 * n + 2][:2] == ("ISC", 5000)
+
+
 def test_licenses_of_kin_are_told_apart(spark):
     texts = ["Licensed under CC BY 4.0.", "Licensed under CC BY-NC 3.0.", "Released under the BSD License.", "Released under the GPL License.", "This work is licensed under the GNU General Public License, version 2.",
              "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", licenses.TEMPLATES["BSD"] + " 1. keep 2. keep 3. no endorsement"]
