@@ -26,6 +26,6 @@ def mine(rows: DataFrame, label: str, k: int, least_docs: int, least_df: int = 2
     total = sizes.agg(F.sum("n_class").alias("n_all"))
     by_class = document_words(rows, label).groupBy("label", "word").agg(F.count("*").alias("df_class"))
     by_word = by_class.groupBy("word").agg(F.sum("df_class").alias("df_all"))
-    joined = by_class.filter(F.col("df_class") >= least_df).join(by_word, "word").join(F.broadcast(sizes.filter(F.col("n_class") >= least_docs)), "label").join(F.broadcast(total))
+    joined = by_class.filter(F.col("df_class") >= least_df).join(by_word, "word").join(sizes.filter(F.col("n_class") >= least_docs), "label").join(F.broadcast(total))
     scored = joined.withColumn("lift", F.round(lift(F.col("df_class"), F.col("n_class"), F.col("df_all"), F.col("n_all")), 6))
     return top(scored, "label", k, F.desc("lift"), F.desc("df_class"), F.col("word")).select("label", "word", "lift", "df_class", "df_all", "rank")

@@ -46,7 +46,7 @@ def one_hot_domain(long: DataFrame) -> DataFrame:
 
 def sparse_matrix(long: DataFrame, domain: DataFrame, counts: DataFrame) -> DataFrame:
     """case_id, dim, weight: 1 for a feature, the count for a keyword, rows of length 1."""
-    hot = long.join(F.broadcast(domain), ["field", "value"]).select("case_id", F.concat_ws("=", "field", "value").alias("dim"), F.lit(1.0).alias("w"))
+    hot = long.join(domain, ["field", "value"]).select("case_id", F.concat_ws("=", "field", "value").alias("dim"), F.lit(1.0).alias("w"))
     words = counts.select("case_id", F.concat(F.lit("kw:"), "keyword").alias("dim"), F.col("n").cast("double").alias("w"))
     both = hot.unionByName(words)
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("case_id")))

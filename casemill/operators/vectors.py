@@ -48,14 +48,14 @@ def spread(rows: DataFrame) -> DataFrame:
     """label, n, avg_std and the least, greatest and mean distance to the centroid."""
     c = centroid_vectors(rows).withColumnRenamed("label", "c_label")
     gap = F.zip_with("v", "centroid", lambda x, y: x - y)
-    d = rows.join(F.broadcast(c), F.col("label") == F.col("c_label")).withColumn("d", norm(gap))
+    d = rows.join(c, F.col("label") == F.col("c_label")).withColumn("d", norm(gap))
     return d.groupBy("label").agg(F.count("*").alias("n"), F.first("avg_std").alias("avg_std"), F.min("d").alias("min_dist"), F.max("d").alias("max_dist"), F.avg("d").alias("mean_dist"))
 
 
 def nearest_centroids(rows: DataFrame) -> DataFrame:
     """case_id, label, predicted, score, rank of every class for every row; there is one
-    centroid a class, so the classes are the bounded side."""
+    centroid a class, which Spark broadcasts if it is small enough."""
     c = centroid_vectors(rows).select(F.col("label").alias("predicted"), "centroid")
-    scored = rows.join(F.broadcast(c)).select("case_id", "label", "predicted", F.round(cosine(F.col("v"), F.col("centroid")), 6).alias("score"))
+    scored = rows.crossJoin(c).select("case_id", "label", "predicted", F.round(cosine(F.col("v"), F.col("centroid")), 6).alias("score"))
     w = Window.partitionBy("case_id").orderBy(F.desc("score"), "predicted")
     return scored.withColumn("rank", F.row_number().over(w))

@@ -317,9 +317,10 @@ def cascade_sample(spark, d):
 def coverage_sample(spark, d):
     """One case of each class first, then other single-label ones, then the rest; the first 60."""
     c = cases(spark, d).filter(F.size("accusation") > 0).withColumns({"single": F.size("accusation") == 1, "first": F.element_at("accusation", 1)})
-    w = Window.partitionBy("single", "first").orderBy(pairs.seeded("case_id"), "case_id")
-    tier = F.when(~F.col("single"), 2).when(F.col("n") == 1, 0).otherwise(1)
-    return c.withColumn("n", F.row_number().over(w)).withColumn("tier", tier).orderBy("tier", pairs.seeded("case_id"), "case_id").limit(60).select("case_id", "tier")
+    heads = c.filter("single").groupBy("first").agg(F.min(F.struct(pairs.seeded("case_id").alias("turn"), "case_id"))["case_id"].alias("head"))
+    tier = F.when(~F.col("single"), 2).when(F.col("head").isNotNull(), 0).otherwise(1)
+    tiers = c.join(heads.select("head"), F.col("case_id") == F.col("head"), "left").withColumn("tier", tier)
+    return tiers.orderBy("tier", pairs.seeded("case_id"), "case_id").limit(60).select("case_id", "tier")
 
 
 @query
@@ -352,7 +353,7 @@ def gold_hits(spark, d):
     e = embeddings(spark, d)
     gold = tiered_gold(spark, d).filter("rank <= 10").select(F.col("q_id").alias("g_q"), F.col("c_id").alias("g_c"))
     n = gold.groupBy("g_q").agg(F.count("*").alias("n_positive"))
-    found = vectors.exact_top_k(e, pairs.queries_of(e), 10).join(F.broadcast(n), F.col("query_id") == F.col("g_q")).drop("g_q")
+    found = vectors.exact_top_k(e, pairs.queries_of(e), 10).join(n, F.col("query_id") == F.col("g_q")).drop("g_q")
     hit = gold.withColumn("hit", F.lit(1))
     return found.join(hit, (F.col("query_id") == F.col("g_q")) & (F.col("case_id") == F.col("g_c")), "left").select("query_id", "case_id", "rank", F.coalesce("hit", F.lit(0)).alias("hit"), "n_positive")
 
