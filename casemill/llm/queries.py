@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, interleave, licenses, lines, packing, quality, quality_rules, simhash, tokens, url_filter
+from . import decontaminate, interleave, licenses, lines, manifest, packing, quality, quality_rules, simhash, tokens, topk, url_filter, whitening
 from .common import ready, table
 
 SHARDS = 24
@@ -65,6 +65,29 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    made = whitening.fit(whitening.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, 1_000_000), 32)
+    rows = made.apply().select(F.col("id").alias("vec_id"), "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    share = F.array(*map(F.lit, made.explained.tolist())).cast("array<double>")
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(made.n).cast("long").alias("n"), "deviation", "whitened", F.get(share, F.col("at")).alias("explained"), F.lit(made.error).alias("identity_error"))
+
+
+def op12_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    rows = topk.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return topk.top_k(rows, F.col("id") % 50 == 0, 5).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    one_line = {"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = manifest.prove(manifest.manifest(table(spark, sf_dir, "documents"), one_line, tampered))
+    proof = manifest.digest(F.array_join("siblings", ""))
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified", "source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op2_decontaminate, op3_interleaved_shards, op4_quality_ranker, op5_token_counts, op6_license_scan, op7_quality_rules, op8_line_dedup, op9_simhash, op10_best_two_fit, pipeline]
+    own = [op1_url_filter, op2_decontaminate, op3_interleaved_shards, op4_quality_ranker, op5_token_counts, op6_license_scan, op7_quality_rules, op8_line_dedup, op9_simhash, op10_best_two_fit, op11_whitening, op12_max_score, op13_merkle_manifest, pipeline]
     return {f.__name__: f for f in own}
 
 
