@@ -9,10 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Bytes of one Arrow batch, so long texts come few at a time.
 BATCH_BYTES = 2 << 20
+#: Whether the shuffle files of a finished job go; so they do for the tables that operators write.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -22,7 +23,6 @@ def ready(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a finished job's shuffle files go
     return spark
 
 
@@ -41,7 +41,12 @@ def stash(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, lost executors don't matter."""
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:  # the caller's own jobs keep the caller's setting
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,19 +80,3 @@ def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
 def utf8(col: str = "text") -> Column:
     """A text's UTF-8 bytes; null is empty. Workers then never decode what they needn't."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with __row, a number from 0 on that tells rows of one doc_id apart. It follows the
-    texts, so it is the same whenever the table is read, but for rows of equal texts, which may
-    be exchanged. Only rows of shared ids are sorted."""
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__shared"))
-    ids = stash(ids, "shared-ids")
-    n = ids.count()
-    if not n:
-        return docs.withColumn("__row", F.lit(0))
-    ids = small(ids, n)
-    same = docs["doc_id"] == ids["__shared"]
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    shared = docs.join(ids, same, "left_semi").withColumn("__row", F.row_number().over(w) - 1)
-    return docs.join(ids, same, "left_anti").withColumn("__row", F.lit(0)).unionByName(shared)

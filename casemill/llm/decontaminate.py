@@ -35,8 +35,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, small, stash
+from .common import ready, stash
 from .hashing import hashed, spans
+from .rows import without
 
 PASSAGE = 40
 #: (length, stride) of the windows over documents, in words: of about a passage's own length.
@@ -419,18 +420,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float) -> DataFrame:
-    """__key, item_ids, share of the texts with hits."""
-    found = stash(contaminated(docs, benchmark, cosine), "leaks").withColumnRenamed("text_key", "__key")
-    return small(found, found.count())
+    """text_key, item_ids, share of the texts with hits."""
+    return stash(contaminated(docs, benchmark, cosine), "leaks")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, contaminated, item_ids, share for every document."""
-    found = leaks(docs, benchmark, cosine)
+    found = leaks(docs, benchmark, cosine).withColumnRenamed("text_key", "__key")
     joined = docs.select("doc_id", text_key()).join(found, F.col("text_key") == F.col("__key"), "left")
     return joined.select("doc_id", F.col("share").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """The documents without hits, with all their columns."""
-    return docs.join(leaks(docs, benchmark, cosine).select("__key"), F.sha2(docs["text"], 256) == F.col("__key"), "left_anti")
+    return without(docs, {"text_key": F.sha2("text", 256)}, leaks(docs, benchmark, cosine).select("text_key"))

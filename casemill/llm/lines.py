@@ -37,8 +37,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, ready, small, stash, utf8
+from .common import Scratch, ready, small, stash, utf8
 from .hashing import mixed, words_of
+from .rows import Sieve, numbered
 
 #: Buckets of words, by the leading bits of their hashes, that are counted for rarity, in slices.
 BUCKET_BITS, SLICE = 20, 1 << 14
@@ -417,11 +418,13 @@ def place_of(line: str) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, t: Fraction, keep: Scratch) -> DataFrame:
     """(j_doc, j_line) of the pairs (i_doc, i_line, j_doc, j_line) whose texts reach t."""
     ends = pairs.select(F.col("i_doc").alias("d"), F.col("i_line").alias("l")).union(pairs.select("j_doc", "j_line")).distinct()
-    wanted = keep(ends.groupBy("d", row_of("l").alias("r")).agg(F.collect_list("l").alias("ls")), "pair-places")
-    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "__row", "text")
-    split = own.join(small(wanted, wanted.count()), (F.col("id") == F.col("d")) & (F.col("__row") == F.col("r"))).select("d", "ls", F.split("text", "\n").alias("all"))
-    texts = split.select("d", F.explode("ls").alias("l"), "all").select("d", "l", F.get("all", place_of("l")).cast("binary").alias("w"))
-    texts = keep(texts, "pair-lines")
+    ends = keep(ends, "pair-places")
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("d"), "__row", "text")
+    own = Sieve(ends.select("d", row_of("l").alias("r")).distinct()).passing(own, F.col("d"), F.col("__row"))
+    split = own.select("d", "__row", F.posexplode(F.split("text", "\n")).alias("place", "w"))
+    code = F.shiftleft(F.col("__row").cast("long"), LINE_BITS).bitwiseOR(F.col("place").cast("long"))
+    texts = Sieve(ends).passing(split.select("d", code.alias("l"), F.col("w").cast("binary").alias("w")), F.col("d"), F.col("l"))
+    texts = keep(texts, "pair-lines")  # with some more lines, which no pair has
     a, b = texts.select(F.col("d").alias("i_doc"), F.col("l").alias("i_line"), F.col("w").alias("wi")), texts.select(F.col("d").alias("j_doc"), F.col("l").alias("j_line"), F.col("w").alias("wj"))
     both = pairs.select("i_doc", "i_line", "j_doc", "j_line").join(a, ["i_doc", "i_line"]).join(b, ["j_doc", "j_line"])
     return keep(both.filter(_reaches(t)("wi", "wj")).select("j_doc", "j_line").distinct(), "line-matches")
@@ -509,9 +512,13 @@ def having(sets: DataFrame, wanted: Broadcast) -> DataFrame:
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, row, removed: the places (from 0) of the lines that go, for rows that lose any.
-    row is the __row of `numbered`, which is added if docs lacks it."""
+    row is the number that `numbered` gives."""
+    return _removed(numbered(docs), threshold, cell_rows)
+
+
+def _removed(docs: DataFrame, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """removed_lines of docs that have their __row."""
     spark = ready(docs.sparkSession)
-    docs = docs if "__row" in docs.columns else numbered(docs)
     t = fraction(threshold)
     with Scratch(spark) as keep:
         lines = keep(line_rows(docs, t, cell_rows), "lines")
@@ -528,8 +535,10 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, cell_rows: int = CELL
 def _rewritten(docs: DataFrame, threshold: float) -> DataFrame:
     """docs with __rest, the remaining lines, and __gone, the places of the others or null."""
     docs = numbered(docs)
-    gone = removed_lines(docs, threshold).select(F.col("doc_id").alias("__gone_id"), F.col("row").alias("__gone_row"), F.col("removed").alias("__gone"))
-    joined = docs.join(small(gone, gone.count()), (F.col("doc_id") == F.col("__gone_id")) & (F.col("__row") == F.col("__gone_row")), "left")
+    gone = _removed(docs, threshold).select(F.col("doc_id").alias("__gone_id"), F.col("row").alias("__gone_row"), F.col("removed").alias("__gone"))
+    sieve, own = Sieve(gone.select("__gone_id", "__gone_row")), (F.col("doc_id").cast("long"), F.col("__row"))
+    joined = sieve.passing(docs, *own).join(gone, (F.col("doc_id") == F.col("__gone_id")) & (F.col("__row") == F.col("__gone_row")), "left")
+    joined = joined.unionByName(sieve.others(docs, *own), allowMissingColumns=True)
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     rest = F.array_join(F.transform(places, lambda k: F.get("__lines", k)), "\n")
     joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))

@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, ready, stash
+from .rows import placed
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Children of a parent, levels of a pack, and nodes of a pack.
@@ -30,8 +31,6 @@ WIDTH, LEVELS = 3, 6
 SPAN = WIDTH**LEVELS
 #: Characters of a hash.
 HEX = 64
-#: Rows that are equal in all that they are sorted by are dealt to so many parts of a range.
-TURNS = 4096
 PATH = "array<struct<slot:int,preimage:string>>"
 
 
@@ -49,18 +48,6 @@ def leaf(fields: dict[str, Column] | None = None) -> Column:
     return digest(F.concat(*(F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in each)))
 
 
-def placed(rows: DataFrame, keep: Scratch, *order: str) -> DataFrame:
-    """rows with pos, their place in their grp by `order` from 0 on, and n, the rows of their grp."""
-    turn = F.pmod(F.monotonically_increasing_id(), F.lit(TURNS))
-    dealt = rows.withColumn("turn", turn).repartitionByRange("grp", *order, "turn").sortWithinPartitions("grp", *order)
-    dealt = keep(dealt.drop("turn").withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "sorted")
-    runs = dealt.groupBy("grp", "part").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
-    w = Window.partitionBy("grp")  # a row for each part of a group
-    before = F.sum("rows").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.select("grp", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("rows").over(w).alias("n"))
-    return dealt.join(keep(runs, "runs"), ["grp", "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "part", "shift")
-
-
 def depth(n: Column) -> Column:
     """Levels above n leaves."""
     return F.size(F.filter(F.array(*(F.lit(WIDTH**k).cast("long") for k in range(39))), lambda p: p < n))

@@ -34,9 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, numbered, ready, small, stash, utf8
+from .common import Scratch, ready, stash, utf8
 from .components import components
 from .hashing import mixed, powers, words_of
+from .rows import Sieve, numbered, without
 from .simhash import majority, masks, signed
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -232,7 +233,8 @@ def verified(pairs: DataFrame, docs: DataFrame, keep: Scratch, threshold: float
             yield pd.DataFrame({"id": pd.Series(b["id"], dtype=object), "s": pd.Series(sets, dtype=object)})
 
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    texts = docs.filter("doc_id is not null").select(node().alias("id"), utf8().alias("text")).join(ends, F.col("id") == F.col("end"), "left_semi")
+    texts = docs.filter("doc_id is not null").select(node().alias("id"), utf8().alias("text"))
+    texts = Sieve(keep(ends, "ends")).passing(texts, F.col("id"))  # with some more texts, which no pair has
     sets = keep(texts.mapInPandas(run, "id struct<doc_id: long, row: int>, s array<long>"), "shingles")
     one, two = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b")
@@ -268,6 +270,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = numbered(docs)
     each, texts = grouped(rows)
     gone = each.join(texts.select("key", "component"), "key").filter("node <> component")
-    gone = stash(gone.select(F.col("node.doc_id").alias("__gone"), F.col("node.row").alias("__gone_row")), "copies")
-    same = (rows["doc_id"] == gone["__gone"]) & (rows["__row"] == gone["__gone_row"])
-    return rows.join(small(gone, gone.count()), same, "left_anti").select(docs.columns)
+    gone = stash(gone.select("node.doc_id", "node.row"), "copies")
+    return without(rows, {"doc_id": F.col("doc_id").cast("long"), "row": F.col("__row")}, gone).select(docs.columns)

@@ -94,7 +94,7 @@ class Shard:
         return self.docs[at], self.impacts[at]
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of rows, the k best of the shard that reach `floor` among them, without the row `own`."""
+        """(places, scores) of the k best rows of the shard that reach `floor`, without the row `own`."""
         q = query[: len(self.high)]
         if len(q) and float(np.abs(q).max()) * float(max(self.high.max(), -self.low.min())) * len(q) >= 2.0**63:
             raise ValueError("a score may not fit a long")
@@ -120,6 +120,7 @@ class Shard:
             keep = partial + rest[i] >= least
             at, partial = at[keep], partial[keep]
             partial = self.probe(q, terms[i : i + 1], at, partial)
+        at, partial = at[partial >= least], partial[partial >= least]
         if len(at) > k:
             kth = -np.partition(-partial, k - 1)[k - 1]
             at, partial = at[partial >= kth], partial[partial >= kth]

@@ -85,14 +85,19 @@ def bloom_blocks(listed: DataFrame, key: str, n_keys: int, bits_per_key: int = B
     return rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS))), n_blocks
 
 
+def hit_in_block(key: Column, n_blocks: int, prefix: str = "") -> Column:
+    """Whether a row of bloom_blocks, its columns' names prefixed, is the key's, with all its bits."""
+    hit = _block(key, n_blocks) == F.col(f"{prefix}block")
+    for i, bit in enumerate(_bits(key)):
+        hit = hit & (F.col(f"{prefix}w{i}").bitwiseAND(bit) == bit)
+    return hit
+
+
 def possible_hits(rows: DataFrame, key: str, blocks: DataFrame, n_blocks: int) -> DataFrame:
     """The rows whose key may be listed. The filter is broadcast while it has at most
     MOST_BLOCKS blocks; a larger one meets the distinct keys by a shuffle on the block."""
-    probe = rows.filter(F.col(key).isNotNull()).withColumns({"__block": _block(F.col(key), n_blocks)} | {f"__b{i}": b for i, b in enumerate(_bits(F.col(key)))})
-    hit = F.col("__block") == F.col("block")
-    for i in range(WORDS):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(F.col(f"__b{i}")) == F.col(f"__b{i}"))
-    return probe.join(small(blocks, n_blocks, MOST_BLOCKS), hit, "left_semi").select(*rows.columns)
+    probe = rows.filter(F.col(key).isNotNull())
+    return probe.join(small(blocks, n_blocks, MOST_BLOCKS), hit_in_block(F.col(key), n_blocks), "left_semi").select(*rows.columns)
 
 
 def listed_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
