@@ -537,7 +537,8 @@ def _rewritten(docs: DataFrame, threshold: float) -> DataFrame:
     docs = numbered(docs)
     gone = _removed(docs, threshold).select(F.col("doc_id").alias("__gone_id"), F.col("row").alias("__gone_row"), F.col("removed").alias("__gone"))
     sieve, own = Sieve(gone.select("__gone_id", "__gone_row")), (F.col("doc_id").cast("long"), F.col("__row"))
-    joined = sieve.passing(docs, *own).join(gone, (F.col("doc_id") == F.col("__gone_id")) & (F.col("__row") == F.col("__gone_row")), "left")
+    # by one plan at every size: a hash of the places in each partition, so that texts aren't sorted
+    joined = sieve.passing(docs, *own).join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__gone_id")) & (F.col("__row") == F.col("__gone_row")), "left")
     joined = joined.unionByName(sieve.others(docs, *own), allowMissingColumns=True)
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     rest = F.array_join(F.transform(places, lambda k: F.get("__lines", k)), "\n")
