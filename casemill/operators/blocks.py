@@ -1,8 +1,9 @@
 """Top-k search in blocks: chunks of the corpus meet blocks of the queries, as matrices in tasks.
 
 Rows travel as chunks: one row for some thousand rows, with their numbers end to end. Chunks and
-blocks are of bounded size; each pair of them gives at most k rows a query, and a window merges
-these. Nothing goes through the driver, whatever the number of queries.
+blocks are of bounded size. The corpus is dealt to parts once, blocks of queries are copied to every
+part, and the two meet by an equi-join on the part. Each pair gives at most k rows a query, and a
+window merges these. Nothing goes through the driver, whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a chunk of the corpus, and queries of a block.
@@ -64,10 +65,22 @@ def chunked(rows: DataFrame, arrays: dict[str, str], size: int, keys: Sequence[s
     return rows.select(*keys, "case_id", *arrays).mapInArrow(run, schema)
 
 
-def query_blocks(rows: DataFrame, arrays: dict[str, str], size: int = BLOCK) -> DataFrame:
-    """chunked() of the queries, dealt into blocks; columns are prefixed by q_."""
-    made = chunked(rows.repartition(max(1, -(-rows.count() // size)), "case_id"), arrays, size)
-    return made.select(*(F.col(c).alias(f"q_{c}") for c in made.columns))
+def parts_of(spark: SparkSession) -> int:
+    """Parts that a corpus is dealt to: as many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parted(rows: DataFrame, arrays: dict[str, str], parts: int) -> DataFrame:
+    """chunked() of the corpus, by part."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("case_id"), F.lit(parts)).cast("int"))
+    return chunked(dealt.repartition("part").sortWithinPartitions("part"), arrays, CHUNK, ["part"])
+
+
+def query_blocks(rows: DataFrame, arrays: dict[str, str], parts: int, size: int = BLOCK) -> DataFrame:
+    """chunked() of the queries, once for each part; columns are prefixed by q_. A shuffle without a number
+    of partitions, so adaptive execution gathers few queries into few blocks."""
+    made = chunked(rows.repartition("case_id"), arrays, size)
+    return made.select(*(F.col(c).alias(f"q_{c}") for c in made.columns), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
 
 def best(scores: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int, least: float) -> pa.RecordBatch:
@@ -102,24 +115,6 @@ def dense_scores(b: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.nda
         yield np.round(q @ m[at : at + SLICE].T, 6) + 0.0, ids[at : at + SLICE]
 
 
-def sparse_scores(b: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(scores, ids) of the slices of a chunk, by dot product over the dimensions of the block's queries."""
-    ids, q_n, n = flat(b["ids"], k), flat(b["q_n"], k), flat(b["n"], k)
-    q_dims, dims, weights = flat(b["q_dims"], k), flat(b["dims"], k), flat(b["weights"], k)
-    known, at = np.unique(q_dims, return_inverse=True)
-    q = np.zeros((len(q_n), len(known)))
-    q[np.repeat(np.arange(len(q_n)), q_n), at] = flat(b["q_weights"], k)
-    row = np.repeat(np.arange(len(n)), n)
-    at = np.minimum(np.searchsorted(known, dims), max(len(known) - 1, 0))
-    hit = known[at] == dims if len(known) else np.zeros(len(dims), bool)
-    row, at, weights = row[hit], at[hit], weights[hit]
-    for s in range(0, len(ids), SLICE):
-        own = slice(*np.searchsorted(row, [s, s + SLICE]))
-        m = np.zeros((min(SLICE, len(ids) - s), len(known)))
-        m[row[own] - s, at[own]] = weights[own]
-        yield np.round(q @ m.T, 6) + 0.0, ids[s : s + SLICE]
-
-
 def top_k(pairs: DataFrame, k: int, scores: Callable, least: float = -np.inf) -> DataFrame:
     """query_id, case_id, score, rank of joined chunks and blocks."""
 
@@ -135,11 +130,5 @@ def top_k(pairs: DataFrame, k: int, scores: Callable, least: float = -np.inf) ->
 
 def exact_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, case_id, score, rank: exact cosine over (case_id, v), self excluded."""
-    vector = {"v": "double"}
-    return top_k(chunked(corpus, vector, CHUNK).crossJoin(query_blocks(queries, vector)), k, dense_scores)
-
-
-def sparse_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, case_id, score, rank: dot product above 0 over (case_id, dims array<long>, weights)."""
-    arrays = {"dims": "long", "weights": "double"}
-    return top_k(chunked(rows, arrays, CHUNK).crossJoin(query_blocks(queries, arrays)), k, sparse_scores, 0.0)
+    vector, parts = {"v": "double"}, parts_of(corpus.sparkSession)
+    return top_k(parted(corpus, vector, parts).join(query_blocks(queries, vector, parts), "part"), k, dense_scores)

@@ -6,6 +6,8 @@ vectors or the keywords of each case has capped candidates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,44 @@ def profile_pairs(cases: DataFrame) -> DataFrame:
     return q.join(c, F.col("label") == F.col("c_label")).filter(once).drop("label", "c_label")
 
 
+#: Buckets of months grow by this factor, so a band of a ratio meets a few of them.
+BUCKET = 1.25
+
+
+def bucket(months: Column) -> Column:
+    return F.floor(F.log1p(months.cast("double")) / F.log(F.lit(BUCKET))).cast("int")
+
+
+def ratio_band(months: Column) -> tuple[Column, Column]:
+    """The least and greatest term whose difference is at most three tenths of `months`, or of one month."""
+    far = F.greatest(months, F.lit(1)) * F.lit(0.3) + 1e-9
+    return F.greatest(F.ceil(months - far), F.lit(0)), F.floor(months + far)
+
+
+def tolerance_band(months: Column) -> tuple[Column, Column]:
+    """The least and greatest term within max(6, a fifth of `months`)."""
+    far = F.greatest(F.lit(6.0), months * F.lit(0.2)) + 1e-9
+    return F.greatest(F.ceil(months - far), F.lit(0)), F.floor(months + far)
+
+
+def band_pairs(cases: DataFrame, band: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    """profile_pairs whose flags are equal and, if none is set, whose terms are within the query's band. A
+    band join: the query's side meets the buckets of months that its band touches, and the join's own
+    condition ends at the band, so no pair outside it is made."""
+    each = with_profile(cases).groupBy("profile", *FIELDS).agg(F.count("*").alias("n"), F.bool_or(F.col("case_id") % 20 == 0).alias("asked"))
+    each = each.withColumn("flags", F.col("death").cast("int") * 2 + F.col("life").cast("int"))
+    named = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("profile", *FIELDS)]
+    low, high = band(F.col("months"))
+    free, none = F.col("flags") == 0, F.lit(-1)
+    q = each.filter("asked").select(*named("q"), F.col("flags"), low.alias("low"), high.alias("high"), F.explode("accusation").alias("label"), F.when(free, F.sequence(bucket(low), bucket(high))).otherwise(F.array(none)).alias("buckets"))
+    q = q.withColumn("bucket", F.explode("buckets")).drop("buckets")
+    c = each.select(*named("c"), "n", F.col("flags").alias("c_flags"), F.explode("accusation").alias("c_label"), F.when(free, bucket(F.col("months"))).otherwise(none).alias("c_bucket"))
+    met = (F.col("label") == F.col("c_label")) & (F.col("flags") == F.col("c_flags")) & (F.col("bucket") == F.col("c_bucket"))
+    within = (F.col("flags") > 0) | F.col("c_months").between(F.col("low"), F.col("high"))
+    once = F.col("label") == F.element_at(F.array_intersect("q_accusation", "c_accusation"), 1)
+    return q.join(c, met & within & once).drop("label", "c_label", "flags", "c_flags", "bucket", "c_bucket", "low", "high")
+
+
 def expand(judged: DataFrame, cases: DataFrame) -> DataFrame:
     """q_id, c_id and the other columns of judged(q_profile, c_profile, ...) for each pair of cases."""
     ids = with_profile(cases).select("case_id", "profile")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FIELDS, LEXICON, Rule, ascii_tokens, one_line
-from . import blocks
+from ..session import stash
+from . import postings
 
 
 def lexicon(spark, classes: dict[str, list[str]] | None = None) -> DataFrame:
@@ -44,18 +45,40 @@ def one_hot_domain(long: DataFrame) -> DataFrame:
     return values.select("field", "value", (F.row_number().over(Window.orderBy("field", "value")) - 1).alias("dim"))
 
 
-def sparse_matrix(long: DataFrame, domain: DataFrame, counts: DataFrame) -> DataFrame:
-    """case_id, dim, weight: 1 for a feature, the count for a keyword, rows of length 1."""
-    hot = long.join(domain, ["field", "value"]).select("case_id", F.concat_ws("=", "field", "value").alias("dim"), F.lit(1.0).alias("w"))
-    words = counts.select("case_id", F.concat(F.lit("kw:"), "keyword").alias("dim"), F.col("n").cast("double").alias("w"))
-    both = hot.unionByName(words)
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("case_id")))
-    return both.select("case_id", "dim", (F.col("w") / length).alias("weight"))
+def matrix_rows(cases: DataFrame, pack: dict[str, Rule] | None = None, words: list[str] | None = None) -> DataFrame:
+    """case_id, cells (array of dim and weight) of the cases that have any: 1 for a feature's value, the
+    count for a keyword, of length 1 in all. Each row is made from its text alone, without a shuffle."""
+    pack = pack or FIELDS
+    known = words or sorted({k for ks in LEXICON.values() for k in ks})
+    hits = F.filter(ascii_tokens(F.col("fact")), lambda w: w.isin(*known))
+    c = cases.select("case_id", held(line=one_line(F.col("fact")), hits=hits))
+    cell = lambda dim, w: F.struct(dim.alias("dim"), w.cast("double").alias("weight"))
+    values = F.array_compact(F.array(*(F.concat(F.lit(f"{n}="), r.column(F.col("line"))) for n, r in pack.items())))
+    features = F.transform(values, lambda v: cell(v, F.lit(1)))
+    counts = F.transform(F.array_distinct("hits"), lambda w: cell(F.concat(F.lit("kw:"), w), F.size(F.filter("hits", lambda x: x == w))))
+    both = c.select("case_id", held(cells=F.concat(features, counts))).filter(F.size("cells") > 0)
+    length = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+    both = both.select("case_id", held(cells=F.col("cells"), length=length))
+    return both.select("case_id", F.transform("cells", lambda x: F.struct(x["dim"].alias("dim"), (x["weight"] / F.col("length")).alias("weight"))).alias("cells"))
+
+
+def held(**columns: Column) -> Column:
+    """The columns, made once: a generator of one row keeps their expressions from being copied into
+    every lambda that reads them."""
+    return F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+
+
+def sparse_matrix(rows: DataFrame) -> DataFrame:
+    """case_id, dim, weight of matrix_rows."""
+    return rows.select("case_id", F.inline("cells"))
+
+
+def indexed_rows(rows: DataFrame) -> DataFrame:
+    """case_id, dims, weights of matrix_rows, written once: what an index is made of and searched with."""
+    hashed = F.transform("cells", lambda x: F.xxhash64(x["dim"]))
+    return stash(rows.select("case_id", hashed.alias("dims"), F.col("cells.weight").alias("weights")), "sparse-rows")
 
 
-def sparse_top_k(matrix: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """query_id, case_id, score, rank by sparse dot product: blocks of queries meet chunks of rows, so no
-    row is made for two cases that share a common dimension."""
-    rows = matrix.groupBy("case_id").agg(F.collect_list(F.struct(F.xxhash64("dim").alias("d"), F.col("weight").alias("w"))).alias("x"))
-    rows = rows.select("case_id", F.col("x.d").alias("dims"), F.col("x.w").alias("weights"))
-    return blocks.sparse_top_k(rows, rows.filter(is_query), k)
+def sparse_top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """query_id, case_id, score, rank, scored of indexed_rows by sparse dot product, over an index in postings."""
+    return postings.search(stash(postings.build(rows), "postings"), rows.filter(is_query), k)

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
-from ..operators import ivf, metrics, models, pairs, sparse, vectors
+from ..operators import metrics, models, pairs, sparse, vectors
 from ..schema import cases, table
-from ..session import new_folder
 from . import oracles as O
 from . import queries as Q
 
@@ -100,24 +99,6 @@ def search_no_rerank(spark, d):
     return hybrid_search(spark, d, "hybrid", 6, rerank=False)
 
 
-@query("SELECT 10 AS k, count(*) AS n_queries, true AS reaches FROM embeddings WHERE vec_id % 20 = 0")
-def ivf_recall(spark, d):
-    """Whether the clustered search of ivf_topk finds at least 0.9 of the true ten nearest."""
-    e = Q.embeddings(spark, d)
-    exact = vectors.exact_top_k(e, pairs.queries_of(e), 10).select("query_id", "case_id")
-    found = Q.ivf_topk(spark, d).select("query_id", "case_id", F.lit(1).alias("hit"))
-    hits = exact.join(found, ["query_id", "case_id"], "left")
-    return hits.agg(F.lit(10).alias("k"), F.count_distinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reaches"))
-
-
-@query(f"WITH {O.EMB}, {O.dense(10)} SELECT * FROM dense")
-def saved_index_search(spark, d):
-    """An index built, saved, loaded again and searched in all its cells, which is exact."""
-    e = Q.embeddings(spark, d)
-    index = ivf.load_or_build(e, new_folder(spark, "index"), cells=8)
-    return ivf.search(index, pairs.queries_of(e), 10, probes=8)
-
-
 @query(f"WITH {O.CASES}, {O.COUNTS} SELECT keyword, sum(n)::BIGINT AS total FROM counts GROUP BY keyword ORDER BY total DESC, keyword LIMIT 50")
 def top_keywords(spark, d):
     """The 50 most frequent keywords of the corpus."""
@@ -193,7 +174,7 @@ def discard_rollup(spark, d):
     return one.agg(F.count("*").alias("total"), F.count_if("q_dirty").alias("discarded"), F.count_if(~F.col("q_dirty")).alias("kept"))
 
 
-REQUIRED = ["act_has_violence", "object_is_person", "result_injury", "context_is_indoor", "result_amount_mentioned"]
+REQUIRED = ["sound_hard", "noun_pronoun", "ending_erth", "setting_inside", "ending_digits"]
 
 
 @query(f"WITH {O.CASES}, {O.FEATURES}, {O.LONG}, have AS (SELECT case_id, list(field) AS fields FROM long GROUP BY case_id), every AS (SELECT case_id, coalesce(fields, []::VARCHAR[]) AS fields FROM cases LEFT JOIN have USING (case_id)) SELECT case_id, array_to_string(list_sort(list_filter({REQUIRED}, lambda f: NOT list_contains(fields, f))), ',') AS missing, array_to_string(list_sort(list_filter(fields, lambda f: NOT list_contains({REQUIRED}, f))), ',') AS extra FROM every")
@@ -244,7 +225,7 @@ def diff_ratio(spark, d):
 #: Our whitelist: class -> words; classes without one get their own name first.
 WHITELIST = {"en": ["the", "law"], "fr": ["cour", "droit"]}
 #: Our triggers: field -> words that suggest it.
-TRIGGERS = {"context_is_indoor": ["in"], "object_is_person": ["der", "die", "la", "el"], "act_has_threat": ["that", "cour"]}
+TRIGGERS = {"setting_inside": ["in"], "noun_pronoun": ["der", "die", "la", "el"], "sound_nasal": ["that", "cour"]}
 
 
 def mined(spark, d) -> DataFrame:
@@ -333,12 +314,10 @@ def article_metrics(spark, d):
     return task_metrics(spark, d, lambda: P.same_set(F.col("q_articles"), F.col("c_articles")))
 
 
-@query(task_sql(f"{O.FLAGS} AND (q_death OR q_life OR {O.RATIO} <= 0.3)"))
+@query(task_sql(f"{O.FLAGS} AND (q_death OR q_life OR abs(q_months - c_months) <= greatest(6, 0.2 * q_months))"))
 def imprisonment_metrics(spark, d):
-    """A hit has the query's flags and, without them, a term within three tenths of it."""
-    ratio = F.abs(F.col("q_months") - F.col("c_months")) / F.greatest("q_months", F.lit(1))
-    flags = (F.col("q_death") == F.col("c_death")) & (F.col("q_life") == F.col("c_life"))
-    return task_metrics(spark, d, lambda: flags & (F.col("q_death") | F.col("q_life") | (ratio <= 0.3)))
+    """A hit has the query's flags and, without them, a term within six months or a fifth of the query's."""
+    return task_metrics(spark, d, lambda: P.within_tolerance("q", "c"))
 
 
 @query(f"WITH {O.CASES}, {O.EMB}, {O.dense(10)}, lists AS (SELECT query_id, list(case_id ORDER BY rank)[1:5] AS ids FROM dense GROUP BY query_id), each AS (SELECT query_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM lists) SELECT query_id, id AS case_id, pos::INTEGER AS pos, array_to_string(accusation, '|') AS accusation FROM each JOIN cases ON case_id = id")

@@ -14,6 +14,10 @@ STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x0B]+', ''), '[\s\x0B]+$', ''
 LINE = STRIP.format("replace(replace(fact, chr(13), ''), chr(10), ' ')")
 
 
+#: What stands before a text's last line break; all of it, if there is none.
+REST = "coalesce(regexp_extract(fact, '^(.*)\\n', 1, 's'), '') || CASE WHEN contains(fact, chr(10)) THEN '' ELSE fact END"
+
+
 def hashed(text: str) -> str:
     s = STRIP.format(text)
     return f"CASE WHEN {s} = '' THEN '' ELSE md5({s}) END"
@@ -106,6 +110,7 @@ def scored(cap: int) -> str:
 
 
 SCORED = scored(2500)
+FOUND_PAIRS = f"{dense(100)}, fpairs AS ({sides(', d.score AS cos FROM dense d JOIN cases q ON q.case_id = d.query_id JOIN cases c ON c.case_id = d.case_id')})"
 
 
 def topk(source: str, group: str, k: int, order: str, cols: str) -> str:
@@ -158,7 +163,6 @@ COVER = f"""cover AS (SELECT case_id, tier FROM (SELECT *, CASE WHEN NOT single
 def oracles() -> dict[str, str]:
     w = f"WITH {CASES}, "
     pw = w + PAIRS
-    names = list(FIELDS)[:6]
     return {
         "dense_topk": f"WITH {EMB}, {dense(10)} SELECT * FROM dense",
         "dense_topk_dedup": f"""{w}{EMB}, {dense(30)}, f AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY query_id, md5(fact) ORDER BY rank) AS nth FROM dense d JOIN cases USING (case_id)) WHERE nth = 1)
@@ -186,10 +190,10 @@ def oracles() -> dict[str, str]:
         "similarity_level": f"{pw}, {LEVELS} SELECT * FROM levels",
         "level_distribution": f"{pw}, {LEVELS} SELECT q_id, " + ", ".join(f"count(*) FILTER (level = {k}) AS level{k}" for k in range(1, 6)) + " FROM levels WHERE level > 0 GROUP BY q_id",
         "imprisonment_tolerance": f"{pw} SELECT q_id, c_id, {FLAGS} AND (q_death OR q_life OR abs(q_months - c_months) <= greatest(6.0, q_months * 0.2)) AS within FROM pairs",
-        "embedding_ramp": f"{w}{capped(2500)}, {EMB}, {VPAIRS} SELECT q_id, c_id, round({RAMP}, 6)::DOUBLE AS score FROM vpairs",
-        "jaccard_score": f"{w}{capped(2500)}, {COUNTS}, {LEX}, {KSETS}, {with_kw('pairs', 'kp')} SELECT q_id, c_id, round({KW}, 6)::DOUBLE AS score FROM kp",
+        "embedding_ramp": f"{w}{EMB}, {FOUND_PAIRS} SELECT q_id, c_id, round({RAMP}, 6)::DOUBLE AS score FROM fpairs",
+        "jaccard_score": f"{w}{EMB}, {FOUND_PAIRS}, {COUNTS}, {LEX}, {KSETS}, {with_kw('fpairs', 'kp')} SELECT q_id, c_id, round({KW}, 6)::DOUBLE AS score FROM kp",
         "legal_score": f"{pw} SELECT q_id, c_id, round({LAW}, 6)::DOUBLE AS score FROM pairs",
-        "total_score": f"WITH {SCORED} SELECT q_id, c_id, total::DOUBLE AS total FROM scored",
+        "total_score": f"{w}{EMB}, {FOUND_PAIRS}, {COUNTS}, {LEX}, {KSETS}, {with_kw('fpairs', 'kp')} SELECT q_id, c_id, {TOTAL}::DOUBLE AS total FROM kp",
         "tiered_gold": f"{pw}, {GOLD} SELECT * FROM gold",
         "capped_candidates": f"{w}{capped(40)} SELECT q_id, c_id FROM pairs",
         "gold_candidates": f"{w}{capped(2500)} SELECT q_id, c_id FROM pairs",
@@ -207,8 +211,6 @@ def oracles() -> dict[str, str]:
         "diverse_sample": f"""{w}{COVER}, {EMB}, {dense(30, where='q.case_id IN (SELECT case_id FROM cover)')}, {COUNTS}, {LEX}, {KSETS},
           p AS ({sides(', d.score AS cos FROM dense d JOIN cases q ON q.case_id = d.query_id JOIN cases c ON c.case_id = d.case_id')}), {with_kw('p', 'kp')}, s AS (SELECT *, {TOTAL} AS total FROM kp),
           t AS ({topk('s', 'q_id', 8, 'total DESC, c_id', 'q_id, c_id, total::DOUBLE AS total')}) {full('t', 'q_id', 8, 'q_id, c_id, total, rank')}""",
-        "clean_groups": f"""{pw}, {GOLD}, flag AS (SELECT case_id, (case_id % 4 = 0 AND lang <> 'en') AND (case_id * 37 % 100) / 100 > 0.85 AS dirty FROM cases)
-          SELECT q_id, c_id, level FROM gold JOIN flag a ON a.case_id = q_id JOIN flag b ON b.case_id = c_id WHERE NOT a.dirty AND NOT b.dirty""",
         "retrieval_metrics": f"WITH {HITS} {metric_rows('hits')}",
         "attribute_metrics": f"WITH {HITS}, ah AS (SELECT query_id, rank, n_positive, (a.accusation = b.accusation)::INTEGER AS hit FROM hits JOIN cases a ON a.case_id = query_id JOIN cases b ON b.case_id = hits.case_id) {metric_rows('ah')}",
         "hit_rate": f"WITH {HITS} SELECT k::INTEGER AS k, round(avg(hit), 6) AS hit_rate, count(*) AS n_queries FROM (SELECT query_id, k, max(hit) AS hit FROM hits JOIN (VALUES (1), (3), (5)) AS t(k) ON rank <= k GROUP BY query_id, k) GROUP BY k",
@@ -231,7 +233,7 @@ def oracles() -> dict[str, str]:
         "resume_antijoin": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
         "score_cache_misses": "WITH k AS (SELECT conv_id, turn, md5(role) || ':' || md5(text) AS cache_key FROM conversations) SELECT * FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k WHERE conv_id % 2 = 0)",
         "history_tail": topk("conversations", "conv_id", 3, "turn DESC", "conv_id, turn, role"),
-        "field_diff": f"{w}l AS (SELECT case_id, {LINE} AS line FROM cases), s AS (SELECT case_id, line, substr(line, 1, 200) AS short FROM l), x AS (SELECT case_id, list_filter([" + ", ".join(f"CASE WHEN (({FIELDS[n].sql('line')}) IS NULL) <> (({FIELDS[n].sql('short')}) IS NULL) THEN '{n}' END" for n in names) + "], lambda f: f IS NOT NULL) AS df FROM s) SELECT case_id, array_to_string(df, ',') AS diff_fields, len(df) AS n_diff FROM x",
+        "field_diff": f"{w}l AS (SELECT case_id, {LINE} AS line, {LINE.replace('fact', f'({REST})')} AS rest FROM cases), x AS (SELECT case_id, list_filter([" + ", ".join(f"CASE WHEN (({r.sql('line')}) IS NULL) <> (({r.sql('rest')}) IS NULL) THEN '{n}' END" for n, r in FIELDS.items()) + "], lambda f: f IS NOT NULL) AS df FROM l) SELECT case_id, array_to_string(df, ',') AS diff_fields, len(df) AS n_diff FROM x",
         "text_functions": f"SELECT doc_id, length(text) AS n, {hashed('text')} AS hash, source AS filled, len({content('text')}) AS n_words, replace(source, 's', '') AS label, source AS parsed FROM documents",
         "self_exclusion": f"{w}{EMB}, {dense(10)}, h AS (SELECT case_id, {hashed('fact')} AS h FROM cases) SELECT d.query_id, d.case_id, d.score FROM dense d JOIN h a ON a.case_id = d.query_id JOIN h b ON b.case_id = d.case_id WHERE a.h <> b.h",
         "prompt_context": f"{pw}, {GOLD} SELECT q_id, string_agg(rank || '. ' || array_to_string(accusation, ',') || ' ' || months, chr(10) ORDER BY rank) AS context FROM gold JOIN cases ON c_id = case_id WHERE rank <= 3 GROUP BY q_id",

@@ -47,11 +47,13 @@ def dense_topk_dedup(spark, d):
     return pairs.top(kept.drop("rank"), "query_id", 10, F.desc("score"), F.col("case_id")).select("query_id", "case_id", "score", "rank")
 
 
+def sparse_search(spark, d, k):
+    """The results, and how many rows were scored for each query."""
+    return sparse.sparse_top_k(sparse.indexed_rows(sparse.matrix_rows(cases(spark, d))), F.col("case_id") % 20 == 0, k)
+
+
 def sparse_results(spark, d, k):
-    c = cases(spark, d)
-    long = sparse.long_features(sparse.features(c))
-    m = sparse.sparse_matrix(long, sparse.one_hot_domain(long), sparse.keyword_counts(c))
-    return sparse.sparse_top_k(m, F.col("case_id") % 20 == 0, k)
+    return sparse_search(spark, d, k).drop("scored")
 
 
 @query
@@ -132,10 +134,7 @@ def onehot_domain(spark, d):
 
 @query
 def sparse_matrix(spark, d):
-    c = cases(spark, d)
-    long = sparse.long_features(sparse.features(c))
-    m = sparse.sparse_matrix(long, sparse.one_hot_domain(long), sparse.keyword_counts(c))
-    return m.withColumn("weight", F.round("weight", 6))
+    return sparse.sparse_matrix(sparse.matrix_rows(cases(spark, d))).withColumn("weight", F.round("weight", 6))
 
 
 @query
@@ -161,11 +160,10 @@ def paired_lookup(spark, d):
 GOLD_CAP, POOL_CAP = 2_500, 10_000
 
 
-def judged(spark, d, keep=None, **columns):
+def judged(spark, d, **columns):
     """Columns of each pair of cases that share a label, made once for each pair of profiles."""
     c = cases(spark, d)
-    p = pairs.profile_pairs(c)
-    return pairs.expand((p if keep is None else p.filter(keep)).select("q_profile", "c_profile", *(x.alias(n) for n, x in columns.items())), c)
+    return pairs.expand(pairs.profile_pairs(c).select("q_profile", "c_profile", *(x.alias(n) for n, x in columns.items())), c)
 
 
 @query
@@ -178,12 +176,13 @@ def set_equal_join(spark, d):
 
 @query
 def legal_filter(spark, d):
-    return judged(spark, d, P.comparable("q", "c"))
+    c = cases(spark, d)
+    return pairs.expand(pairs.band_pairs(c, pairs.ratio_band).filter(P.comparable("q", "c")).select("q_profile", "c_profile"), c)
 
 
 def levels(spark, d):
     """q_profile, c_profile, n, level of the pairs of profiles that have a level."""
-    p = pairs.profile_pairs(cases(spark, d))
+    p = pairs.band_pairs(cases(spark, d), pairs.ratio_band)
     return p.select("q_profile", "c_profile", "n", P.similarity_level("q", "c").alias("level")).filter("level > 0")
 
 
@@ -214,9 +213,17 @@ def vector_pairs(spark, d, cap=GOLD_CAP):
     return p.withColumn("cos", F.round(vectors.cosine(F.col("qv"), F.col("cv")), 6)).drop("qv", "cv", "qv_id", "cv_id")
 
 
+def found_pairs(spark, d):
+    """The pairs that are scored: each query with its 100 nearest cases, their cosine and both sides' fields."""
+    e, c = embeddings(spark, d), cases(spark, d)
+    found = vectors.exact_top_k(e, pairs.queries_of(e), 100).withColumnRenamed("score", "cos").drop("rank")
+    both = found.join(pairs.side(c, "q"), F.col("query_id") == F.col("q_id")).join(pairs.side(c, "c"), F.col("case_id") == F.col("c_id"))
+    return both.drop("query_id", "case_id")
+
+
 @query
 def embedding_ramp(spark, d):
-    return vector_pairs(spark, d).select("q_id", "c_id", F.round(S.embedding_ramp(F.col("cos")), 6).alias("score"))
+    return found_pairs(spark, d).select("q_id", "c_id", F.round(S.embedding_ramp(F.col("cos")), 6).alias("score"))
 
 
 def keyword_sets(spark, d):
@@ -239,7 +246,7 @@ def keyword_part():
 
 @query
 def jaccard_score(spark, d):
-    return with_keywords(pairs.label_pairs(cases(spark, d), GOLD_CAP), spark, d).select("q_id", "c_id", F.round(keyword_part(), 6).alias("score"))
+    return with_keywords(found_pairs(spark, d), spark, d).select("q_id", "c_id", F.round(keyword_part(), 6).alias("score"))
 
 
 @query
@@ -248,13 +255,16 @@ def legal_score(spark, d):
 
 
 def scored_pairs(spark, d, cap=GOLD_CAP):
-    p = with_keywords(vector_pairs(spark, d, cap), spark, d)
-    return p.withColumn("total", F.round(S.embedding_ramp(F.col("cos")) + keyword_part() + S.law_score("q", "c"), 6))
+    return with_total(vector_pairs(spark, d, cap), spark, d)
+
+
+def with_total(p, spark, d):
+    return with_keywords(p, spark, d).withColumn("total", F.round(S.embedding_ramp(F.col("cos")) + keyword_part() + S.law_score("q", "c"), 6))
 
 
 @query
 def total_score(spark, d):
-    return scored_pairs(spark, d).select("q_id", "c_id", "total")
+    return with_total(found_pairs(spark, d), spark, d).select("q_id", "c_id", "total")
 
 
 @query
@@ -335,19 +345,6 @@ def diverse_sample(spark, d):
     return pairs.full_groups(pairs.top(p, "q_id", 8, F.desc("total"), F.col("c_id")), "q_id", 8).select("q_id", "c_id", "total", "rank")
 
 
-@query
-def clean_groups(spark, d):
-    """Confident mismatches: a dirty query drops its group, a dirty positive its row. Truth is the
-    language; the stand-in classifier's confidence is a function of the id."""
-    c = cases(spark, d)
-    conf = (F.col("case_id") * 37 % 100) / 100
-    pred = F.when(F.col("case_id") % 4 == 0, "en").otherwise(F.col("lang"))
-    flag = c.select("case_id", ((pred != F.col("lang")) & (conf > 0.85)).alias("dirty"))
-    g = tiered_gold(spark, d)
-    qf, pf = flag.select(F.col("case_id").alias("a"), F.col("dirty").alias("q_dirty")), flag.select(F.col("case_id").alias("b"), F.col("dirty").alias("p_dirty"))
-    return g.join(qf, F.col("q_id") == F.col("a")).join(pf, F.col("c_id") == F.col("b")).filter("not q_dirty and not p_dirty").select("q_id", "c_id", "level")
-
-
 def gold_hits(spark, d):
     """Dense results against tiered gold: hit, and the positives of a query, at most 10."""
     e = embeddings(spark, d)
@@ -488,14 +485,12 @@ def history_tail(spark, d):
 
 @query
 def field_diff(spark, d):
-    """Fields that one of two extractions has and the other hasn't."""
-    c = cases(spark, d)
-    f = c.select("case_id", *(r.column(X.one_line(F.col("fact"))).alias(n) for n, r in list(X.FIELDS.items())[:6]))
-    other = c.select(F.col("case_id").alias("id"), *(r.column(F.substring(X.one_line(F.col("fact")), 1, 200)).alias(f"o_{n}") for n, r in list(X.FIELDS.items())[:6]))
-    j = f.join(other, F.col("case_id") == F.col("id"))
-    names = list(X.FIELDS)[:6]
-    diff = F.array_compact(F.array(*(F.when(X.meaningful(F.col(n)) != X.meaningful(F.col(f"o_{n}")), F.lit(n)) for n in names)))
-    return j.select("case_id", F.array_join(diff, ",").alias("diff_fields"), F.size(diff).cast("long").alias("n_diff"))
+    """Fields, of all, that one of two extractions of whole texts has and the other hasn't: the rules on a
+    text, and on what its last line break leaves of it."""
+    c = cases(spark, d).select("case_id", X.one_line(F.col("fact")).alias("line"), X.one_line(X.without_last_line(F.col("fact"))).alias("rest"))
+    has = lambda r, text: X.meaningful(r.column(F.col(text)))
+    diff = F.array_compact(F.array(*(F.when(has(r, "line") != has(r, "rest"), F.lit(n)) for n, r in X.FIELDS.items())))
+    return c.select("case_id", diff.alias("diff")).select("case_id", F.array_join("diff", ",").alias("diff_fields"), F.size("diff").cast("long").alias("n_diff"))
 
 
 @query

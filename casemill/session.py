@@ -7,18 +7,30 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: Bytes of one Arrow batch, so long texts come few at a time.
+BATCH_BYTES = 2 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed."""
+    """Let Python workers import this package where it isn't installed, and bound the size of their batches."""
     root = str(Path(__file__).resolve().parents[1])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write df to a folder of its own and read it back: what is read more than once is made once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one that spark.checkpoint.dir names; a temporary one in local mode only."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
