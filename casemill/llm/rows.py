@@ -49,7 +49,7 @@ def without(rows: DataFrame, on: dict[str, Column], keys: DataFrame) -> DataFram
     wrong = stash(slim.distinct().join(keys, list(on), "left_anti"), "passed-wrongly")
     if not wrong.limit(1).count():
         return kept
-    names = {n: f"__{n}" for n in on}
+    names = {n: f"__wrong_{n}" for n in on}
     back = Sieve(wrong).passing(sieve.passing(rows, *on.values()), *on.values())
     wrong = wrong.select(*(F.col(n).alias(o) for n, o in names.items()))
     same = [on[n] == F.col(o) for n, o in names.items()]

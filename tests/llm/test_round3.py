@@ -221,9 +221,9 @@ def test_manifest_of_odd_rows_and_deep_trees(spark, monkeypatch, levels):
 
 
 def test_without_equals_an_anti_join(spark, monkeypatch):
-    docs = spark.createDataFrame([(i % 700 if i % 9 else None, "t", i) for i in range(2000)], "doc_id long, block string, w0 long")
+    docs = spark.createDataFrame([(i % 700 if i % 9 else None, "t", i) for i in range(2000)], "doc_id long, block string, w0 long").withColumns({"__k": F.lit(1), "k": F.lit(2), "__row": F.lit(3)})
     keys = spark.range(0, 700, 3).withColumnRenamed("id", "k")
-    want = sorted(docs.join(keys, docs.doc_id == keys.k, "left_anti").collect(), key=str)
+    want = sorted(docs.join(keys, docs.doc_id == keys["k"], "left_anti").collect(), key=str)
     for most in (rows.MOST_KEYS, 20):  # 20: a filter that nearly all rows pass
         monkeypatch.setattr(rows, "MOST_KEYS", most)
         assert sorted(rows.without(docs, {"k": F.col("doc_id")}, keys).collect(), key=str) == want
