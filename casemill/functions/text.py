@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +44,27 @@ def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+#: A token: a Han character, or a run of other letters and digits of any script.
+TOKEN = r"(?:\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]++)"
+
+
+def cut_at_token(text: Column, n: int, empty: str = "[EMPTY]") -> Column:
+    """The start of a text to the end of its n-th token, or `empty` for a text without tokens."""
+    start = F.regexp_extract(text, rf"^(?:[^\p{{L}}\p{{N}}]*+{TOKEN}){{0,{n}}}+", 0)
+    return F.coalesce(F.nullif(start, F.lit("")), F.lit(empty))
+
+
+def token_spans() -> Callable[[Column], Column]:
+    """A function of texts: array of (start, end), in characters, of the tokens; empty for a null text."""
+
+    @F.pandas_udf("array<struct<start: int, end: int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        find = re.compile(r"[一-鿿㐀-䶿豈-﫿]|(?:(?![一-鿿㐀-䶿豈-﫿_])\w)+").finditer
+        return pd.Series([[{"start": m.start(), "end": m.end()} for m in find(t or "")] for t in texts], dtype=object)
+
+    return spans
+
+
 def content_words(text: Column, stop: list[str]) -> Column:
     """Tokens of two characters or more that are neither stop words nor codes with digits."""
     keep = lambda w: (F.length(w) >= 2) & ~w.isin(*stop) & ~w.rlike("^[a-z]*[0-9]+[a-z]*$")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
-from ..operators import metrics, models, pairs, sparse, vectors
+from ..operators import batched, metrics, models, pairs, sparse, vectors
 from ..schema import cases, table
 from . import oracles as O
 from . import queries as Q
@@ -36,9 +36,11 @@ def fetch_k(top_k: int, rerank: bool) -> int:
     return min(RERANK_TOP_K, 2 * top_k) if rerank else top_k
 
 
-def hybrid_search(spark, d, mode: str = "hybrid", top_k: int | None = None, rerank: bool = True) -> DataFrame:
+def hybrid_search(spark, d, mode: str = "hybrid", top_k: int | None = None, rerank: bool = True, scorer: batched.Model | None = None) -> DataFrame:
     """query_id, case_id, score, rank and the case's fields, for every query of the search set.
 
+    scorer: a model of pairs of texts; without one the default score is computed in the plan.
+
     mode: dense, sparse or hybrid. Dense results come before sparse ones; the first of equal
     texts wins. Without rerank that order stays and the scores aren't comparable.
     """
@@ -56,7 +58,9 @@ def hybrid_search(spark, d, mode: str = "hybrid", top_k: int | None = None, rera
     order = [F.col("src_order"), F.col("src_rank")]
     if rerank:
         q = c.select(F.col("case_id").alias("qid"), F.col("fact").alias("q_fact"))
-        rows = rows.join(q, F.col("query_id") == F.col("qid")).withColumn("rerank_score", F.round(models.token_overlap(F.col("q_fact"), F.col("fact")), 6))
+        rows = rows.join(q, F.col("query_id") == F.col("qid"))
+        rows = batched.apply(rows, scorer, ["q_fact", "fact"], "raw") if scorer else rows.withColumn("raw", models.token_overlap(F.col("q_fact"), F.col("fact")))
+        rows = rows.withColumn("rerank_score", F.round("raw", 6))
         rows = rows.withColumn("score", F.coalesce(F.nullif("rerank_score", F.lit(0.0)), "score"))
         order = [F.desc("score"), F.col("case_id")]
     words = sparse.keyword_counts(c).groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("keyword")), " ").alias("matched_keywords"))
@@ -94,6 +98,12 @@ def search_hybrid(spark, d):
     return hybrid_search(spark, d, "hybrid", 8)
 
 
+@query(search_sql("hybrid", 8, True))
+def search_with_model(spark, d):
+    """search_hybrid with the pairs scored by a model in batches."""
+    return hybrid_search(spark, d, "hybrid", 8, scorer=batched.TokenOverlap())
+
+
 @query(search_sql("hybrid", 6, False))
 def search_no_rerank(spark, d):
     return hybrid_search(spark, d, "hybrid", 6, rerank=False)
@@ -273,11 +283,20 @@ def class_name_words(spark, d):
     return table(spark, d, "documents").select(name.alias("name"), F.array_join(words, " ").alias("words")).distinct()
 
 
-@query("SELECT doc_id, coalesce(nullif(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:254], ' '), ''), '[EMPTY]') AS cut FROM documents")
+@query(r"SELECT doc_id, coalesce(nullif(array_to_string(regexp_extract_all(text, '[^\pL\pN]*[\pL\pN]+')[1:254], ''), ''), '[EMPTY]') AS cut FROM documents")
 def truncated_text(spark, d):
-    """What a reranker of 512 tokens gets: the first 254 tokens, or a mark for a blank text."""
-    words = F.slice(X.ascii_tokens(F.col("text")), 1, 512 // 2 - 2)
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(F.array_join(words, " "), F.lit("")), F.lit("[EMPTY]")).alias("cut"))
+    """What a reranker of 512 tokens gets: the text's own start, to the end of its 254th token, or a mark for a text without any."""
+    return table(spark, d, "documents").select("doc_id", X.cut_at_token(F.col("text"), 512 // 2 - 2).alias("cut"))
+
+
+@query(r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pN]+')) AS token, generate_subscripts(regexp_extract_all(text, '[\pL\pN]+'), 1) AS place FROM documents) SELECT doc_id, count(*) AS n_tokens, sum(length(token))::BIGINT AS n_chars, md5(string_agg(token, ' ' ORDER BY place)) AS tokens FROM t GROUP BY doc_id")
+def token_spans(spark, d):
+    """Tokens by their spans: what stands between a span's ends is the token, in texts of any script."""
+    t = table(spark, d, "documents")
+    spans = t.select("doc_id", "text", F.posexplode(X.token_spans()(F.col("text"))).alias("place", "span"))
+    each = spans.select("doc_id", "place", F.substring("text", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("token"))
+    tokens = F.array_join(F.sort_array(F.collect_list(F.struct("place", "token")))["token"], " ")
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.length("token")).alias("n_chars"), F.md5(tokens).alias("tokens"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'label: ' || source END AS label FROM documents""")

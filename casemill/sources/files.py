@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import CASE_SCHEMA
+from ..session import stash
 
 
 def read_cases(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
@@ -44,22 +45,50 @@ def write_by(rows: DataFrame, column: str, path: str) -> None:
 
 
 def write_split(rows: DataFrame, keep: Column, kept: str, dropped: str) -> None:
-    """Two filtered writes; a null condition is a drop."""
-    good = F.coalesce(keep, F.lit(False))
-    rows.filter(good).write.parquet(kept)
-    rows.filter(~good).write.parquet(dropped)
+    """Two filtered writes of rows that are made once; a null condition is a drop."""
+    told = stash(rows.withColumn("__kept", F.coalesce(keep, F.lit(False))), "split")
+    told.filter("__kept").drop("__kept").write.parquet(kept)
+    told.filter("not __kept").drop("__kept").write.parquet(dropped)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def append_new(rows: DataFrame, key: str, path: str) -> int:
     """Append the rows whose key the table at path hasn't; gives how many there were. The
     table is made if there is none."""
     spark = rows.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     new = rows
-    if exists:
+    if exists(spark, path):
         done = spark.read.parquet(path).select(F.col(key).alias("__done"))
         new = rows.join(done, F.col(key) == F.col("__done"), "left_anti")
-    before = spark.read.parquet(path).count() if exists else 0
+    new = stash(new, "new-rows")
     new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    return new.count()
+
+
+def write_centroids(centroids: DataFrame, summary: DataFrame, path: str) -> None:
+    """The centroids as a table, and the classes' figures as JSON beside it."""
+    centroids.write.parquet(f"{path}/centroids")
+    summary.write.json(f"{path}/summary")
+
+
+def write_embeddings(rows: DataFrame, path: str) -> None:
+    """case_id, embedding (floats) and articles, ordered so that a range of ids is read from few files."""
+    out = rows.select("case_id", F.col("v").cast("array<float>").alias("embedding"), "articles")
+    out.repartitionByRange("case_id").sortWithinPartitions("case_id").write.parquet(path)
+
+
+def report_lines(title: str, figures: DataFrame) -> DataFrame:
+    """place, line of a plain text report of a table of figures, one line a row, in the order of its columns."""
+    told = F.concat_ws(", ", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in figures.columns))
+    w = Window.orderBy(*figures.columns)  # a report's rows are few
+    body = figures.select(F.row_number().over(w).alias("place"), told.alias("line"))
+    return figures.sparkSession.createDataFrame([(0, title)], "place int, line string").unionByName(body)
+
+
+def write_report(title: str, figures: DataFrame, path: str) -> None:
+    """report_lines as one text file."""
+    report_lines(title, figures).coalesce(1).sortWithinPartitions("place").select("line").write.text(path)

@@ -36,6 +36,14 @@ def test_query_equals_sql(spark, duck, name):
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(want.fetchall(), names)
 
 
+def test_recall_and_bounds_are_told(spark):
+    q = entry.queries()
+    told = q["ivf_recall"](spark, DATA).first()
+    assert told["recall"] >= 0.9 and 0 < told["scored"] <= 1
+    assert all(0 < r["scored"] <= r["corpus"] for r in q["sparse_rows_scored"](spark, DATA).collect())
+    assert all(r["searched"] <= r["cells"] for r in q["bounded_cells"](spark, DATA).collect())
+
+
 @pytest.mark.parametrize("name", ["fuzzy_label_map", "model_extract", "model_embed"])
 def test_other_queries_give_a_row_for_each_document(spark, name):
     assert entry.queries()[name](spark, DATA).count() == 200
