@@ -7,7 +7,8 @@ of the template's words matched within one stretch of text not much longer than
 
 Only a text that has at least the wanted share of a template's words is aligned with it: the
 coverage can't exceed that share. The words that tell a license from its kin, such as the
-version, have to stand in the matched stretch, and those of its kin mustn't.
+version, have to stand in the matched stretch, and those of its kin mustn't; nor may a denial stand
+within four words before it.
 
 Defined results: a null or wordless text has no license; templates without words are left
 out; ties go to the longer template, then to the name; a null doc_id is carried; repeated rows are
@@ -34,23 +35,28 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "GPL-3.0-short": "Licensed under the GNU GPL v3.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "BSD-4-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
 }
 #: Fixed value: the notice of a program under a GNU license.
 GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. You should have received a copy of the GNU {kind} along with this program."
-KINDS = {"GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
+KINDS = {"GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-2.1": ("Lesser General Public License", "2.1"), "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
 TEMPLATES |= {f"{name}-notice": GNU.format(kind=kind, version=v) for name, (kind, v) in KINDS.items()}
 #: Words of a template without which a text isn't of that license, whatever the coverage: its family
 #: and its version or kind. The BSD sentence is of all BSD licenses, hence its name.
-DISTINCT = {"Apache-2.0": ["apache", "2.0"], "Apache-2.0-header": ["apache", "2.0"], "MIT": ["mit"], "GPL-3.0": ["gnu", "general", "public", "3"], "CC-BY-NC-4.0": ["cc", "by-nc", "4.0"], "BSD-3-Clause": ["endorse", "promote"]}
+DISTINCT = {"Apache-2.0": ["apache", "2.0"], "Apache-2.0-header": ["apache", "2.0"], "MIT": ["mit"], "GPL-3.0": ["gnu", "general", "public", "3"], "CC-BY-NC-4.0": ["cc", "by-nc", "4.0"], "BSD-3-Clause": ["endorse", "promote"], "BSD-4-Clause": ["endorse", "advertising"], "GPL-3.0-short": ["gnu", "gpl", "v3"]}
+DISTINCT |= {name: ["subject", "conditions", "notice", "substantial"] for name in ("MIT-text", "MIT-full")}  # MIT without its condition is another license
 DISTINCT |= {f"{name}-notice": ["gnu", *kind.lower().split(), v] for name, (kind, v) in KINDS.items()}
 #: Words that make a stretch one of a kin: it isn't of this license then.
-KIN = {name: ["lesser", "affero", "library"] for name in ("GPL-3.0", "GPL-2.0-notice", "GPL-3.0-notice")} | {"BSD-2-Clause": ["endorse"]}
+KIN = {name: ["lesser", "affero", "library"] for name in ("GPL-3.0", "GPL-2.0-notice", "GPL-3.0-notice")} | {"BSD-2-Clause": ["endorse", "advertising"], "BSD-3-Clause": ["advertising"], "BSD": ["advertising"]}
+#: Words of a denial shortly before a notice: the text says then that it isn't of this license.
+DENIALS, NEAR = {"not", "never", "isn", "aren", "nicht", "pas"}, 4
 COVERAGE = 0.8
 words = re.compile(r"[\w.+-]*\w", re.UNICODE).findall
 
@@ -139,6 +145,8 @@ def scan_text(text: str | None, templates: dict[str, list[str]], least: float, m
         if sum(w in have for w in template) >= least * len(template) and have.issuperset((must or {}).get(name, ())):
             share, s, e = coverage(own, template)
             stretch = set(own[s:e])
+            if not DENIALS.isdisjoint(own[max(0, s - NEAR) : s]):
+                continue
             if share >= least and stretch.issuperset((must or {}).get(name, ())) and stretch.isdisjoint((kin or {}).get(name, ())):
                 out.append((name, share, s, e))
     return sorted(out, key=lambda x: (-x[1], -len(templates[x[0]]), x[0]))

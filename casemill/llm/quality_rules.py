@@ -14,6 +14,7 @@ text aren't read.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -77,6 +78,11 @@ MEASURES: dict[str, Callable[[Text], object]] = {
     "n_repeat_words": lambda t: repeated_words(t.words),
     "n_upper": lambda t: sum(w.isupper() and len(w) > 1 for w in t.words),
     "n_shouts": lambda t: t.raw.count(b"!"),
+    "n_distinct": lambda t: len(set(t.words)),
+    "n_top": lambda t: max(Counter(t.words).values(), default=0),
+    "n_trigrams": lambda t: max(0, t.n_words - 2),
+    "n_distinct_trigrams": lambda t: len(set(zip(t.words, t.words[1:], t.words[2:], strict=False))),
+    "paragraphs": lambda t: [x for x in t.raw.split(b"\n\n") if x and not x.isspace()],
 }
 
 
@@ -93,6 +99,10 @@ RULES = [
     Rule("exclamations", lambda t: 4 * t.n_shouts > t.n_words and t.n_words >= 5),
     Rule("word_length", lambda t: t.n_words > 0 and not 2 * t.n_words <= t.word_chars <= 20 * t.n_words),
     Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > t.n_lines),
+    Rule("one_word", lambda t: 4 * t.n_top > t.n_words),
+    Rule("few_words", lambda t: 50 * t.n_distinct < t.n_words),
+    Rule("repeated_trigrams", lambda t: 2 * (t.n_trigrams - t.n_distinct_trigrams) > t.n_trigrams),
+    Rule("repeated_paragraphs", lambda t: 2 * (len(t.paragraphs) - len(set(t.paragraphs))) > len(t.paragraphs)),
 ]
 
 

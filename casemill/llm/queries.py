@@ -135,17 +135,21 @@ stats AS (SELECT rid, doc_id, len(words) AS n_words, length(array_to_string(word
                  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
                  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
                  len(list_filter(words, lambda w: regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]') AND strlen(w) > 1)) AS n_upper,
-                 length(text) - length(replace(text, '!', '')) AS n_shouts
+                 length(text) - length(replace(text, '!', '')) AS n_shouts,
+                 len(list_distinct(words)) AS n_distinct, coalesce(list_max(map_values(list_aggregate(words, 'histogram'))), 0)::BIGINT AS n_top,
+                 greatest(len(words) - 2, 0) AS n_trigrams, len(list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) AS n_distinct_trigrams,
+                 list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS paragraphs
           FROM split),
 grams AS (SELECT rid, i, array_to_string(list_slice(words, i, i + 7), ' ') AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM split WHERE len(words) >= 8)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM grams) WHERE c > 1),
 covered AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
-full_stats AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_upper, n_shouts, coalesce(n_repeat_words, 0) AS n_repeat_words FROM stats LEFT JOIN covered USING (rid)),
+full_stats AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_upper, n_shouts, n_distinct, n_top, n_trigrams, n_distinct_trigrams, paragraphs, coalesce(n_repeat_words, 0) AS n_repeat_words FROM stats LEFT JOIN covered USING (rid)),
 base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM full_stats)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 3 * greatest(1, n_words) OR (2 * n_upper > n_words AND n_words >= 5)
             OR (4 * n_shouts > n_words AND n_words >= 5) OR (n_words > 0 AND NOT word_chars BETWEEN 2 * n_words AND 20 * n_words)
-            OR 2 * n_dup_lines > greatest(1, n_lines)) AS kept
+            OR 2 * n_dup_lines > greatest(1, n_lines) OR 4 * n_top > n_words OR 50 * n_distinct < n_words
+            OR 2 * (n_trigrams - n_distinct_trigrams) > n_trigrams OR 2 * (len(paragraphs) - len(list_distinct(paragraphs))) > len(paragraphs)) AS kept
 FROM base
 """
 
