@@ -71,7 +71,7 @@ def centroid_summary(spark, d):
     return got.select("label", "n", *(F.round(c, 6).alias(c) for c in ("avg_std", "min_dist", "max_dist")))
 
 
-@query(f"WITH {O.HITS}, m AS ({O.metric_rows('hits')}) SELECT 0 AS place, 'retrieval' AS line UNION ALL SELECT row_number() OVER (ORDER BY k), 'k: ' || k || ', n_queries: ' || n_queries FROM m")
+@query(f"WITH {O.HITS}, m AS ({O.metric_rows('hits')}) SELECT 0::INTEGER AS place, 'retrieval' AS line UNION ALL SELECT (row_number() OVER (ORDER BY k))::INTEGER, 'k: ' || k || ', n_queries: ' || n_queries FROM m")
 def report_text(spark, d):
     """A text report of the retrieval metrics, written and read back as lines."""
     path = new_folder(spark, "report")
