@@ -25,8 +25,8 @@ def queries_of(cases: DataFrame) -> DataFrame:
     return cases.filter(F.col("case_id") % 20 == 0)
 
 
-def label_pairs(cases: DataFrame, cap: int) -> DataFrame:
-    """(q_*, c_*) for each query and at most `cap` other cases of each of its labels, in seeded order.
+def label_pairs(cases: DataFrame, cap: int, asked: DataFrame | None = None) -> DataFrame:
+    """(q_*, c_*) for each query (those of `asked`, some of the cases, or the query set) and at most `cap` other cases of each of its labels, in seeded order.
     A label's candidates are cut before the join, so it meets cap + 1 rows of a label, whatever the
     label's size. A pair comes once, at the first of its labels that lets it in."""
     each = cases.select("case_id", F.explode("accusation").alias("label"))
@@ -34,7 +34,7 @@ def label_pairs(cases: DataFrame, cap: int) -> DataFrame:
     places = few.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "place"))).alias("places"))
     placed = lambda s: places.select(F.col("case_id").alias(f"{s}p_id"), F.col("places").alias(f"{s}_places"))
     c = side(cases, "c").join(placed("c"), F.col("c_id") == F.col("cp_id")).drop("cp_id").withColumn("c_label", F.explode(F.map_keys("c_places")))
-    q = side(queries_of(cases), "q").join(placed("q"), F.col("q_id") == F.col("qp_id"), "left").drop("qp_id").withColumn("label", F.explode("q_accusation"))
+    q = side(queries_of(cases) if asked is None else asked, "q").join(placed("q"), F.col("q_id") == F.col("qp_id"), "left").drop("qp_id").withColumn("label", F.explode("q_accusation"))
 
     def let_in(label: Column) -> Column:
         """A query among its label's first doesn't count against the cap."""

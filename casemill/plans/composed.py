@@ -311,3 +311,76 @@ def single_label_recall(spark, d):
     """Recall of single-label cases against the centroids of single-label cases."""
     ranks = centroid_ranks(M.single_label(spark, d))
     return ranks.agg(*(F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_{k}") for k in (1, 3, 5, 10)), F.count("*").alias("n"))
+
+
+# --- gold sets on samples, cleaned samples, factor discovery
+
+
+SAMPLE = f"""sample AS (SELECT case_id FROM (SELECT *, row_number() OVER (PARTITION BY label_set ORDER BY {O.seeded('case_id')}, case_id) AS n FROM (SELECT case_id, array_to_string(accusation, '|') AS label_set FROM cases
+  WHERE length(fact) BETWEEN 300 AND 700 AND len(accusation) > 0)) WHERE n = 1 ORDER BY {O.seeded('case_id')}, case_id LIMIT 100)"""
+
+
+@query(f"""WITH {O.CASES}, {SAMPLE}, {O.EMB}, {O.COUNTS}, {O.LEX}, {O.KSETS}, {O.capped(2500, 'q.case_id IN (SELECT case_id FROM sample)')}, {O.VPAIRS}, {O.with_kw('vpairs', 'kpairs')}, scored AS (SELECT *, {O.TOTAL} AS total FROM kpairs),
+t AS ({O.topk('scored', 'q_id', 10, 'total DESC, c_id', 'q_id, c_id, total::DOUBLE AS total')}) {O.full('t', 'q_id', 10, 'q_id, c_id, total, rank')}""")
+def sampled_gold(spark, d):
+    """A gold set for the sample of distinct label sets: the ten best by total score, full groups only."""
+    c = cases(spark, d)
+    asked = c.join(F.broadcast(stash(Q.label_set_sample(spark, d).select("case_id"), "sample")), "case_id", "left_semi")  # 100 rows at most
+    p = Q.with_total(Q.vector_pairs(spark, d, asked=asked), spark, d)
+    return pairs.full_groups(pairs.top(p, "q_id", 10, F.desc("total"), F.col("c_id")), "q_id", 10).select("q_id", "c_id", "total", "rank")
+
+
+@query(f"WITH diverse AS ({O.oracles()['diverse_sample']}), {M.VOTED} SELECT q_id, c_id, total, rank FROM diverse JOIN flags q ON q.case_id = q_id JOIN flags p ON p.case_id = c_id WHERE NOT q.dirty AND NOT p.dirty")
+def diverse_clean(spark, d):
+    """The diverse sample without groups of dirty queries and without dirty positives."""
+    flag = stash(M.mismatches(spark, d).select("case_id", "dirty"), "flags")
+    rows = Q.diverse_sample(spark, d).join(flag.select(F.col("case_id").alias("a"), F.col("dirty").alias("q_dirty")), F.col("q_id") == F.col("a"))
+    rows = rows.join(flag.select(F.col("case_id").alias("b"), "dirty"), F.col("c_id") == F.col("b"))
+    return rows.filter("not q_dirty and not dirty").select("q_id", "c_id", "total", "rank")
+
+
+class FirstWords:
+    """The default extractor of factors: a prompt's case by its first three words."""
+
+    kind, default = "struct<subject: string, action: string, result: string>", {"subject": None, "action": None, "result": None}
+
+    def load(self) -> None: ...
+
+    def run(self, inputs: list[tuple]) -> list[dict]:
+        words = [p.rpartition("Case: ")[2].split() + [None] * 3 for (p,) in inputs]
+        return [dict(zip(("subject", "action", "result"), w, strict=False)) for w in words]
+
+
+def discovered(spark, d, group: str, most: int):
+    """At most `most` cases of each category or class, with the factors that a model finds in them, written by
+    group and read back."""
+    c = cases(spark, d).withColumn("class", F.get("accusation", F.lit(0))).filter("class is not null")
+    c = c.withColumn("category", F.when(F.col("class") == "src0", "large").when(F.col("class") == "src1", "odd").when(F.col("class") == "src2", "even").otherwise("other"))
+    picked = pairs.seeded_caps(c, group, most)
+    asked = picked.select("case_id", group, batched.prompt(F.col("category"), references=F.lit(""), text=X.cut_at_token(F.col("fact"), 50)).alias("prompt"))
+    made = batched.apply(asked, FirstWords(), ["prompt"], "factors")
+    path = new_folder(spark, "factors")
+    files.write_by(made.select("case_id", group, "factors.*", "factors_failed"), group, path)
+    return spark.read.schema(f"case_id long, subject string, action string, result string, factors_failed boolean, {group} string").parquet(path)
+
+
+def discovered_sql(group: str, most: int) -> str:
+    category = "CASE accusation[1] WHEN 'src0' THEN 'large' WHEN 'src1' THEN 'odd' WHEN 'src2' THEN 'even' ELSE 'other' END"
+    return f"""WITH {O.CASES}, g AS (SELECT case_id, {'accusation[1]' if group == 'class' else category} AS {group} FROM cases WHERE len(accusation) > 0),
+picked AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {O.seeded('case_id')}, case_id) AS nth FROM g)
+SELECT {group}, count(*) AS n, count(*) AS n_found, md5(string_agg(case_id::VARCHAR, ',' ORDER BY case_id)) AS ids FROM picked WHERE nth <= {most} GROUP BY {group}"""
+
+
+def discovery_summary(rows, group: str):
+    ids = F.md5(F.array_join(F.sort_array(F.collect_list("case_id")).cast("array<string>"), ","))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(~F.col("factors_failed")).alias("n_found"), ids.alias("ids"))
+
+
+@query(discovered_sql("category", 100))
+def factors_by_category(spark, d):
+    return discovery_summary(discovered(spark, d, "category", 100), "category")
+
+
+@query(discovered_sql("class", 20))
+def factors_by_class(spark, d):
+    return discovery_summary(discovered(spark, d, "class", 20), "class")

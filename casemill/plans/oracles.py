@@ -61,11 +61,11 @@ def seeded(c: str) -> str:
 PAIRS = f"pairs AS ({sides('FROM cases q JOIN cases c ON q.case_id % 20 = 0 AND q.case_id <> c.case_id AND list_has_any(q.accusation, c.accusation)')})"
 
 
-def capped(cap: int) -> str:
+def capped(cap: int, where: str = "q.case_id % 20 = 0") -> str:
     """pairs() with at most cap candidates for each query and label."""
     return f"""labelled AS (SELECT case_id, unnest(accusation) AS label FROM cases),
 met AS (SELECT DISTINCT q_id, c_id FROM (SELECT q.case_id AS q_id, c.case_id AS c_id, row_number() OVER (PARTITION BY q.case_id, label ORDER BY {seeded('c.case_id')}, c.case_id) AS n
-  FROM labelled q JOIN labelled c USING (label) WHERE q.case_id % 20 = 0 AND q.case_id <> c.case_id) WHERE n <= {cap}),
+  FROM labelled q JOIN labelled c USING (label) WHERE {where} AND q.case_id <> c.case_id) WHERE n <= {cap}),
 pairs AS ({sides('FROM met JOIN cases q ON q.case_id = q_id JOIN cases c ON c.case_id = c_id')})"""
 
 

@@ -205,11 +205,11 @@ def imprisonment_tolerance(spark, d):
     return judged(spark, d, within=P.within_tolerance("q", "c"))
 
 
-def vector_pairs(spark, d, cap=GOLD_CAP):
+def vector_pairs(spark, d, cap=GOLD_CAP, asked=None):
     """Capped label pairs that both have vectors, with their cosine."""
     e = embeddings(spark, d)
     q, c = e.select(F.col("case_id").alias("qv_id"), F.col("v").alias("qv")), e.select(F.col("case_id").alias("cv_id"), F.col("v").alias("cv"))
-    p = pairs.label_pairs(cases(spark, d), cap).join(q, F.col("q_id") == F.col("qv_id")).join(c, F.col("c_id") == F.col("cv_id"))
+    p = pairs.label_pairs(cases(spark, d), cap, asked).join(q, F.col("q_id") == F.col("qv_id")).join(c, F.col("c_id") == F.col("cv_id"))
     return p.withColumn("cos", F.round(vectors.cosine(F.col("qv"), F.col("cv")), 6)).drop("qv", "cv", "qv_id", "cv_id")
 
 
