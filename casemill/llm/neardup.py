@@ -177,9 +177,9 @@ def star_pairs(texts: DataFrame, classes: DataFrame, met: DataFrame) -> DataFram
     return ordered_pairs(inside.union(across.select(F.explode(F.array("low", "high")).alias("x"), F.col("low2").alias("y"))))
 
 
-def open_points(texts: DataFrame, points: DataFrame, reached: DataFrame, keep: Scratch) -> DataFrame:
-    """(point, x, component, main, cells): the members of points whose members are in several
-    components; main is the most frequent one."""
+def open_points(texts: DataFrame, points: DataFrame, reached: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(point, x, component): the members of points whose members are in several components, and
+    (point, main, cells) of these points; main is the most frequent component."""
     joined = texts.join(reached, F.col("rep") == F.col("node"), "left")
     each = coded(joined.select("rep", "fp", "n", "fps", F.coalesce("component", "rep").alias("component")))
     span = each.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -187,20 +187,27 @@ def open_points(texts: DataFrame, points: DataFrame, reached: DataFrame, keep: S
     members = keep(points.join(still.select("point"), "point", "left_semi").join(each, "code").select("point", "x", "component"), "open-members")
     main = members.groupBy("point", "component").count().groupBy("point")
     main = main.agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.ceil(F.sum("count") / CELL_ROWS).alias("cells"))
-    return members.join(main, "point")
+    return members, keep(main, "open-points")
 
 
-def pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
+def outside(members: DataFrame, main: DataFrame) -> DataFrame:
+    """The open members: those that aren't of their point's most frequent component."""
+    ends = main.select(F.col("point").alias("p"), "main")
+    return members.join(ends, (F.col("point") == F.col("p")) & (F.col("component") == F.col("main")), "left_anti")
+
+
+def pivot_pairs(members: DataFrame, main: DataFrame, turn: int) -> DataFrame:
     """(a, b): the open members of each point with two of them."""
-    still = members.filter("component <> main").withColumn("at", F.struct(F.xxhash64("x.rep", F.lit(turn)), "x"))
+    still = outside(members, main).withColumn("at", F.struct(F.xxhash64("x.rep", F.lit(turn)), "x"))
     ends = still.groupBy("point").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     return ordered_pairs(still.join(ends, "point").select("x", F.explode(F.array("low.x", "high.x")).alias("y")))
 
 
-def all_pairs(members: DataFrame) -> DataFrame:
+def all_pairs(members: DataFrame, main: DataFrame) -> DataFrame:
     """(a, b): the open members of each point with every member of another component."""
-    left = members.filter("component <> main").select("point", "x", F.col("component").alias("c"), F.pmod(F.xxhash64("x.rep"), "cells").alias("cell"))
-    right = members.select("point", F.col("x").alias("y"), "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
+    cells = main.select("point", "cells")
+    left = outside(members, main).join(cells, "point").select("point", "x", F.col("component").alias("c"), F.pmod(F.xxhash64("x.rep"), "cells").alias("cell"))
+    right = members.join(cells, "point").select("point", F.col("x").alias("y"), "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
     return ordered_pairs(left.join(right, ["point", "cell"]).filter("c <> component").filter(may_be_near("x", "y")).select("x", "y"))
 
 
@@ -212,10 +219,10 @@ def near_components(texts: DataFrame, docs: DataFrame, keep: Scratch) -> DataFra
     tried = keep(star_pairs(texts, classes, met), "pairs")
     good = keep(verified(tried, docs, keep), "near-pairs")
     for turn in range(PIVOTS + 1):
-        members = keep(open_points(texts, points, components(good, keep), keep), "open-points")
+        members, main = open_points(texts, points, components(good, keep), keep)
         if not members.limit(1).count():
             break
-        more = all_pairs(members) if turn == PIVOTS else pivot_pairs(members, turn)
+        more = all_pairs(members, main) if turn == PIVOTS else pivot_pairs(members, main, turn)
         more = keep(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
             good, tried = good.union(keep(verified(more, docs, keep), "near-pairs")), tried.union(more)
