@@ -2,8 +2,9 @@
 
 A document's worth is linear in its features, and the log-odds that document a is preferred
 to b are worth(a) - worth(b). So a logistic regression without intercept on the differences
-of the features of preferred and other labelled documents learns the weights. The threshold
-is a quantile of the labelled documents' worths: the share of documents labelled 0.
+of the features of preferred and other labelled documents learns the weights. All labelled
+documents that aren't held out are learnt from, each in at least one pair. The threshold
+is the exact quantile of all their worths: the share of documents labelled 0.
 
 score = sigmoid(worth - threshold + log-odds of CUT), so a score of CUT is the threshold.
 
@@ -27,13 +28,14 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ready, stash, utf8
+from .common import Scratch, ready, small, stash, utf8
+from .rows import Sieve, placed
 
 CUT = 0.3
-#: At most so many labelled documents are learnt from, the least by a hash of their id; with
-#: fewer, all are.
-SAMPLE_ROWS = 20_000
+#: Rows of one kind that are told to all tasks, else they meet the other kind by a shuffle.
+FEW = 10_000
 #: Preferred partners of each document labelled 0.
 PARTNERS = 8
 SYMBOL_BYTES = b"#*$%&|<>!@^~_=+{}[]\\"
@@ -94,22 +96,50 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """label, features of the labelled documents that are learnt from."""
-    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
-    known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumnRenamed("doc_id", "__id")
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, features of all labelled documents that aren't held out. Only features meet labels, no texts."""
+    own = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("__id")
+    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(own).agg(F.max("quality").cast("double").alias("label"))
+    known = stash(known.filter(~held_out("__id")), "quality-labels")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "x": pd.Series([features(bytes(t)) for t in b["text"]], dtype=object)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": pd.Series([features(bytes(t)) for t in b["text"]], dtype=object)})
 
-    rows = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    return rows.select("label", "text").mapInPandas(run, "label double, x array<double>")
+    rows = Sieve(known.select("__id")).passing(docs.select("doc_id", utf8().alias("text")), F.col("doc_id"))
+    made = rows.mapInPandas(run, T.StructType([docs.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    return made.join(known, F.col("doc_id") == F.col("__id")).select("label", "x")
+
+
+def quantile(values: DataFrame, share: float, n: int, keep: Scratch) -> float:
+    """The exact quantile of the n values of the column `value`, between two of them in proportion. They are sorted over
+    ranges, so no task has all."""
+    at = share * (n - 1)
+    low, high = math.floor(at), math.ceil(at)
+    found = placed(values.withColumn("grp", F.lit(0)), keep, "value").filter(F.col("pos").isin(low, high)).select("pos", "value")
+    value = {r["pos"]: r["value"] for r in found.collect()}
+    return value[low] + (at - low) * (value[high] - value[low])
+
+
+def preferences(rows: DataFrame, zeros: int, ones: int, partners: int) -> DataFrame:
+    """x1, x0 and a number k of pairs of documents labelled 1 and 0, of rows(label, x, pos), pos being from 0 on in each label.
+    Each document labelled 0 has `partners` preferred ones; if that leaves out some of these, each of these has one instead."""
+    low, high = rows.filter("label = 0").select(F.col("pos").alias("i"), F.col("x").alias("x0")), rows.filter("label = 1").select(F.col("pos").alias("j"), F.col("x").alias("x1"))
+    if ones > zeros * partners:
+        high = high.select(F.pmod("j", F.lit(zeros)).alias("i"), F.floor(F.col("j") / zeros).alias("k"), "x1")
+        return high.join(small(low, zeros, FEW), "i").select("x1", "x0", "k")
+    low = low.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(partners - 1))))
+    low = low.withColumn("j", F.pmod(F.col("i") * partners + F.col("k"), F.lit(ones)))
+    return low.join(small(high, ones, FEW), "j").select("x1", "x0", "k")
 
 
 def fit(rows: DataFrame, partners: int = PARTNERS, ridge: float = 1e-3) -> Ranker:
-    """Learn from (label, x) by logistic loss on differences of features."""
-    rows = stash(rows, "quality-rows")
+    """Learn from all of (label, x) by logistic loss on differences of features."""
+    with Scratch(rows.sparkSession) as keep:
+        return _fit(keep(rows, "quality-rows"), partners, ridge, keep)
+
+
+def _fit(rows: DataFrame, partners: int, ridge: float, keep: Scratch) -> Ranker:
     size = len(FEATURES)
     each = [F.col("x")[i] for i in range(size)]
     stats = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0)), *(F.avg(c) for c in each), *(F.stddev_pop(c) for c in each)).first()
@@ -117,23 +147,19 @@ def fit(rows: DataFrame, partners: int = PARTNERS, ridge: float = 1e-3) -> Ranke
     if not 0 < ones < n:
         return UNDECIDED
     centre, spread = list(stats[2 : 2 + size]), [s or 1.0 for s in stats[2 + size :]]
-    scaled = rows.withColumn("x", F.array(*((F.col("x")[i] - centre[i]) / spread[i] for i in range(size))))
-
-    def numbered(label: int) -> DataFrame:
-        own = scaled.filter(F.col("label") == label).coalesce(1)  # at most SAMPLE_ROWS rows of a few numbers
-        return own.select(F.monotonically_increasing_id().alias("i"), F.col("x").alias(f"x{label}"))
+    scaled = F.array(*((F.col("x")[i] - centre[i]) / spread[i] for i in range(size)))
 
-    low = numbered(0).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(partners - 1))))
-    pairs = low.withColumn("j", F.pmod(F.col("i") * partners + F.col("k"), F.lit(ones))).join(numbered(1).withColumnRenamed("i", "j2"), F.col("j") == F.col("j2"))
+    # in the order of a hash, so which documents are paired doesn't hang on the files
+    numbers = placed(rows.select(F.col("label").alias("grp"), scaled.alias("x"), F.xxhash64("x").alias("h")), keep, "h")
+    pairs = preferences(numbers.select(F.col("grp").alias("label"), "x", "pos"), n - ones, ones, partners)
     sign = F.when(F.col("k") % 2 == 0, 1.0).otherwise(-1.0)
     pairs = pairs.withColumn("sign", sign).select(F.when(F.col("sign") > 0, 1.0).otherwise(0.0).alias("label"), F.transform(F.zip_with("x1", "x0", lambda a, b: a - b), lambda d: d * F.col("sign")).alias("d"))
 
-    pairs = pairs.select("label", array_to_vector("d").alias("features")).coalesce(4)
+    pairs = keep(pairs, "quality-pairs").select("label", array_to_vector("d").alias("features"))
     model = LogisticRegression(fitIntercept=False, standardization=False, regParam=ridge, maxIter=60, tol=1e-6).fit(pairs)
     weights = [w / s for w, s in zip(model.coefficients.toArray().tolist(), spread, strict=True)]
     worth = sum(((F.col("x")[i] - centre[i]) * weights[i] for i in range(size)), F.lit(0.0))
-    threshold = rows.agg(F.percentile(worth, F.lit(1 - ones / n))).first()[0]
-    return Ranker(centre, weights, float(threshold))
+    return Ranker(centre, weights, quantile(rows.select(worth.alias("value")), 1 - ones / n, n, keep))
 
 
 def score(docs: DataFrame, ranker: Ranker, keep: bool = False) -> DataFrame:
