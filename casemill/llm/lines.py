@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, ready, small, stash, utf8
-from .hashing import mixed, words_of
+from .hashing import by_eights, hashed, mixed, words_of
 from .rows import Sieve, numbered
 
 #: Buckets of words, by the leading bits of their hashes, that are counted for rarity, in slices.
@@ -96,7 +96,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
-            for _, _, h in words_of(x.as_buffer() for x in b["text"]):
+            for _, _, h in words_of((x.as_buffer() for x in b["text"]), by_eights):
                 np.add.at(total, h >> np.uint64(64 - BUCKET_BITS), 1)
         yield from rows(total)
 
@@ -114,10 +114,10 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def whole_lines(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def whole_lines(texts, hashes=hashed) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """words_of in batches that end at the ends of lines."""
     held: list[tuple[np.ndarray, ...]] = []
-    for got in words_of(texts):
+    for got in words_of(texts, hashes):
         text, line, _ = got
         if held and (text[-1], line[-1]) == (held[-1][0][-1], held[-1][1][-1]):
             held.append(got)
@@ -144,34 +144,40 @@ def binaries(data: np.ndarray, counts: np.ndarray, missing: np.ndarray | None =
 def line_sets(doc: np.ndarray, row: np.ndarray, batch, counts: np.ndarray, rank: np.ndarray, t: Fraction, cell_rows: int) -> pa.RecordBatch:
     """A batch's lines with words, as line_rows gives them."""
     text, line, h = batch
-    at = np.zeros(len(h), np.int64)
-    np.cumsum((text[1:] != text[:-1]) | (line[1:] != line[:-1]), out=at[1:])
+    new_line = np.ones(len(h), bool)
+    new_line[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+    at = np.cumsum(new_line) - 1
     bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     code = at << 44 | rank[bucket].astype(np.int64) << 24 | (h & np.uint64(0xFFFFFF)).astype(np.int64)
     order = np.argsort(code)
-    if ((np.diff(code[order]) == 0) & (np.diff(h[order]) != 0)).any():  # other words of one code
-        order = np.lexsort((h, code))
-    own, at = h[order], code[order] >> 44
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
-    h, at = own[new], at[new]  # each line's distinct words, the rarest first
+    own, code = h[order], code[order]
+    new, other = np.ones(len(own), bool), code[1:] != code[:-1]
+    new[1:] = own[1:] != own[:-1]
+    if (new[1:] & ~other).any():  # other words of one code
+        own = own[np.lexsort((own, code))]
+        new[1:] = own[1:] != own[:-1]
+    new[1:] |= other
+    h, at = own[new], code[new] >> 44  # each line's distinct words, the rarest first
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     size = np.diff(np.r_[starts, len(at)])
     keys = np.stack([np.add.reduceat(mixed(h, k), starts) for k in (0, 1)], axis=1)
     cell = np.repeat(np.arange(len(size)), size) * CELLS + (h & np.uint64(CELLS - 1)).astype(np.int64)
     count = (np.bincount(cell, minlength=len(size) * CELLS) & 15).astype(np.uint8).reshape(-1, CELLS)
     count = (count[:, 0::2] | count[:, 1::2] << 4).view("<i8")
-    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
-    text, line = text[first], line[first]
-    again = pd.DataFrame({"t": text, "a": keys[:, 0], "b": keys[:, 1]}).duplicated().to_numpy()
+    text, line = text[new_line], line[new_line]
+    order = np.lexsort((keys[:, 1], keys[:, 0], text))  # stable: of equal sets of a text the first stays first
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (text[order[1:]] == text[order[:-1]]) & (keys[order[1:]] == keys[order[:-1]]).all(axis=1)
     take = np.where(again, 0, size - -(-t.numerator * size // t.denominator) + 1)
     chosen = np.arange(len(h)) - np.repeat(starts, size) < np.repeat(take, size)
-    prefix = h[chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
-    often = counts[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > cell_rows
+    prefix = h[chosen]
+    often = np.zeros(len(h), np.int32)
+    often[chosen] = counts[(prefix >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > cell_rows
+    prefix = prefix.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
     return pa.record_batch({
         "doc_id": doc[text], "line": row[text] << LINE_BITS | line, "key": binaries(keys[~again].astype(">u8").view(np.uint8), np.where(again, 0, 16), again),
         "size": size.astype(np.int32), "even": count[:, 0], "odd": count[:, 1],
-        "hot": np.add.reduceat((often & chosen).astype(np.int32), starts, dtype=np.int32), "prefix": binaries(prefix, take * WORD_BYTES),
+        "hot": np.add.reduceat(often, starts, dtype=np.int32), "prefix": binaries(prefix, take * WORD_BYTES),
     })
 
 
@@ -186,7 +192,7 @@ def line_rows(docs: DataFrame, t: Fraction, cell_rows: int = CELL_ROWS) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, row = b["doc_id"].to_numpy(), b["row"].to_numpy().astype(np.int64)
-            for got in whole_lines(x.as_buffer() for x in b["text"]):
+            for got in whole_lines((x.as_buffer() for x in b["text"]), by_eights):
                 yield line_sets(doc, row, got, *known.value, t, cell_rows)
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), utf8().alias("text"))
