@@ -85,9 +85,13 @@ class Shard:
     def __post_init__(self):
         terms = len(self.starts) - 1
         self.high, self.low = np.zeros(terms, np.int64), np.zeros(terms, np.int64)
+        self.full: dict[int, np.ndarray] = {}  # the impacts of a term that half of the rows have, of all rows
         for t in range(terms):
-            _, v = self.of(t)
+            docs, v = self.of(t)
             self.high[t], self.low[t] = v.max(initial=0), v.min(initial=0)
+            if 2 * len(docs) >= len(self.ids):
+                self.full[t] = np.zeros(len(self.ids), np.int64)
+                self.full[t][docs] = v
 
     def of(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(self.starts[term], self.starts[term + 1])
@@ -107,9 +111,13 @@ class Shard:
         split = int(np.argmax(rest < least)) if rest[-1] < least else len(terms)
         score, met = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), rest[-1] >= least)
         for t in terms[:split]:  # essential
-            docs, impacts = self.of(t)
-            score[docs] += q[t] * impacts
-            met[docs] = True
+            if t in self.full:
+                score += q[t] * self.full[t]
+                met |= self.full[t] != 0
+            else:
+                docs, impacts = self.of(t)
+                score[docs] += q[t] * impacts
+                met[docs] = True
         met &= self.uids != own
         at = np.flatnonzero(met & (score + rest[split] >= least))
         if split < len(terms) and len(at) > k:  # whole scores of the best so far raise the k-th score
@@ -133,8 +141,8 @@ class Shard:
         partial = partial.copy()
         for t in terms:
             docs, impacts = self.of(t)
-            if len(docs) == len(self.ids):  # each row has the term
-                partial += q[t] * impacts[at]
+            if t in self.full:
+                partial += q[t] * self.full[t][at]
             elif len(docs):
                 place = np.minimum(np.searchsorted(docs, at), len(docs) - 1)
                 partial += q[t] * np.where(docs[place] == at, impacts[place], 0)
@@ -151,7 +159,8 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def searched(index: DataFrame, queries: DataFrame, first: int, past: int, k: int) -> DataFrame:
-    """FOUND of queries(uid, id, x, floor) in the shards from `first` to before `past`."""
+    """FOUND of queries(uid, id, x, floor) in the shards from `first` to before `past`. A merge join that streams the
+    blocks past one shard: their copies for all shards are more than their size tells Spark, so it would broadcast them."""
     made = queries.select("uid", "id", "x", "floor").mapInArrow(blocks, "quids array<long>, q_ids array<long>, q_n array<int>, q_x array<long>, floors array<long>")
     sent = made.withColumn("to", F.explode(F.sequence(F.lit(first), F.lit(past - 1))))
 
@@ -171,7 +180,7 @@ def searched(index: DataFrame, queries: DataFrame, first: int, past: int, k: int
                 rows = np.concatenate(rows)
                 yield pa.record_batch({"quid": np.concatenate(quids), "query_id": np.concatenate(q_ids), "uid": shard.uids[rows], "id": shard.ids[rows], "score": np.concatenate(scores)})
 
-    return index.join(sent, F.col("shard") == F.col("to")).mapInArrow(run, FOUND)
+    return sent.join(index.hint("merge"), F.col("shard") == F.col("to")).mapInArrow(run, FOUND)
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:

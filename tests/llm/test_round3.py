@@ -87,6 +87,13 @@ def test_a_score_that_fits_no_long_is_an_error():
         shard.search(np.array([1 << 40]), -1, 5, None)
 
 
+def test_top_k_broadcasts_no_copies_of_the_queries(spark):
+    """A block goes to each shard, which its estimated size doesn't tell: broadcast, all copies met in the driver."""
+    index = topk.stash(spark.createDataFrame([(0, [1], [1], [0, 1], [0], [1])], topk.POSTINGS), "index")
+    asked = topk.stash(spark.createDataFrame([(1, 50, [1], None)], "uid long, id long, x array<long>, floor long"), "asked")
+    assert "Broadcast" not in topk.searched(index, asked, 0, 99, 5)._jdf.queryExecution().executedPlan().toString()
+
+
 # --- whitening
 
 
