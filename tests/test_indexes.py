@@ -105,6 +105,39 @@ def test_searches_make_no_cartesian_product(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_searches_broadcast_no_copies_of_the_queries(spark):
+    """Blocks go to each part or shard, which their estimated size doesn't tell: broadcast, all copies met in the driver."""
+    for made in (Q.dense_topk(spark, DATA),):
+        made.collect()
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("part", [200, 1 << 21])
+def test_dense_search_keeps_k_rows_of_a_part(spark, monkeypatch, part):
+    """Equal to brute force with ties, over parts and groups; and no more than k rows of a part leave its task."""
+    monkeypatch.setattr(blocks, "PART", part)
+    monkeypatch.setattr(blocks, "LEAST_PART", part)
+    monkeypatch.setattr(blocks, "GROUP", 7)
+    monkeypatch.setattr(blocks, "SLICE", 16)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 4)).round(1)
+    v[100:150] = v[50:100]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "case_id long, v array<double>").repartition(5)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 300, 20):
+        score = np.round(u @ u[q], 6)
+        score[q] = -np.inf
+        want |= {(q, int(j), r) for r, j in enumerate(np.lexsort((np.arange(300), -score))[:6], 1)}
+    got = blocks.exact_top_k(rows, rows.filter("case_id % 20 = 0"), 6)
+    assert {(r["query_id"], r["case_id"], r["rank"]) for r in got.collect()} == want
+    assert blocks.exact_top_k(rows, rows.limit(0), 6).count() == blocks.exact_top_k(rows.limit(0), rows.limit(3), 6).count() == 0
+    best = blocks.Best(np.array([0, 20]), 6, -np.inf)
+    for at in range(0, 300, 16):
+        best.add(np.round(u[[0, 20]] @ u[at : at + 16].T, 6), np.arange(at, min(at + 16, 300)))
+    assert best.rows().num_rows == 12
+
+
 def test_matrix_rows_are_of_length_one(spark):
     rows = spark.createDataFrame([(1, "the the and 123"), (2, None), (3, "")], "case_id long, fact string")
     got = {r["case_id"]: {x["dim"]: x["weight"] for x in r["cells"]} for r in sparse.matrix_rows(rows).collect()}
