@@ -1,5 +1,6 @@
 """Phrases, bounded searches, bands, label lists, cached scores, batched models, sinks and packs against brute force."""
 
+import dataclasses
 import json
 import random
 import re
@@ -7,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from casemill.functions import predicates as P
 from casemill.functions import text as X
@@ -107,11 +109,42 @@ def test_searches_make_no_cartesian_product(spark):
 
 def test_searches_broadcast_no_copies_of_the_queries(spark):
     """Blocks go to each part or shard, which their estimated size doesn't tell: broadcast, all copies met in the driver."""
-    for made in (Q.dense_topk(spark, DATA),):
+    for made in (Q.dense_topk(spark, DATA), Q.sparse_topk(spark, DATA)):
         made.collect()
         assert "BroadcastHashJoin" not in made._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("cells", [0, 1 << 23])
+def test_matrices_and_postings_find_the_same(monkeypatch, cells):
+    """Shards as a matrix and as postings: brute force, ties by id, whatever the blocks, and rows left out by bounds."""
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    monkeypatch.setattr(postings, "CELLS", cells)
+    rng = np.random.default_rng(6)
+    m = np.where(rng.random((330, 30)) < 0.15, rng.random((330, 30)).round(2), 0)
+    m[40:60] = m[20:40]
+    ids = rng.permutation(1000)[:330]
+    t = pa.table({"part": [0] * 330, "case_id": ids, "dims": [np.flatnonzero(r).tolist() for r in m], "weights": [r[r > 0].tolist() for r in m]}, pa.schema({"part": pa.int32(), "case_id": pa.int64(), "dims": pa.list_(pa.int64()), "weights": pa.list_(pa.float64())}))
+    one = postings.shard_index(t)
+    shard = postings.Shard(*(one[f.name].combine_chunks().flatten().to_numpy() for f in dataclasses.fields(postings.Shard)))
+    assert postings.Cells.fits(shard) == (cells > 0)
+    asked = [*range(0, 330, 5)]
+    q = [(np.flatnonzero(m[i]), m[i][m[i] > 0]) for i in asked]
+    if cells:
+        ends = np.cumsum([0, *(len(d) for d, _ in q)])
+        found, scored = postings.Cells(shard).search(ids[asked], ends, np.concatenate([d for d, _ in q]), np.concatenate([w for _, w in q]), 4)
+        got = sorted(zip(*(found[c].to_pylist() for c in ("query_id", "case_id", "score")), strict=True))
+    else:
+        made = [(ids[i], *shard.search(d, w, ids[i], 4)) for i, (d, w) in zip(asked, q, strict=True)]
+        got, scored = sorted((int(o), int(c), float(s)) for o, cs, ss, _ in made for c, s in zip(cs, ss, strict=True)), np.array([n for *_, n in made])
+    want = []
+    for i in asked:
+        score = np.round(m @ m[i], 6)
+        score[i] = 0
+        want += [(int(ids[i]), int(ids[j]), float(score[j])) for j in np.lexsort((ids, -score))[:4] if score[j] > 0]
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)] and np.allclose([x[2] for x in got], [x[2] for x in sorted(want)])
+    assert scored.max() <= 330 and scored.mean() < 300
+
+
 @pytest.mark.parametrize("part", [200, 1 << 21])
 def test_dense_search_keeps_k_rows_of_a_part(spark, monkeypatch, part):
     """Equal to brute force with ties, over parts and groups; and no more than k rows of a part leave its task."""
