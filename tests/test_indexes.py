@@ -1,6 +1,7 @@
 """Phrases, bounded searches, bands, label lists, cached scores, batched models, sinks and packs against brute force."""
 
 import dataclasses
+import hashlib
 import json
 import random
 import re
@@ -13,6 +14,7 @@ import pytest
 from casemill.functions import predicates as P
 from casemill.functions import text as X
 from casemill.operators import batched, blocks, ivf, labels, pairs, phrases, postings, sparse, vectors
+from casemill.plans import more
 from casemill.plans import queries as Q
 from casemill.sources import files, matrix, packs
 from casemill.streaming.score_cache import ScoreCache
@@ -373,6 +375,16 @@ def test_tokens_have_offsets_and_cuts_are_prefixes(spark):
     assert all(got[i]["s"] == [] for i in (3, 4, 5))
 
 
+def test_tokens_are_cut_from_a_text_at_once(spark):
+    """As a substring for each span gives them, rows of one id merged by place; and no row for each token, which carried the whole text."""
+    texts = [(1, "one two, three"), (2, "盗窃罪 and 𝒳𝒴 12"), (3, ""), (4, None), (5, "!?"), (6, "b c"), (6, "a d e")]
+    spans = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", "text", X.token_spans()(F.col("text")).alias("spans"))
+    got = {r["doc_id"]: r for r in more.joined_tokens(spans.select("doc_id", X.tokens_at(F.col("text"), F.col("spans")).alias("tokens"))).collect()}
+    want = {1: ["one", "two", "three"], 2: ["盗", "窃", "罪", "and", "𝒳𝒴", "12"], 6: ["a", "b", "c", "d", "e"]}
+    assert {k: (r["n_tokens"], r["n_chars"], r["tokens"]) for k, r in got.items()} == {k: (len(w), len("".join(w)), hashlib.md5(" ".join(w).encode()).hexdigest()) for k, w in want.items()}
+    assert "posexplode" not in more.token_spans(spark, DATA)._jdf.queryExecution().toString()
+
+
 def test_reports_and_splits(spark, tmp_path):
     files.write_report("title", spark.createDataFrame([(2, None), (1, 0.5)], "k int, p double"), str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r"), wholetext=True).first()["value"] == "title\nk: 1, p: 0.5\nk: 2, p: -\n"
